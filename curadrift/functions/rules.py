@@ -45,7 +45,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def score_from_p(p: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - p), F.lit(0.5))
+    return F.when(p.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - p))
 
 
 # Explanation texts, chosen by argument.
@@ -65,7 +65,7 @@ def drift_explanation(ids: Column, n_ids: Column, score: Column, template: int =
     )
     text = EXPLANATIONS[template]
     if template == 0:
-        filled = F.format_string(text, named, F.format_number(score, "0.00"))
+        filled = F.format_string(text, named, F.format_string("%.2f", score))
     elif template == 1:
         level = F.when(score > 0.8, "High").when(score > 0.5, "Medium").otherwise("Low")
         filled = F.format_string(text, named, level)
