@@ -32,7 +32,8 @@ def running(
 ) -> DataFrame:
     """Inclusive running sums and minima per group over the output of ``ranged``.
 
-    ``next_of`` also adds ``next_<column>``, that column on the group's following row.
+    ``next_of`` also adds ``next_<column>``, that column on the group's following row, and each
+    sum comes with ``total_<name>``, its value over the whole group.
     """
     sums, mins = sums or {}, mins or {}
     local = Window.partitionBy(PART, *groups).orderBy(*order)
@@ -43,9 +44,11 @@ def running(
         totals.append(F.min(next_of).alias("first_here"))
     before = Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     following = Window.partitionBy(*groups).orderBy(PART)
+    whole = Window.partitionBy(*groups)
     per_part = parts.groupBy(PART, *groups).agg(*totals).select(
         PART, *groups,
         *[F.coalesce(F.sum(f"sum_{n}").over(before), F.lit(0)).alias(f"base_{n}") for n in sums],
+        *[F.sum(f"sum_{n}").over(whole).alias(f"total_{n}") for n in sums],
         *[F.min(f"min_{n}").over(before).alias(f"base_{n}") for n in mins],
         *([F.lead("first_here").over(following).alias("first_after")] if next_of else []),
     )
@@ -59,6 +62,7 @@ def running(
     out = [F.col(c) for c in parts.columns]
     out += [(F.col(f"base_{n}") + F.col(f"local_{n}")).alias(n) for n in sums]
     out += [F.least(f"base_{n}", f"local_{n}").alias(n) for n in mins]
+    out += [F.col(f"total_{n}") for n in sums]
     if next_of:
         out.append(F.coalesce("next_here", "first_after").alias(f"next_{next_of}"))
     return joined.select(*out)
@@ -66,7 +70,7 @@ def running(
 
 def indexed(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     """Add ``idx``, the 1-based dense position in the group's order (``order`` must be unique)."""
-    return running(ranged(df, groups, order), groups, order, sums={"idx": F.lit(1).cast("bigint")}).drop(PART)
+    return running(ranged(df, groups, order), groups, order, sums={"idx": F.lit(1).cast("bigint")}).drop(PART, "total_idx")
 
 
 def neighbours(
