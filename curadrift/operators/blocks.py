@@ -49,7 +49,9 @@ def block_pairs(
     def dealt(df: DataFrame, own: int, other: int, mine: str, theirs: str) -> DataFrame:
         block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int")
         partners = F.sequence(F.lit(0), F.lit(other - 1))
-        return df.withColumn(mine, block).withColumn(theirs, F.explode(partners))
+        # fresh column identities, so that a table may be paired with itself
+        renamed = df.select(*[F.col(c).alias(c) for c in df.columns])
+        return renamed.withColumn(mine, block).withColumn(theirs, F.explode(partners))
 
     a = dealt(left, left_blocks, right_blocks, "bi", "bj").groupBy("bi", "bj", *(also or []))
     b = dealt(right, right_blocks, left_blocks, "bj", "bi").groupBy("bi", "bj", *(also or []))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from curadrift.functions.numbers import clip, ratio, share
 from curadrift.operators import agreement as A
+from curadrift.operators.ordered import ranged, running
 
 ISSUE_COLUMNS = ["assessor", "issue_type", "severity", "title", "task_id", "annotation_id", "annotator_id"]
 
@@ -32,13 +33,26 @@ def percent(c: Column, digits: int = 1) -> Column:
 # ---- descriptive -------------------------------------------------------------------------
 
 def compute_statistics(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """mean, std, min, max, median and count; zeros for no rows."""
+    """mean, std, min, max, exact median and count; zeros for no rows.
+
+    Equal values collapse to one counted row and the median is read off running counts over
+    range-partitioned parts, so no group's values are held in one task.
+    """
+    by = by or []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    seen = running(ranged(counts, by, ["v"]), by, ["v"], sums={"n": F.col("c"), "s": F.col("c") * F.col("v")})
+    mean = F.col("total_s") / F.col("total_n")
+    low_rank, high_rank = F.floor((F.col("total_n") + 1) / 2), F.floor(F.col("total_n") / 2) + 1
+    median = (F.min(F.when(F.col("n") >= low_rank, F.col("v"))) + F.min(F.when(F.col("n") >= high_rank, F.col("v")))) / 2
+
     def or_zero(c: Column) -> Column:
         return F.coalesce(c.cast("double"), F.lit(0.0))
 
-    return df.groupBy(*(by or [])).agg(
-        or_zero(F.avg(value)).alias("mean"), or_zero(F.stddev_pop(value)).alias("std"), or_zero(F.min(value)).alias("min"),
-        or_zero(F.max(value)).alias("max"), or_zero(F.median(value)).alias("median"), F.count(value).alias("count"),
+    return seen.groupBy(*by).agg(
+        or_zero(F.max(mean)).alias("mean"),
+        or_zero(F.sqrt(F.sum(F.col("c") * (F.col("v") - mean) * (F.col("v") - mean)) / F.max("total_n"))).alias("std"),
+        or_zero(F.min("v")).alias("min"), or_zero(F.max("v")).alias("max"), or_zero(median).alias("median"),
+        F.coalesce(F.max("total_n"), F.lit(0)).alias("count"),
     )
 
 
@@ -195,8 +209,8 @@ def assess_completeness(tasks: DataFrame, annotations: DataFrame, overlap: int =
 def label_share_gaps(annotations: DataFrame) -> DataFrame:
     """Per annotator the largest difference between own and overall label share.
 
-    A label the annotator never used matters only if its overall share beats the observed gaps, so
-    the absent labels are read from one map of overall shares (one entry per label).
+    Labels the annotator never used count through the ones whose overall share exceeds 0.3, so the
+    value is exact wherever it can pass the 0.3 threshold it is compared with.
     """
     own = annotations.groupBy("annotator_id", "label").agg(F.count(F.lit(1)).alias("n"))
     overall = own.groupBy("label").agg(F.sum("n").alias("t"))
