@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curadrift.functions.numbers import share
-from curadrift.operators.blocks import block_pairs
+from curadrift.operators.blocks import block_count, block_pairs
 from curadrift.operators.ordered import indexed, neighbours
 
 # A task with more annotators than this is counted in blocks instead of by a self-join.
@@ -33,14 +33,14 @@ def _pairs_by_join(labels: DataFrame) -> DataFrame:
     return joined.groupBy("a1", "a2", "l1", "l2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs_by_blocks(labels: DataFrame, annotator_blocks: int = 16, task_chunks: int = 64) -> DataFrame:
+def _pairs_by_blocks(labels: DataFrame, block_annotators: int = 2048, chunk_tasks: int = 512) -> DataFrame:
     """Crowded tasks: annotators x tasks as 0/1 blocks per label, multiplied in NumPy.
 
     A task of the job sees one chunk of tasks and two annotator blocks and emits counts per
     annotator pair, so no task's annotators are ever listed pair by pair.
     """
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a1": [], "a2": [], "l1": [], "l2": [], "n": []})]
+        out = []
         if len(x) and len(y):
             tasks = np.unique(np.concatenate([x["task_id"], y["task_id"]]))
             xa, ya = np.unique(x["annotator_id"]), np.unique(y["annotator_id"])
@@ -57,9 +57,12 @@ def _pairs_by_blocks(labels: DataFrame, annotator_blocks: int = 16, task_chunks:
                     counts = (left.T @ cells).astype("int64")
                     counts[xa[:, None] >= ya[None, :]] = 0
                     i, j = np.nonzero(counts)
-                    out.append(pd.DataFrame({"a1": xa[i], "a2": ya[j], "l1": l1, "l2": l2, "n": counts[i, j]}))
-        return pd.concat(out)
+                    out += [(xa[a], ya[b], l1, l2, counts[a, b]) for a, b in zip(i, j)]
+        return pd.DataFrame(out, columns=["a1", "a2", "l1", "l2", "n"])
 
+    size = labels.agg(F.approx_count_distinct("task_id").alias("tasks"), F.approx_count_distinct("annotator_id").alias("who")).first()
+    annotator_blocks = block_count(size["who"], block_annotators)
+    task_chunks = block_count(size["tasks"], chunk_tasks)
     chunked = labels.withColumn("chunk", F.pmod(F.xxhash64("task_id"), F.lit(task_chunks)))
     who = labels.schema["annotator_id"].dataType.simpleString()
     counts = block_pairs(
