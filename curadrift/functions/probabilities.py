@@ -2,20 +2,17 @@
 
 from pyspark.sql import Column, functions as F
 
-from curadrift.functions.vectors import total
+from curadrift.functions.vectors import divided, total, with_value
 
 FLOOR = 1e-10
 
 
 def renormalize(p: Column) -> Column:
-    mass = total(p)
-    return F.transform(p, lambda x: x / mass)
+    return divided(p, total(p))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    weights = F.transform(v, lambda x: F.exp(x - top))
-    return renormalize(weights)
+    return renormalize(with_value(v, F.array_max(v), lambda x, top: F.exp(x - top)))
 
 
 def least_confidence(p: Column) -> Column:
@@ -52,31 +49,27 @@ def consensus(members: Column) -> Column:
     summed = F.aggregate(
         F.slice(members, 2, 1000000), members[0], lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b)
     )
-    n = F.size(members)
-    return F.transform(summed, lambda x: x / n)
+    return divided(summed, F.size(members).cast("double"))
 
 
 def kl_to_consensus(members: Column) -> Column:
     """Mean over members of KL(member || consensus); 0 for fewer than two."""
-    centre = consensus(members)
+    def kept(x: Column) -> Column:
+        return F.greatest(x, F.lit(FLOOR))
 
-    def divergence(p: Column) -> Column:
-        return total(
-            F.zip_with(
-                p, centre,
-                lambda x, c: F.greatest(x, F.lit(FLOOR)) * F.log(F.greatest(x, F.lit(FLOOR)) / F.greatest(c, F.lit(FLOOR))),
-            )
-        )
+    def divergence(p: Column, centre: Column) -> Column:
+        return total(F.zip_with(p, centre, lambda x, c: kept(x) * F.log(kept(x) / kept(c))))
 
-    return F.when(F.size(members) > 1, total(F.transform(members, divergence)) / F.size(members)).otherwise(0.0)
+    per_member = with_value(members, consensus(members), divergence)
+    return F.when(F.size(members) > 1, total(per_member) / F.size(members)).otherwise(0.0)
 
 
 def vote_shares(members: Column) -> Column:
     """Per class the share of members whose argmax it is."""
-    votes = F.transform(members, argmax)
-    n = F.size(members)
     classes = F.sequence(F.lit(0), F.size(members[0]) - 1)
-    return F.transform(classes, lambda c: F.size(F.filter(votes, lambda v: v == c)) / n)
+    return with_value(
+        classes, F.transform(members, argmax), lambda c, votes: F.size(F.filter(votes, lambda v: v == c)) / F.size(votes)
+    )
 
 
 def vote_entropy(members: Column) -> Column:

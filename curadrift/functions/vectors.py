@@ -1,5 +1,7 @@
 """Column builders for ``ARRAY<DOUBLE>`` vectors; all stay in the JVM."""
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
@@ -37,14 +39,24 @@ def manhattan(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
+def with_value(v: Column, value: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """fn(element, value) for each element. A lambda evaluates what it captures once per element, so a
+    value that costs something to compute is laid out beside the array instead, computed once per row."""
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), fn)
+
+
 def scaled(v: Column, factor: Column) -> Column:
-    return F.transform(v, lambda x: x * factor)
+    return with_value(v, factor, lambda x, f: x * f)
+
+
+def divided(v: Column, divisor: Column) -> Column:
+    return with_value(v, divisor, lambda x, d: x / d)
 
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
     length = norm(v)
-    return F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
+    return divided(v, F.when(length == 0, F.lit(1.0)).otherwise(length))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

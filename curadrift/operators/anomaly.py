@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from curadrift.operators.blocks import nearest
+from curadrift.session import checkpointed
 
 
 def statistical_detector(df: DataFrame, key: str, features: list[str], threshold: float = 3.0) -> DataFrame:
@@ -25,7 +26,7 @@ def statistical_detector(df: DataFrame, key: str, features: list[str], threshold
 def lof_detector(df: DataFrame, key: str, vector: str, k: int, threshold: float = 1.5) -> DataFrame:
     """Local outlier factor over exactly k neighbours each."""
     n = df.count()
-    near = nearest(df, key, vector, k, n)
+    near = checkpointed(nearest(df, key, vector, k, n))
     reach_limit = near.groupBy(F.col("id").alias("other")).agg(F.max("distance").alias("k_distance"))
     reach = near.join(reach_limit, "other").select("id", "other", F.greatest("distance", "k_distance").alias("reach"))
     density = reach.groupBy("id").agg((1 / F.nullif(F.avg("reach"), F.lit(0.0))).alias("lrd"))

@@ -120,7 +120,7 @@ def graph_drift_detect(
     """The most isolated rows (then the farthest) with distance, threshold and reason."""
     edges = radius_join(df, key, vector, radius)
     isolation = bfs_isolation(df, key, vector, edges, k, max_hops)
-    distances = centroid_distances(df, vector).select(F.col(key).alias("id"), "distance")
+    distances = checkpointed(centroid_distances(df, vector).select(F.col(key).alias("id"), "distance"))
     summary = distance_summary(distances, sigma)
     top = isolation.join(distances, "id").orderBy(F.desc("isolation"), F.desc("distance"), "id").limit(max_outliers)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("isolation"), F.desc("distance"), "id")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from curadrift.functions import vectors as V
 from curadrift.functions.numbers import r6
+from curadrift.session import checkpointed
 
 
 def split_by_contract(df: DataFrame, dim: int, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -61,7 +62,8 @@ def centroid_distance_outliers(
 
     ``max_drift=None`` keeps every row above the threshold.
     """
-    distances = centroid_distances(df)
+    # the vectors are read twice (mean, distances); all that follows works on one number per row
+    distances = checkpointed(centroid_distances(df).select("image_id", "label", "distance"))
     summary = distance_summary(distances, sigma)
     limits = distances.withColumn("limits", summary.select(F.struct("mean_distance", "threshold")).scalar())
     if max_drift is None:

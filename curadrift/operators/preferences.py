@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curadrift.functions.vectors import total
+from curadrift.functions.vectors import total, with_value
 
 # Fixed values.
 IGNORED_LABEL = -100
@@ -70,7 +70,7 @@ def dpo_loss(df: DataFrame, beta: float = 0.1) -> DataFrame:
 def sequence_logps(tokens: DataFrame) -> DataFrame:
     """Per sequence the summed log-softmax of the label logits; ignored labels add nothing."""
     top = F.array_max("logits")
-    log_mass = top + F.log(total(F.transform("logits", lambda x: F.exp(x - top))))
+    log_mass = top + F.log(total(with_value(F.col("logits"), top, lambda x, t: F.exp(x - t))))
     own = F.get(F.col("logits"), F.col("label").cast("int")) - log_mass
     part = F.when(F.col("label") == IGNORED_LABEL, 0.0).otherwise(own)
     return tokens.groupBy("seq").agg(F.sum(part).alias("logp"), F.count_if(F.col("label") != IGNORED_LABEL).alias("tokens"))

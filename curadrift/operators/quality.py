@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from curadrift.functions.numbers import clip, ratio, share
 from curadrift.operators import agreement as A
 from curadrift.operators.ordered import ranged, running
+from curadrift.session import checkpointed
 
 ISSUE_COLUMNS = ["assessor", "issue_type", "severity", "title", "task_id", "annotation_id", "annotator_id"]
 
@@ -171,7 +172,8 @@ def assess_consistency(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFr
 
 
 def assess_agreement(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pairs = A.pair_agreement(A.pair_label_counts(annotations))
+    # one row per annotator pair, read by both results
+    pairs = checkpointed(A.pair_agreement(A.pair_label_counts(annotations)))
     issues = issues_of(
         pairs.filter("rate < 0.5"), "agreement", "low_agreement", F.when(F.col("rate") < 0.3, "high").otherwise("medium"),
         F.concat(F.lit("Low agreement between annotators "), F.col("a1").cast("string"), F.lit(" and "), F.col("a2").cast("string")),

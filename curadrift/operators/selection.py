@@ -103,8 +103,7 @@ def random_scores(tasks: DataFrame, seed: int) -> DataFrame:
 
 def diversity_cosine(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Mean cosine distance to all rows in linear work: 1 - x^ . mean(x^)."""
-    length = V.norm(F.col(vector))
-    unit = df.select(key, V.scaled(F.col(vector), 1 / F.when(length == 0, 1.0).otherwise(length)).alias("u"))
+    unit = df.select(key, V.l2_normalize(F.col(vector)).alias("u"))
     mean = unit.agg(V.vector_mean(F.col("u")))
     return unit.withColumn("mean", mean.scalar()).select(key, (1 - V.dot(F.col("u"), F.col("mean"))).alias("score"))
 
@@ -117,13 +116,13 @@ def diversity_manhattan(df: DataFrame, key: str, vector: str) -> DataFrame:
     below = F.col("x") * F.col("n") - F.col("s")
     above = (F.col("total_s") - F.col("s")) - F.col("x") * (F.col("total_n") - F.col("n"))
     mean_gap = seen.select("dim", "x", ((below + above) / F.col("total_n")).alias("gap"))
-    return cells.join(mean_gap, ["dim", "x"]).groupBy(key).agg(F.sum("gap").alias("score"))
+    return checkpointed(cells.join(mean_gap, ["dim", "x"]).groupBy(key).agg(F.sum("gap").alias("score")))
 
 
 def diversity_euclidean(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Mean Euclidean distance to all rows, itself included; exact, quadratic work in blocks."""
     n = df.count()
-    return distance_sums(df, key, vector, n).select(key, (F.col("total") / F.lit(max(n, 1))).alias("score"))
+    return checkpointed(distance_sums(df, key, vector, n).select(key, (F.col("total") / F.lit(max(n, 1))).alias("score")))
 
 
 DIVERSITY = {"cosine": diversity_cosine, "manhattan": diversity_manhattan, "euclidean": diversity_euclidean}
@@ -134,14 +133,19 @@ def diversity_scores(df: DataFrame, key: str, vector: str, metric: str = "cosine
     return min_max_normalize(scored.select(F.col(key).alias("task_id"), "score"))
 
 
-def anchor_distances(df: DataFrame, key: str, vector: str, anchors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(key, anchor, distance) to a counted, bounded set of anchors (anchor, v)."""
-    measure = {"cosine": V.cosine_distance, "euclidean": V.distance, "manhattan": V.manhattan}[metric]
+METRICS = {"cosine": V.cosine_distance, "euclidean": V.distance, "manhattan": V.manhattan}
+
+
+def anchor_distances(df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str]) -> DataFrame:
+    """(key, anchor, one column per metric) to a counted, bounded set of anchors (anchor, v)."""
     listed = anchors.select("anchor", "v").limit(1025).collect()
     if len(listed) > 1024:
         raise ValueError("more than 1024 anchors: use the blocked distances instead")
     columns = F.array(*[
-        F.struct(F.lit(r["anchor"]).alias("anchor"), measure(F.col(vector), F.lit([float(x) for x in r["v"]])).alias("distance"))
+        F.struct(
+            F.lit(r["anchor"]).alias("anchor"),
+            *[METRICS[m](F.col(vector), F.lit([float(x) for x in r["v"]])).alias(m) for m in metrics],
+        )
         for r in listed
     ])
     return df.select(key, F.inline(columns))

@@ -110,11 +110,9 @@ ANCHORS = {
 def pairwise_distance(spark, sf):
     df = samples(spark, sf)
     anchors = O.centroid(df, by=["label"]).select(F.col("label").alias("anchor"), F.col("centroid").alias("v"))
-    out = None
-    for metric in ["cosine", "euclidean", "manhattan"]:
-        part = S.anchor_distances(df, "image_id", "embedding", anchors, metric).select("image_id", "anchor", r6(F.col("distance")).alias(metric))
-        out = part if out is None else out.join(part, ["image_id", "anchor"])
-    return out
+    metrics = ["cosine", "euclidean", "manhattan"]
+    out = S.anchor_distances(df, "image_id", "embedding", anchors, metrics)
+    return out.select("image_id", "anchor", *[r6(F.col(m)).alias(m) for m in metrics])
 
 
 PAIRS_D = "SELECT a.image_id, avg({0}) AS s FROM samples a, samples b GROUP BY 1"

@@ -9,7 +9,7 @@ from curadrift.operators.sequential import adwin_scan, page_hinkley_scan
 from curadrift.plans.ctes import sql
 from curadrift.plans.registry import query
 from curadrift.plans.rows import NESTED
-from curadrift.plans.windows import ORDER, SERIES
+from curadrift.plans.windows import ADWIN_SQL, ORDER, SERIES
 from curadrift.session import fresh_path
 from curadrift.sources.tables import ntz, points, table, tasks
 from curadrift.streaming import operators as S, runs as R
@@ -126,9 +126,9 @@ def sequential_drift_stream(spark, sf):
     return run_detector(spark, sf, "page-hinkley", page_hinkley_scan(), 10)
 
 
-@query("sequential_drift_stream_adwin")
+@query("sequential_drift_stream_adwin", ADWIN_SQL)
 def sequential_drift_stream_adwin(spark, sf):
-    return run_detector(spark, sf, "adwin", adwin_scan(), 50)
+    return run_detector(spark, sf, "adwin", adwin_scan(), 21)
 
 
 MONITOR = {
@@ -136,7 +136,7 @@ MONITOR = {
     "bn": "SELECT ts, greatest(0, least(CAST(floor((value - lo) / w) AS INTEGER), 9)) AS b FROM events, base",
     "rb": "SELECT b.i AS b, (count(bn.b) + 1.0::DOUBLE) / ((SELECT count(*) FROM bn WHERE ts < TIMESTAMP '2024-01-08') + 10) AS r FROM range(10) b(i) LEFT JOIN bn ON bn.b = b.i AND ts < TIMESTAMP '2024-01-08' GROUP BY 1",
     "days": "SELECT d, n FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
-    "db": "SELECT d, n, rb.b, r, (count(bn.b) + 1.0::DOUBLE) / (n + 10) AS c FROM days CROSS JOIN rb LEFT JOIN bn ON bn.b = rb.b AND date_trunc('day', ts) = d GROUP BY ALL",
+    "db": "SELECT d, n, rb.b, r, (count(bn.b) + 1.0::DOUBLE) / (n + 10) AS c FROM days CROSS JOIN rb LEFT JOIN bn ON bn.b = rb.b AND date_trunc('day', ts) = d GROUP BY d, n, rb.b, r",
 }
 
 

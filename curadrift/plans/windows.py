@@ -49,17 +49,20 @@ def ddm(spark, sf):
     return out.select("k", "position", *[r6(F.col(c)).alias(c) for c in ["p", "s", "p_min", "s_min"]])
 
 
-@query("adwin", sql(
+ADWIN_SQL = sql(
     # the window is a list; one recursion step per position
     "SELECT k, event_id, round(gap, 6) AS statistic, len(w) AS window_size FROM ad WHERE alarm",
-    s="SELECT k, event_id, x / 20 AS x, n FROM (" + SERIES + ")",
+    s="SELECT k, event_id, x / 21 AS x, n FROM (" + SERIES + ")",
     ad="SELECT k, event_id, n, [x] AS w, CAST(0 AS DOUBLE) AS gap, false AS alarm FROM s WHERE n = 1 UNION ALL SELECT k, event_id, n, CASE WHEN cut IS NULL THEN w ELSE w[cut + 1:] END, "
        "CASE WHEN cut IS NULL THEN 0 ELSE abs(list_sum(w[1:cut]) / cut - list_sum(w[cut + 1:]) / (len(w) - cut)) END, cut IS NOT NULL FROM "
        "(SELECT k, event_id, n, w, CASE WHEN len(w) >= 10 THEN list_filter(range(greatest(len(w) // 2, 5), least(len(w) - 2, len(w) - 5) + 1), "
        "lambda c: abs(list_sum(w[1:c]) / c - list_sum(w[c + 1:]) / (len(w) - c)) >= sqrt(2 * (1.0 / c + 1.0 / (len(w) - c)) * ln(1000)))[1] END AS cut FROM "
-       "(SELECT s.k, s.event_id, s.n, list_append(ad.w, s.x) AS w FROM ad JOIN s ON s.k = ad.k AND s.n = ad.n + 1))"))
+       "(SELECT s.k, s.event_id, s.n, list_append(ad.w, s.x) AS w FROM ad JOIN s ON s.k = ad.k AND s.n = ad.n + 1))")
+
+
+@query("adwin", ADWIN_SQL)
 def adwin(spark, sf):
-    scaled = series(spark, sf).withColumn("x", F.col("value") / 20)
+    scaled = series(spark, sf).withColumn("x", F.col("value") / 21)
     out = Q.sequential_alarms(scaled, "k", ORDER, "x", Q.adwin_scan())
     return out.select("k", "event_id", r6(F.col("statistic")).alias("statistic"), F.col("window_size").cast("bigint").alias("window_size"))
 
