@@ -21,6 +21,11 @@ def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(rows / block_rows))
 
 
+def no_rows(*names: str) -> pd.DataFrame:
+    """An empty frame whose columns convert to any type."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
@@ -84,7 +89,7 @@ def distance_sums(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
 
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "s": []})
+            return no_rows("id", "s")
         d2 = sq_distances(_matrix(x["v"]), _matrix(y["v"]))
         d2[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = 0.0
         return pd.DataFrame({"id": x["id"], "s": np.sqrt(d2).sum(1)})
@@ -106,7 +111,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, n: int) -> DataFrame:
 
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
+            return no_rows("id", "other", "distance")
         y = y.sort_values("id", ignore_index=True)
         diff = np.sqrt(sq_distances(_matrix(x["v"]), _matrix(y["v"])))
         diff[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf

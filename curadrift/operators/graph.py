@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from curadrift.functions import vectors as V
-from curadrift.operators.blocks import BLOCK_ROWS, sq_distances
+from curadrift.operators.blocks import BLOCK_ROWS, no_rows, sq_distances
 from curadrift.operators.outliers import centroid_distances, distance_summary
 from curadrift.session import checkpointed, small_side
 
@@ -50,7 +50,7 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
 
     def matches(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"src": [], "dst": [], "weight": []})
+            return no_rows("src", "dst", "weight")
         a, b = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
         # a generous cut on the fast form, the exact test on the few rows that pass

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from curadrift.operators.blocks import no_rows
 from curadrift.operators.ordered import PART, ranged, running
 from curadrift.session import checkpointed
 
@@ -123,22 +124,30 @@ def scan_ordered(
 
     def run(values: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(values) or not len(state):
-            return pd.DataFrame({key: [], PART: [], "exit": []})
+            return no_rows(key, PART, "exit")
         _, after = scan(sorted_values(values)["x"].to_numpy(), np.asarray(state["entry"].iloc[0], dtype=float))
         return pd.DataFrame({key: [values[key].iloc[0]], PART: [values[PART].iloc[0]], "exit": [list(map(float, after))]})
 
     def report(values: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         names = [key, *order, "statistic", "score", "window_size"]
         if not len(values) or not len(state):
-            return pd.DataFrame({n: [] for n in names})
+            return no_rows(*names)
         values = sorted_values(values)
         alarms, _ = scan(values["x"].to_numpy(), np.asarray(state["entry"].iloc[0], dtype=float))
         at = [a[0] for a in alarms]
+        if not alarms:
+            return no_rows(*names)
         out = values.iloc[at][[key, *order]].reset_index(drop=True)
         return out.assign(statistic=[a[1] for a in alarms], score=[a[2] for a in alarms], window_size=[a[3] for a in alarms])
 
+    def states_for(df: DataFrame):
+        # fresh column identities: the states stem from the rows they are grouped with
+        return df.select(F.col(key).alias(key), F.col(PART).alias(PART), F.col("entry").alias("entry")).groupBy(key, PART)
+
     while True:
-        fresh = rows.groupBy(key, PART).cogroup(todo.select(key, PART, "entry").groupBy(key, PART)).applyInPandas(
+        # only parts with a new entry state are read again
+        again = rows if exits is None else rows.join(todo.select(key, PART), [key, PART], "left_semi")
+        fresh = again.groupBy(key, PART).cogroup(states_for(todo)).applyInPandas(
             run, f"{key} {key_type}, {PART} int, exit array<double>"
         )
         fresh = checkpointed(fresh)
@@ -151,7 +160,7 @@ def scan_ordered(
             break
         entries = compared.select(key, PART, "before", F.col("next").alias("entry"))
     states = exits.groupBy(key).agg(F.max_by("exit", PART).alias("state"))
-    alarms = rows.groupBy(key, PART).cogroup(entries.select(key, PART, "entry").groupBy(key, PART)).applyInPandas(
+    alarms = rows.groupBy(key, PART).cogroup(states_for(entries)).applyInPandas(
         report, f"{key} {key_type}, {order_types}, statistic double, score double, window_size int"
     )
     return alarms, states

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curadrift.operators.blocks import BLOCK_ROWS, block_count, block_pairs
+from curadrift.operators.blocks import BLOCK_ROWS, block_count, block_pairs, no_rows
 from curadrift.operators.entities import top_n_per_group
 
 
@@ -32,7 +32,7 @@ def knn_join(points: DataFrame, axes: list[str], queries: DataFrame, k: int) ->
 
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return no_rows("query_id", "id", "distance")
         p = p.sort_values("id", ignore_index=True)
         a, b = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
         d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
