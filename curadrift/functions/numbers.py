@@ -48,17 +48,21 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
         F.when(dof % 2 == 1, math.log(math.sqrt(math.pi))).otherwise(0.0),
         lambda acc, i: acc + F.when(i % 2 == dof % 2, F.log(i / F.lit(2.0))).otherwise(0.0),
     )
+    # terms die out some widths (sqrt a) past the mode
     lower = F.aggregate(
-        F.sequence(F.lit(1), (F.lit(400) + 4 * a).cast("int")),
+        F.sequence(F.lit(1), (F.lit(800) + 40 * F.sqrt(a)).cast("int")),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
         lambda s, k: F.struct(
             (s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")
         ),
         lambda s: s["sum"],
     )
+    # Chernoff bound of the tail: below exp(-60) it is 0, which also keeps the series from overflowing
+    far = (x > a) & (a - x + a * F.log(x / a) < -60)
     return (
         F.when(dof < 1, 1.0)
         .when(stat <= 0, 1.0)
-        .when(x > 2 * a + 150, 0.0)
+        .when(stat == float("inf"), 0.0)
+        .when(far, 0.0)
         .otherwise(clip(1 - F.exp(-x + a * F.log(x) - log_gamma) * lower, 0.0, 1.0))
     )

@@ -76,9 +76,9 @@ def pair_label_counts(annotations: DataFrame, join_annotators: int = JOIN_ANNOTA
     """(a1, a2, l1, l2, n) with a1 < a2 over all shared tasks."""
     labels = last_labels(annotations)
     crowded = labels.groupBy("task_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > join_annotators).select("task_id")
-    usual = _pairs_by_join(labels.join(crowded, "task_id", "left_anti"))
     if crowded.isEmpty():
-        return usual
+        return _pairs_by_join(labels)
+    usual = _pairs_by_join(labels.join(crowded, "task_id", "left_anti"))
     rest = _pairs_by_blocks(labels.join(crowded, "task_id", "left_semi"))
     return usual.unionByName(rest).groupBy("a1", "a2", "l1", "l2").agg(F.sum("n").alias("n"))
 

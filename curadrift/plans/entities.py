@@ -185,9 +185,9 @@ def issues(spark, sf):
     )
 
 
-@query("unresolved_issues", sql("SELECT id, severity, created_at FROM iss WHERE NOT is_resolved ORDER BY " + RANK + " DESC, created_at DESC, id LIMIT 200", iss=ISS))
+@query("unresolved_issues", sql("SELECT id, severity, created_at FROM iss WHERE NOT is_resolved ORDER BY " + RANK + " DESC, created_at DESC, id", iss=ISS))
 def unresolved_issues(spark, sf):
-    return R.unresolved_issues(issues(spark, sf)).limit(200).select("id", "severity", "created_at")
+    return R.unresolved_issues(issues(spark, sf)).select("id", "severity", "created_at")
 
 
 @query("critical_issues", sql("SELECT id, project, task_id FROM iss WHERE severity = 'critical' AND NOT is_resolved", iss=ISS))

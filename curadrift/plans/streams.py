@@ -97,7 +97,7 @@ def latest_state(spark, sf):
     )
     state = S.BatchState(spark, os.path.join(root, "state"), S.LATEST_SCHEMA)
     R.drain_batches(messages, S.latest_state_step(state), os.path.join(root, "checkpoint"))
-    return state.before()
+    return state.current()
 
 
 @query("resume_after_seq", "SELECT event_id AS seq, event_type FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-02')")
@@ -162,7 +162,8 @@ def round_tracker(spark, sf):
     selected = tasks(spark, sf).select(F.col("id").alias("task_id"), F.floor(F.col("id") / 10).alias("round_id"))
     stream = events(spark, sf).select(F.floor(F.col("event_id") / 5).alias("task_id"), (F.col("user_id") % 12 == 0).alias("was_cancelled"))
     done = os.path.join(root, "done")
-    R.drain_batches(stream, S.round_tracker_step(os.path.join(root, "seen"), done, selected), os.path.join(root, "checkpoint"))
+    state = S.BatchState(spark, os.path.join(root, "open"), S.ROUND_SCHEMA, initial=S.open_rounds(selected))
+    R.drain_batches(stream, S.round_tracker_step(state, done), os.path.join(root, "checkpoint"))
     return R.read_batches(spark, done, "round_id bigint, selected bigint").drop("batch_id")
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from curadrift.functions import vectors as V
 from curadrift.operators.entities import enrich_points, keep_newest
 from curadrift.operators.projections import flatten_json
-from curadrift.operators.selection import round_completion
 from curadrift.operators.sequential import Scan, scan_ordered
 from curadrift.session import checkpointed
-from curadrift.streaming.runs import read_batches, write_batch
+from curadrift.streaming.runs import batch_folder, read_batches, remove_folder, write_batch
 
 # How many reports and review logs the latest state keeps.
 REPORT_CAP, LOG_CAP = 100, 50
@@ -94,22 +93,30 @@ def activity_windows(stream: DataFrame, at: str, window: str = "1 hour", slide:
 # ---- batch by batch ----------------------------------------------------------------------
 
 class BatchState:
-    """A table replaced by every micro-batch: one folder per batch id, the newest earlier one is the state.
+    """A table replaced by every micro-batch: one folder per batch id, the one before it is the state.
 
-    Repeating a batch reads the same predecessor and writes the same folder again.
+    Repeating a batch reads the same predecessor and writes the same folder again, so only the last two
+    folders are needed and older ones are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, initial: DataFrame | None = None):
+        self.spark, self.path, self.schema, self.initial = spark, path, schema, initial
 
-    def before(self, batch_id: int | None = None) -> DataFrame:
+    def before(self, batch_id: int) -> DataFrame:
+        """The state a batch starts from."""
+        if batch_id > 0:
+            return self.spark.read.schema(self.schema).parquet(batch_folder(self.path, batch_id - 1))
+        return self.spark.createDataFrame([], self.schema) if self.initial is None else self.initial
+
+    def current(self) -> DataFrame:
+        """The state after the last batch."""
         known = read_batches(self.spark, self.path, self.schema)
-        earlier = known if batch_id is None else known.filter(F.col("batch_id") < batch_id)
-        last = earlier.agg(F.max("batch_id")).first()[0]
-        return earlier.filter(F.col("batch_id") == (-1 if last is None else last)).drop("batch_id")
+        last = known.select(F.max("batch_id")).first()[0]
+        return self.before(0 if last is None else last + 1)
 
     def replace(self, df: DataFrame, batch_id: int) -> None:
         write_batch(df, self.path, batch_id)
+        remove_folder(self.spark, batch_folder(self.path, batch_id - 2))
 
 
 LATEST_SCHEMA = "kind string, id string, seq bigint, body string"
@@ -144,14 +151,29 @@ def sequential_step(state: BatchState, alarms_at: str, key: str, order: list[str
     return each
 
 
-def round_tracker_step(seen_at: str, done_at: str, selected: DataFrame):
-    """Per batch: keep the new annotations, and emit the rounds that became complete with it."""
+ROUND_SCHEMA = "round_id bigint, task_id bigint, size bigint"
+
+
+def open_rounds(selected: DataFrame) -> DataFrame:
+    """The tracker's first state: every selected task with the size of its round."""
+    sizes = selected.groupBy("round_id").agg(F.count(F.lit(1)).alias("size"))
+    return selected.join(sizes, "round_id").select("round_id", "task_id", "size")
+
+
+def round_tracker_step(state: BatchState, done_at: str):
+    """Per batch: strike finished tasks off the open rounds and emit the rounds that became empty.
+
+    The state holds only the tasks still open, so it shrinks as rounds complete and no batch reads
+    earlier annotations again.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(batch.select("task_id", "was_cancelled"), seen_at, batch_id)
-        seen = read_batches(spark, seen_at, "task_id bigint, was_cancelled boolean").filter(F.col("batch_id") <= batch_id)
-        announced = read_batches(spark, done_at, "round_id bigint, selected bigint").filter(F.col("batch_id") < batch_id)
-        complete = round_completion(selected, seen).filter("is_completed").select("round_id", "selected")
-        write_batch(checkpointed(complete.join(announced, "round_id", "left_anti")), done_at, batch_id)
+        before = checkpointed(state.before(batch_id))
+        finished = batch.filter(~F.col("was_cancelled")).select("task_id").distinct()
+        after = checkpointed(before.join(finished, "task_id", "left_anti").select("round_id", "task_id", "size"))
+        complete = before.join(after.select("round_id").distinct(), "round_id", "left_anti").groupBy("round_id").agg(
+            F.max("size").alias("selected")
+        )
+        write_batch(complete, done_at, batch_id)
+        state.replace(after, batch_id)
 
     return each

@@ -29,9 +29,19 @@ def drain_batches(stream: DataFrame, each: Processor, checkpoint: str) -> None:
     run.awaitTermination()
 
 
+def batch_folder(path: str, batch_id: int) -> str:
+    return os.path.join(path, f"batch_id={batch_id}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this run on whatever file system it lies; nothing happens if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """One folder per batch id, overwritten when the batch is repeated."""
-    batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+    batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -99,9 +99,11 @@ def test_p_values(spark):
     row = spark.range(1).select(
         chi2_sf(F.lit(3.841458820694124), F.lit(1)).alias("a"), chi2_sf(F.lit(18.307038053275146), F.lit(10)).alias("b"),
         chi2_sf(F.lit(float("inf")), F.lit(4)).alias("c"), chi2_sf(F.lit(0.0), F.lit(4)).alias("d"), chi2_sf(F.lit(900.0), F.lit(3)).alias("e"),
+        chi2_sf(F.lit(500000.0), F.lit(500000)).alias("h"), chi2_sf(F.lit(503000.0), F.lit(500000)).alias("i"), chi2_sf(F.lit(900000.0), F.lit(500000)).alias("j"),
         kolmogorov_p(F.lit(0.0), F.lit(10), F.lit(10)).alias("f"), kolmogorov_p(F.lit(0.5), F.lit(50), F.lit(50)).alias("g"),
     ).first()
     assert row["a"] == pytest.approx(0.05, abs=1e-9) and row["b"] == pytest.approx(0.05, abs=1e-9)
+    assert row["h"] == pytest.approx(0.5, abs=1e-3) and row["i"] == pytest.approx(0.00135, abs=1e-4) and row["j"] == 0
     assert (row["c"], row["d"], row["e"], row["f"]) == (0.0, 1.0, 0.0, 1.0)
     assert row["g"] == pytest.approx(2 * np.exp(-2 * 6.25), rel=1e-3)
 

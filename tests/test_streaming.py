@@ -110,7 +110,7 @@ def test_latest_state_over_batches(spark, stream, tmp_path):
     )
     state = S.BatchState(spark, str(tmp_path / "state"), S.LATEST_SCHEMA)
     R.drain_batches(messages, S.latest_state_step(state), str(tmp_path / "cp"))
-    out = state.before().toPandas()
+    out = state.current().toPandas()
     assert (out["kind"] == "heartbeat").sum() == 1 and out.loc[out["kind"] == "heartbeat", "seq"].item() == 239
     assert (out["kind"] == "review_log").sum() == 50
     # ids 0 to 59 come twice; only their first arrival counts
@@ -123,9 +123,13 @@ def test_rounds_are_announced_once(spark, stream, tmp_path):
     selected = spark.createDataFrame([(i, i // 40) for i in range(280)], "task_id long, round_id long")
     notes = source.select(F.col("id").alias("task_id"), F.lit(False).alias("was_cancelled"))
     done = str(tmp_path / "done")
-    R.drain_batches(notes, S.round_tracker_step(str(tmp_path / "seen"), done, selected), str(tmp_path / "cp"))
+    state = S.BatchState(spark, str(tmp_path / "open"), S.ROUND_SCHEMA, initial=S.open_rounds(selected))
+    R.drain_batches(notes, S.round_tracker_step(state, done), str(tmp_path / "cp"))
     out = {r["round_id"]: r["batch_id"] for r in R.read_batches(spark, done, "round_id long, selected long").collect()}
     assert out == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 3}
+    assert {r["round_id"] for r in state.current().collect()} == {6}
+    # only the last two states are kept
+    assert sorted(f for f in os.listdir(tmp_path / "open") if f.startswith("batch_id")) == ["batch_id=2", "batch_id=3"]
 
 
 def test_replay_after_a_sequence_number(spark):
