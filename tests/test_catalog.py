@@ -30,3 +30,19 @@ def test_query(spark, small_sf, name):
         assert problem is None, problem
     else:
         df.collect()
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Started from a folder where workers cannot import the package, Python-backed queries still run."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r}); from __spark_entry__ import queries; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); "
+        "print('rows', queries()['radius_join'](s, '/root/testdata/sf0.001').count())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 365" in out.stdout, out.stderr[-2000:]
