@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curadrift.functions.numbers import share
-from curadrift.operators.blocks import block_count, block_pairs
+from curadrift.operators.blocks import block_count, block_pairs, no_rows
 from curadrift.operators.ordered import indexed, neighbours
 
 # A task with more annotators than this is counted in blocks instead of by a self-join.
@@ -57,8 +57,12 @@ def _pairs_by_blocks(labels: DataFrame, block_annotators: int = 2048, chunk_task
                     counts = (left.T @ cells).astype("int64")
                     counts[xa[:, None] >= ya[None, :]] = 0
                     i, j = np.nonzero(counts)
-                    out += [(xa[a], ya[b], l1, l2, counts[a, b]) for a, b in zip(i, j)]
-        return pd.DataFrame(out, columns=["a1", "a2", "l1", "l2", "n"])
+                    if len(i):
+                        names = [np.full(len(i), name, dtype=object) for name in (l1, l2)]
+                        out.append((xa[i], ya[j], *names, counts[i, j]))
+        if not out:
+            return no_rows("a1", "a2", "l1", "l2", "n")
+        return pd.DataFrame(dict(zip(["a1", "a2", "l1", "l2", "n"], map(np.concatenate, zip(*out)))))
 
     size = labels.agg(F.approx_count_distinct("task_id").alias("tasks"), F.approx_count_distinct("annotator_id").alias("who")).first()
     annotator_blocks = block_count(size["who"], block_annotators)
@@ -91,8 +95,9 @@ def pair_agreement(counts: DataFrame) -> DataFrame:
         F.struct(F.col("l2").alias("label"), F.lit(0).cast("bigint").alias("m1"), F.col("n").alias("m2"),
                  F.lit(0).cast("bigint").alias("same")),
     )
+    # one shuffle by pair serves both aggregations; a pair has at most labels^2 rows
     marginal = (
-        counts.select("a1", "a2", F.explode(sides).alias("s"))
+        counts.repartition("a1", "a2").select("a1", "a2", F.explode(sides).alias("s"))
         .groupBy("a1", "a2", "s.label")
         .agg(F.sum("s.m1").alias("m1"), F.sum("s.m2").alias("m2"), F.sum("s.same").alias("same"))
     )
