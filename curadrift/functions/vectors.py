@@ -35,6 +35,32 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sq_distance(a, b))
 
 
+# Up to this many dimensions a fixed point is written out term by term, which generated code runs
+# several times faster than a lambda; beyond it the generated method would get too long.
+UNROLLED_DIMENSIONS = 128
+
+
+def _balanced_sum(terms: list[Column]) -> Column:
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]
+
+
+def distance_to(v: Column, point: list[float]) -> Column:
+    """Euclidean distance to one fixed point."""
+    if not 0 < len(point) <= UNROLLED_DIMENSIONS:
+        return distance(v, F.lit([float(x) for x in point]).cast("array<double>"))
+    gaps = [F.get(v, F.lit(i)) - F.lit(float(x)) for i, x in enumerate(point)]
+    return F.sqrt(_balanced_sum([g * g for g in gaps]))
+
+
+def dot_with(v: Column, point: list[float]) -> Column:
+    """Inner product with one fixed point."""
+    if not 0 < len(point) <= UNROLLED_DIMENSIONS:
+        return dot(v, F.lit([float(x) for x in point]).cast("array<double>"))
+    return _balanced_sum([F.get(v, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(point)])
+
+
 def manhattan(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 

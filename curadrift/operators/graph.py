@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from curadrift.functions import vectors as V
 from curadrift.operators.blocks import BLOCK_ROWS, no_rows, sq_distances
 from curadrift.operators.outliers import centroid_distances, distance_summary
-from curadrift.session import checkpointed, small_side
+from curadrift.session import BROADCAST_ROW_LIMIT, checkpointed, small_side
 
 
 # ---- edges -------------------------------------------------------------------------------
@@ -27,10 +27,8 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
     and each block pair emits its matches only.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    pivot = rows.agg(F.min_by("v", "id"))
-    banded = rows.withColumn("pivot", pivot.scalar()).select(
-        "id", "v", F.floor(V.distance(F.col("v"), F.col("pivot")) / radius).alias("band")
-    )
+    pivot = rows.agg(F.min_by("v", "id").alias("v")).first()["v"] or []
+    banded = rows.select("id", "v", F.floor(V.distance_to(F.col("v"), pivot) / radius).alias("band"))
     around = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("own"))
     near = sizes.select(F.explode(around).alias("band"), "own").groupBy("band").agg(F.sum("own").alias("near"))
@@ -92,18 +90,30 @@ def neighbour_counts(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
 
 # ---- traversals --------------------------------------------------------------------------
 
+def _hinted(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a counted table if it is small, so that the big side of its joins stays where it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
+
+
 def bfs_levels(nodes: DataFrame, key: str, edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every node with its hop count from the nearest seed, NULL where not reached."""
+    """Every node with its hop count from the nearest seed, NULL where not reached.
+
+    While a level is small, a round only scans the links and the visited nodes; neither is shuffled.
+    """
     links = checkpointed(both_ways(edges).select("src", "dst"))
-    visited = checkpointed(seeds.select(F.col(key).alias("id"), F.lit(0).alias("hop")))
-    frontier, hop = visited, 0
-    while max_depth is None or hop < max_depth:
+    visited = checkpointed(seeds.select(F.col(key).alias("id"), F.lit(0).alias("hop")).distinct())
+    frontier, size, hop = visited, visited.count(), 0
+    while size and (max_depth is None or hop < max_depth):
         hop += 1
-        reached = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(reached.join(visited, "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        visited = checkpointed(visited.unionByName(frontier))
+        start = _hinted(frontier.select(F.col("id").alias("src")), size)
+        reached = checkpointed(links.join(start, "src").select(F.col("dst").alias("id")).distinct())
+        seen = visited.select("id").join(_hinted(reached, reached.count()), "id", "left_semi")
+        frontier = checkpointed(reached.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        size = frontier.count()
+        # every level is a checkpoint of its own; their union is cut now and then to keep the plan short
+        visited = visited.unionByName(frontier)
+        if hop % 10 == 0:
+            visited = checkpointed(visited)
     return nodes.select(F.col(key).alias("id")).join(visited, "id", "left")
 
 
@@ -141,22 +151,31 @@ def shortest_paths(nodes: DataFrame, key: str, edges: DataFrame, sources: DataFr
     best = checkpointed(sources.select(
         F.col(key).alias("id"), F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.lit(None).cast(id_type).alias("pred")
     ))
-    changed, rounds = best, 0
-    while max_rounds is None or rounds < max_rounds:
+    # ``known`` collects every improvement; the smallest distance of a node is its current one
+    known, changed, size, rounds = best, best, best.count(), 0
+    while size and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        offers = changed.join(links, changed["id"] == links["src"]).select(
+        start = _hinted(changed.select(F.col("id").alias("src"), "distance", "hops"), size)
+        offers = checkpointed(links.join(start, "src").select(
             F.col("dst").alias("id"), F.struct(
                 (F.col("distance") + F.col("weight")).alias("distance"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred")
             ).alias("offer"),
-        ).groupBy("id").agg(F.min("offer").alias("offer"))
-        old = best.select("id", F.col("distance").alias("old"))
+        ).groupBy("id").agg(F.min("offer").alias("offer")))
+        asked = _hinted(offers.select("id"), offers.count())
+        old = known.join(asked, "id", "left_semi").groupBy("id").agg(F.min("distance").alias("old"))
         changed = checkpointed(
             offers.join(old, "id", "left").filter(F.col("old").isNull() | (F.col("offer.distance") < F.col("old"))).select("id", "offer.*")
         )
-        if changed.isEmpty():
-            break
-        best = checkpointed(best.join(changed, "id", "left_anti").unionByName(changed))
-    return nodes.select(F.col(key).alias("id")).join(best, "id", "left")
+        size = changed.count()
+        known = known.unionByName(changed)
+        if rounds % 10 == 0:
+            known = checkpointed(_nearest_offers(known))
+    return nodes.select(F.col(key).alias("id")).join(_nearest_offers(known), "id", "left")
+
+
+def _nearest_offers(known: DataFrame) -> DataFrame:
+    best = F.min(F.struct("distance", "hops", "pred"))
+    return known.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
 def dijkstra_budget(nodes: DataFrame, key: str, edges: DataFrame, sources: DataFrame, settled: int) -> DataFrame:

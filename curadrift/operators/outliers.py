@@ -38,13 +38,9 @@ def centroid(df: DataFrame, vector: str = "embedding", by: list[str] | None = No
 
 
 def centroid_distances(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Add ``distance`` to the centroid of all rows (two scans, one vector between them)."""
-    centre = centroid(df, vector)
-    return (
-        df.withColumn("centroid", centre.scalar())
-        .withColumn("distance", V.distance(F.col(vector), F.col("centroid")))
-        .drop("centroid")
-    )
+    """Add ``distance`` to the centroid of all rows: two scans, one vector (the centroid) in between."""
+    centre = centroid(df, vector).first()["centroid"] or []
+    return df.withColumn("distance", V.distance_to(F.col(vector), centre))
 
 
 def distance_summary(distances: DataFrame, sigma: float = 2.0) -> DataFrame:

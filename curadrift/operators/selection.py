@@ -104,8 +104,10 @@ def random_scores(tasks: DataFrame, seed: int) -> DataFrame:
 def diversity_cosine(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Mean cosine distance to all rows in linear work: 1 - x^ . mean(x^)."""
     unit = df.select(key, V.l2_normalize(F.col(vector)).alias("u"))
-    mean = unit.agg(V.vector_mean(F.col("u")))
-    return unit.withColumn("mean", mean.scalar()).select(key, (1 - V.dot(F.col("u"), F.col("mean"))).alias("score"))
+    mean = unit.agg(V.vector_mean(F.col("u")).alias("m")).first()["m"] or []
+    length = V.norm(F.col(vector))
+    along = V.dot_with(F.col(vector), mean) / F.when(length == 0, 1.0).otherwise(length)
+    return df.select(key, (1 - along).alias("score"))
 
 
 def diversity_manhattan(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -133,7 +135,16 @@ def diversity_scores(df: DataFrame, key: str, vector: str, metric: str = "cosine
     return min_max_normalize(scored.select(F.col(key).alias("task_id"), "score"))
 
 
-METRICS = {"cosine": V.cosine_distance, "euclidean": V.distance, "manhattan": V.manhattan}
+def _to_anchors(x: np.ndarray, anchors: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows to all anchors."""
+    if metric == "cosine":
+        def unit(n: np.ndarray) -> np.ndarray:
+            return np.where(n == 0, 1.0, n)
+
+        return 1 - (x @ anchors.T) / (unit(np.linalg.norm(x, axis=1))[:, None] * unit(np.linalg.norm(anchors, axis=1))[None, :])
+    if metric == "euclidean":
+        return np.stack([np.sqrt(((x - a) ** 2).sum(1)) for a in anchors], axis=1)
+    return np.stack([np.abs(x - a).sum(1) for a in anchors], axis=1)
 
 
 def anchor_distances(df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str]) -> DataFrame:
@@ -141,14 +152,17 @@ def anchor_distances(df: DataFrame, key: str, vector: str, anchors: DataFrame, m
     listed = anchors.select("anchor", "v").limit(1025).collect()
     if len(listed) > 1024:
         raise ValueError("more than 1024 anchors: use the blocked distances instead")
-    columns = F.array(*[
-        F.struct(
-            F.lit(r["anchor"]).alias("anchor"),
-            *[METRICS[m](F.col(vector), F.lit([float(x) for x in r["v"]])).alias(m) for m in metrics],
-        )
-        for r in listed
-    ])
-    return df.select(key, F.inline(columns))
+    names, matrix = [r["anchor"] for r in listed], np.array([r["v"] for r in listed])
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame[vector].to_numpy())
+                columns = {m: _to_anchors(x, matrix, m).ravel() for m in metrics}
+                yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(names)), "anchor": names * len(frame), **columns})
+
+    key_type, anchor_type = df.schema[key].dataType.simpleString(), anchors.schema["anchor"].dataType.simpleString()
+    return df.select(key, vector).mapInPandas(measure, f"{key} {key_type}, anchor {anchor_type}, " + ", ".join(f"{m} double" for m in metrics))
 
 
 # ---- combined ----------------------------------------------------------------------------
