@@ -28,7 +28,9 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     pivot = rows.agg(F.min_by("v", "id").alias("v")).first()["v"] or []
-    banded = rows.select("id", "v", F.floor(V.distance_to(F.col("v"), pivot) / radius).alias("band"))
+    # a lambda here, not the term-by-term form: the band enters several generated expressions
+    gap = V.distance(F.col("v"), F.lit([float(x) for x in pivot]).cast("array<double>"))
+    banded = rows.select("id", "v", F.floor(gap / radius).alias("band"))
     around = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("own"))
     near = sizes.select(F.explode(around).alias("band"), "own").groupBy("band").agg(F.sum("own").alias("near"))
