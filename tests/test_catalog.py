@@ -32,7 +32,7 @@ def test_query(spark, small_sf, name):
         df.collect()
 
 
-def test_workers_need_no_copy_of_the_package(tmp_path):
+def test_workers_need_no_copy_of_the_package(spark, small_sf, tmp_path):
     """Started from a folder where workers cannot import the package, Python-backed queries still run."""
     import subprocess
     import sys
@@ -45,4 +45,5 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "rows 365" in out.stdout, out.stderr[-2000:]
+    wanted = queries()["radius_join"](spark, small_sf).count()
+    assert f"rows {wanted}" in out.stdout, out.stderr[-2000:]
