@@ -225,13 +225,8 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
     return ordered.select("text_id", F.col("all.out").alias("drawn"), F.col("all.entity").alias("kinds"))
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` (all columns, ``text`` rewritten, ``n_chars`` following it where it is a column) and ``entities``: the kinds found, in
-    text order.
-
-    Rows without entities pass through without a shuffle. Null and empty texts have no entities; equal texts get equal
-    results, repeated rows and null ids stay as they are.
-    """
+def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
+    """Rows as ``row``, ``text``, ``entities``; and the columns of ``docs`` from them."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     found = replacements(docs.select("text").where(F.col("text").isNotNull()), key)
@@ -245,9 +240,26 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         F.col("text").alias(c) if c == "text"
         else F.when(F.size("entities") == 0, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c)
         if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return both, own
+
+
+def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` (all columns, ``text`` rewritten, ``n_chars`` following it where it is a column) and ``entities_found``: their kinds, in
+    text order.
+
+    Rows without entities pass through without a shuffle. Null and empty texts have no entities; equal texts get equal
+    results, repeated rows and null ids stay as they are.
+    """
+    both, own = _rewritten(docs, key)
     return both.select(*own, F.col("entities").alias("entities_found"))
 
 
+def without_private_data(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text`` and no other column added."""
+    both, own = _rewritten(docs, key)
+    return both.select(*own)
+
+
 @query("op10_surrogates")
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
