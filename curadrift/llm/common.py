@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,5 +137,12 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
     raise RuntimeError("components did not settle")
 
 
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
+class Numbered(dict):
+    """Numbers for things in the order they are first looked up."""
+
+    def __missing__(self, thing):
+        number = self[thing] = len(self)
+        return number
+
+    def line(self, things: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, things), dtype=np.int64, count=len(things))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from curadrift.llm.common import query, table
+from curadrift.llm.common import Numbered, query, table
 
 PER_LANGUAGE = 200
 BUCKETS = 1 << 17
@@ -190,8 +190,8 @@ def predictions(texts: list[str | None], field: Field | None) -> list[tuple[str,
     if field is None:
         return out
     held: list[int] = []
-    lines: list[list[int]] = []
-    index: dict[str, int] = {}
+    lines: list[np.ndarray] = []
+    index = Numbered()
     size = 0
 
     def settle() -> None:
@@ -199,7 +199,7 @@ def predictions(texts: list[str | None], field: Field | None) -> list[tuple[str,
             return
         sizes = np.array([len(x) for x in lines])
         chances = chances_of(field.emissions(*features(list(index), field.lexicon)))
-        after = field.posteriors(chances[np.concatenate([np.array(x) for x in lines])], sizes)
+        after = field.posteriors(chances[np.concatenate(lines)], sizes)
         means = np.add.reduceat(after, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / sizes[:, None]
         best = means.argmax(axis=1)
         for n, k, row in zip(held, best.tolist(), means, strict=True):
@@ -214,7 +214,7 @@ def predictions(texts: list[str | None], field: Field | None) -> list[tuple[str,
             settle()
             size = 0
         held.append(n)
-        lines.append([index.setdefault(w, len(index)) for w in words])
+        lines.append(index.line(words))
         size += len(words)
     settle()
     return out

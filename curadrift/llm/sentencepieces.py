@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curadrift.llm import vocab
 from curadrift.llm.bytepairs import PairRule
-from curadrift.llm.common import query, table
+from curadrift.llm.common import Numbered, query, table
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CHARS_AT_ONCE = 1 << 22
-INDEXED_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 23
+INDEXED_AT_ONCE = 3 << 17
 
 
 def ragged(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -227,16 +227,15 @@ def encode_units(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text, as the library's encoder gives them; null and empty texts have none."""
     pieces = pieces_of(path)
-    index: dict[str, int] = {}
-    lines = []
+    index, lines = Numbered(), []
     for text in texts:
         found = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        lines.append(np.array([index.setdefault(u, len(index)) for u in found], dtype=np.int64))
+        lines.append(index.line(found))
     units = list(index)
     # units with several white space signs: the last may join the word, the others merge among themselves
     bare = [u.lstrip(SPACE) for u in units]
-    base: dict[str, int] = {}
-    of_base = [base.setdefault(SPACE + b, len(base)) if b else -1 for b in bare]
+    base = Numbered()
+    of_base = [base[SPACE + b] if b else -1 for b in bare]
     names, parts, counts, begin = list(base), [], [], 0
     while begin < len(names):
         stop, size = begin, 0
