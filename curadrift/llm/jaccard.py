@@ -107,7 +107,7 @@ def survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray,
     return live
 
 
-def _pairs(own: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of(own: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a unit: those between its two blocks, or inside its only one, in pieces of bounded size."""
     if bi != bj:
         a, b = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
@@ -183,7 +183,7 @@ def _tie_bucket(threshold: float):
             return None
         sig = np.frombuffer(b"".join(unit["sig"]), dtype="<u2").reshape(len(unit), COMPARED)
         ties = Ties(len(unit))
-        for i, j in _pairs(unit["own"].to_numpy(), unit["bi"].iat[0], unit["bj"].iat[0]):
+        for i, j in pairs_of(unit["own"].to_numpy(), unit["bi"].iat[0], unit["bj"].iat[0]):
             fresh = ties.root[i] != ties.root[j]
             i, j = i[fresh], j[fresh]
             live = survivors(sig, sig, i, j, threshold)
@@ -209,7 +209,7 @@ def _exact_unit(threshold: float, words: int):
         held = [numbers[c[often[c]]] for c in (columns[begins[n]:begins[n + 1]] for n in range(len(sets)))]
         ties, links = Ties(len(unit)), np.zeros(len(unit), dtype=np.int64)
         ids = unit["set_id"].to_numpy()
-        for i, j in _pairs(unit["own"].to_numpy(), unit["bi"].iat[0], unit["bj"].iat[0]):
+        for i, j in pairs_of(unit["own"].to_numpy(), unit["bi"].iat[0], unit["bj"].iat[0]):
             live = survivors(sig, sig, i, j, threshold)
             i, j = i[live], j[live]
             if not len(i):
