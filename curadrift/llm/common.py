@@ -113,27 +113,27 @@ def block_pairs(df: DataFrame, key: str, count: str, member: str, size: int) ->
 def components(edges: DataFrame, name: str = "components", rounds: int = 50) -> DataFrame:
     """Smallest node of each connected component, from links ``a`` and ``b`` (strings): ``node``, ``root``.
 
-    Every node takes the least root among its neighbours, then the roots are followed one step; ends when no root
-    changes. Each round is one stored table; the driver sees only the number of changes.
+    Each round gives every node the least of itself and its neighbours, then replaces both ends of every link by what they
+    were given: a star is settled in one round and later rounds see only links between what is left. Every round is
+    stored; the driver sees only whether a link is left.
     """
-    both = stored(
-        edges.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")),
-                                       F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b").distinct(), f"{name}-edges")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-0")
-    for turn in range(1, rounds + 1):
-        seen = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("far")), "b")
-        best = seen.groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
-        hop = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = (
-            roots.join(best, "node").join(hop, "root")
-            .select("node", F.col("root").alias("was"), F.least("near", "up", "root").alias("root"))
-        )
-        after = stored(after, f"{name}-{turn}")
-        changed = after.where("root <> was").limit(1).count()
-        roots = after.select("node", "root")
-        if not changed:
-            return roots
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    links, given = stored(ordered(edges), f"{name}-links"), None
+    for turn in range(rounds):
+        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        step = stored(ends.groupBy(F.col("e.a").alias("node")).agg(F.least(F.min("e.b"), F.first("e.a")).alias("root")), f"{name}-step-{turn}")
+        if given is None:
+            given = step
+        else:
+            onward = step.select(F.col("node").alias("root"), F.col("root").alias("onward"))
+            given = stored(given.join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), f"{name}-{turn}")
+        moved = links.join(step.select(F.col("node").alias("a"), F.col("root").alias("to_a")), "a").join(
+            step.select(F.col("node").alias("b"), F.col("root").alias("to_b")), "b")
+        links = stored(ordered(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), f"{name}-links-{turn}")
+        if not links.limit(1).count():
+            return given
     raise RuntimeError("components did not settle")
 
 

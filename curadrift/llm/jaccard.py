@@ -268,12 +268,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     once = buckets.groupBy("who", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
     chosen = banded.join(once, "bucket").join(classes.select("set_id", "sig"), "set_id")
     units = block_pairs(chosen, "bucket", "members", "set_id", BLOCK).select("bucket", "bi", "bj", "own", "set_id", "sig")
-    tied = by_units(units, ["bucket", "bi", "bj"], _tie_bucket(threshold), "a string, b string")
+    tied = by_units(units, ["bucket", "bi", "bj"], _tie_bucket(threshold), "a string, b string", ["set_id"])
     loose = components(tied, "jaccard-loose")
     counted = loose.join(loose.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("node", "set_id")
     texted = counted.join(classes.select("set_id", "text_id"), "set_id").join(seen, "text_id")
     units = block_pairs(texted, "root", "members", "set_id", BLOCK).select("root", "bi", "bj", "own", "set_id", "text")
-    judged = stored(by_units(units, ["root", "bi", "bj"], _exact_unit(threshold, words), "set_id string, links long, tie string"), "jaccard-links")
+    judged = stored(by_units(units, ["root", "bi", "bj"], _exact_unit(threshold, words), "set_id string, links long, tie string", ["set_id"]), "jaccard-links")
     groups = components(judged.where("tie is not null").select(F.col("set_id").alias("a"), F.col("tie").alias("b")), "jaccard-groups")
     links = judged.groupBy("set_id").agg(F.sum("links").alias("links"))
     known = signed.select("text_id", "set_id").join(links, "set_id", "left").join(
