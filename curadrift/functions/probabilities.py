@@ -47,7 +47,7 @@ def argmax(p: Column) -> Column:
 def consensus(members: Column) -> Column:
     """Mean distribution of an ``ARRAY<ARRAY<DOUBLE>>`` committee."""
     summed = F.aggregate(
-        F.slice(members, 2, 1000000), members[0], lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b)
+        F.slice(members, F.lit(2), F.greatest(F.size(members), F.lit(0))), members[0], lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b)
     )
     return divided(summed, F.size(members).cast("double"))
 

@@ -46,19 +46,24 @@ def _balanced_sum(terms: list[Column]) -> Column:
     return terms[0]
 
 
+def _of_length(v: Column, point: list[float], value: Column) -> Column:
+    """NULL for a vector of another length than the point, however the value is computed."""
+    return F.when(F.size(v) == len(point), value)
+
+
 def distance_to(v: Column, point: list[float]) -> Column:
     """Euclidean distance to one fixed point."""
     if not 0 < len(point) <= UNROLLED_DIMENSIONS:
-        return distance(v, F.lit([float(x) for x in point]).cast("array<double>"))
+        return _of_length(v, point, distance(v, F.lit([float(x) for x in point]).cast("array<double>")))
     gaps = [F.get(v, F.lit(i)) - F.lit(float(x)) for i, x in enumerate(point)]
-    return F.sqrt(_balanced_sum([g * g for g in gaps]))
+    return _of_length(v, point, F.sqrt(_balanced_sum([g * g for g in gaps])))
 
 
 def dot_with(v: Column, point: list[float]) -> Column:
     """Inner product with one fixed point."""
     if not 0 < len(point) <= UNROLLED_DIMENSIONS:
-        return dot(v, F.lit([float(x) for x in point]).cast("array<double>"))
-    return _balanced_sum([F.get(v, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(point)])
+        return _of_length(v, point, dot(v, F.lit([float(x) for x in point]).cast("array<double>")))
+    return _of_length(v, point, _balanced_sum([F.get(v, F.lit(i)) * F.lit(float(x)) for i, x in enumerate(point)]))
 
 
 def manhattan(a: Column, b: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from curadrift.operators.blocks import nearest
@@ -29,10 +28,12 @@ def lof_detector(df: DataFrame, key: str, vector: str, k: int, threshold: float
     near = checkpointed(nearest(df, key, vector, k, n))
     reach_limit = near.groupBy(F.col("id").alias("other")).agg(F.max("distance").alias("k_distance"))
     reach = near.join(reach_limit, "other").select("id", "other", F.greatest("distance", "k_distance").alias("reach"))
-    density = reach.groupBy("id").agg((1 / F.nullif(F.avg("reach"), F.lit(0.0))).alias("lrd"))
+    # rows among their own duplicates have infinite density
+    infinite = F.lit(float("inf"))
+    density = reach.groupBy("id").agg(F.coalesce(1 / F.nullif(F.avg("reach"), F.lit(0.0)), infinite).alias("lrd"))
     around = near.select("id", "other").join(density.select(F.col("id").alias("other"), F.col("lrd").alias("other_lrd")), "other")
     mean = around.groupBy("id").agg(F.avg("other_lrd").alias("mean_lrd"))
-    lof = F.coalesce(F.col("mean_lrd") / F.col("lrd"), F.lit(1.0))
+    lof = F.when(F.col("lrd") == infinite, 1.0).when(F.col("mean_lrd") == infinite, infinite).otherwise(F.col("mean_lrd") / F.col("lrd"))
     return mean.join(density, "id").select("id", lof.alias("score"), (lof > threshold).alias("is_anomaly"))
 
 
@@ -48,14 +49,15 @@ def _average_path(n: float) -> float:
 def isolation_forest(
     df: DataFrame, key: str, vector: str, trees: int = 50, sample: int = 256, seed: int = 9, threshold: float = 0.6
 ) -> DataFrame:
-    """Isolation forest: trees grow on disjoint hash samples, one per group; all rows are scored.
+    """Isolation forest: each tree grows on a hash sample of the whole table of its own; all rows are scored.
 
-    The sample holds at most trees * sample rows and the grown forest at most 2 * sample nodes per
-    tree, so both are bounded by arguments, not by the table.
+    A tree gets about ``sample`` rows (all, if there are fewer), so the samples and the grown forest are bounded by
+    arguments, not by the table, and every tree is a group of its own.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    pool = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(trees * sample)
-    dealt = pool.withColumn("tree", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(trees)))
+    share = int(min(1.0, sample / max(1, rows.count())) * 1_000_000)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", F.lit(seed), t), F.lit(1_000_000)) < share)
+    dealt = rows.withColumn("tree", F.explode(F.transform(drawn, lambda t: t.cast("long"))))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         tree, x = int(frame["tree"].iloc[0]), np.stack(frame["v"].to_numpy())
@@ -109,15 +111,18 @@ Detector = Callable[[DataFrame], DataFrame]
 
 
 def anomaly_consensus(df: DataFrame, detectors: dict[str, Detector]) -> tuple[DataFrame, dict[str, str]]:
-    """(id, votes, is_anomaly) with any vote enough, and the detectors that could not be planned."""
+    """(id, votes, detectors, is_anomaly) with any vote enough, and the errors of detectors that failed, in planning or while
+    they ran; each is stored by itself. Without any detector left there are no rows."""
     votes, failures = None, {}
     for name, detector in detectors.items():
         try:
-            part = detector(df).select("id", F.lit(name).alias("detector"), "is_anomaly")
-        except (PySparkException, KeyError) as failure:
-            failures[name] = str(failure)[:200]
+            part = checkpointed(detector(df).select("id", F.lit(name).alias("detector"), "is_anomaly"))
+        except Exception as failure:  # a detector is a user's function and may raise anything
+            failures[name] = str(failure)
             continue
         votes = part if votes is None else votes.unionByName(part)
+    if votes is None:
+        votes = df.sparkSession.createDataFrame([], "id bigint, detector string, is_anomaly boolean")
     per_id = votes.groupBy("id").agg(
         F.count_if("is_anomaly").alias("votes"), F.count(F.lit(1)).alias("detectors"), F.bool_or("is_anomaly").alias("is_anomaly")
     )

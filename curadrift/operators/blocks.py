@@ -27,13 +27,15 @@ def no_rows(*names: str) -> pd.DataFrame:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
 def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances of all row pairs of two blocks."""
-    out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(out, 0.0)
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    out = norms - 2.0 * (a @ b.T)
+    out[out < 1e-12 * norms] = 0.0  # what cancellation leaves of equal rows
+    return out
 
 
 def block_pairs(
@@ -113,13 +115,20 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, n: int) -> DataFrame:
         if not len(x) or not len(y):
             return no_rows("id", "other", "distance")
         y = y.sort_values("id", ignore_index=True)
-        diff = np.sqrt(sq_distances(_matrix(x["v"]), _matrix(y["v"])))
-        diff[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
-        order = np.argsort(diff, axis=1, kind="stable")[:, :k]
+        a, b = _matrix(x["v"]), _matrix(y["v"])
+        fast = sq_distances(a, b)
+        fast[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
+        # a few more by the fast form, then the exact distance decides
+        order = np.argsort(fast, axis=1, kind="stable")[:, :k + 8]
+        diff = np.sqrt(((a[:, None, :] - b[order]) ** 2).sum(axis=2)) if len(a) * order.shape[1] * a.shape[1] < 1 << 24 else np.stack(
+            [np.sqrt(((a[i] - b[order[i]]) ** 2).sum(axis=1)) for i in range(len(a))])
+        diff[~np.isfinite(np.take_along_axis(fast, order, axis=1))] = np.inf
+        best = np.lexsort((order, diff), axis=1)[:, :k]
+        order, diff = np.take_along_axis(order, best, axis=1), np.take_along_axis(diff, best, axis=1)
         frame = pd.DataFrame({
             "id": np.repeat(x["id"].to_numpy(), order.shape[1]),
             "other": y["id"].to_numpy()[order].ravel(),
-            "distance": np.take_along_axis(diff, order, axis=1).ravel(),
+            "distance": diff.ravel(),
         })
         return frame[np.isfinite(frame["distance"])]
 

@@ -16,13 +16,18 @@ from curadrift.session import small_side
 BINS = 10
 
 
+def is_number(column: str) -> Column:
+    """Neither NULL nor NaN: a NaN has no place in an order."""
+    return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+
+
 def ecdf_distances(df: DataFrame, groups: list[str]) -> DataFrame:
     """Per group n_ref, n_cur, ks, p_value, wasserstein, energy and the reference range.
 
     Rows collapse to one per distinct value before anything is ordered, so a value holding a third
     of the data is one row; running counts then come from range-partitioned parts.
     """
-    counts = df.filter(F.col("value").isNotNull()).groupBy(*groups, "value").agg(
+    counts = df.filter(is_number("value")).groupBy(*groups, "value").agg(
         F.count_if("is_ref").alias("c_ref"), F.count_if(~F.col("is_ref")).alias("c_cur")
     )
     cumulated = running(
@@ -46,7 +51,7 @@ def ecdf_distances(df: DataFrame, groups: list[str]) -> DataFrame:
 
 def histograms(df: DataFrame, groups: list[str], bins: int = BINS) -> DataFrame:
     """Per group ``p_ref`` and ``p_cur``: shares per equal-width bin of the joint range, +1 smoothed."""
-    kept = df.filter(F.col("value").isNotNull())
+    kept = df.filter(is_number("value"))
     edges = kept.groupBy(*groups).agg(
         F.min("value").alias("low"), ((F.max("value") - F.min("value")) / bins).alias("width")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from curadrift.functions import vectors as V
 from curadrift.operators.blocks import BLOCK_ROWS, no_rows, sq_distances
 from curadrift.operators.outliers import centroid_distances, distance_summary
-from curadrift.session import BROADCAST_ROW_LIMIT, checkpointed, small_side
+from curadrift.session import BROADCAST_BYTES, checkpointed, small_side
 
 
 # ---- edges -------------------------------------------------------------------------------
@@ -30,8 +30,10 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
     pivot = rows.agg(F.min_by("v", "id").alias("v")).first()["v"] or []
     # a lambda here, not the term-by-term form: the band enters several generated expressions
     gap = V.distance(F.col("v"), F.lit([float(x) for x in pivot]).cast("array<double>"))
-    banded = rows.select("id", "v", F.floor(gap / radius).alias("band"))
-    around = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    width = radius if radius > 0 else 1.0  # any width not below the radius will do
+    banded = rows.select("id", "v", F.floor(gap / width).alias("band"))
+    # a row stands on the right in its own band and in the one below, so two bands meet once
+    around = F.array(F.col("band") - 1, F.col("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("own"))
     near = sizes.select(F.explode(around).alias("band"), "own").groupBy("band").agg(F.sum("own").alias("near"))
     blocks = small_side(
@@ -44,8 +46,8 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
         "id", "v", "band", F.pmod(spread, F.col("nb_left")).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nb_right") - 1)).alias("bj")
     )
     right = (
-        banded.select(F.col("id").alias("id"), F.col("v").alias("v"), F.explode(around).alias("band")).join(blocks, "band")
-        .select("id", "v", "band", F.pmod(spread, F.col("nb_right")).alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nb_left") - 1)).alias("bi"))
+        banded.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("band").alias("home"), F.explode(around).alias("band")).join(blocks, "band")
+        .select("id", "v", "band", (F.col("home") == F.col("band")).alias("same"), F.pmod(spread, F.col("nb_right")).alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nb_left") - 1)).alias("bi"))
     )
 
     def matches(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -55,10 +57,12 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
         # a generous cut on the fast form, the exact test on the few rows that pass
         slack = radius * radius * (1 + 1e-6) + 1e-9
-        i, j = np.nonzero((sq_distances(a, b) <= slack) & (ids[:, None] < others[None, :]))
+        once = (ids[:, None] < others[None, :]) | ~y["same"].to_numpy(bool)[None, :]
+        i, j = np.nonzero((sq_distances(a, b) <= slack) & once)
         d = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
         keep = d <= radius if closed else d < radius
-        return pd.DataFrame({"src": ids[i][keep], "dst": others[j][keep], "weight": d[keep]})
+        p, q = ids[i][keep], others[j][keep]
+        return pd.DataFrame({"src": np.where(p < q, p, q), "dst": np.where(p < q, q, p), "weight": d[keep]})
 
     id_type = df.schema[key].dataType.simpleString()
     keys = ["band", "bi", "bj"]
@@ -81,8 +85,9 @@ def graph_problems(nodes: DataFrame, key: str, vector: str, dim: int) -> DataFra
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.select("src", "dst", "weight").unionByName(back)
+    """Each edge in both directions, from one reading of the edges."""
+    there, back = F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    return edges.select(F.explode(F.array(there, back)).alias("e")).select("e.*")
 
 
 def neighbour_counts(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
@@ -93,8 +98,8 @@ def neighbour_counts(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
 # ---- traversals --------------------------------------------------------------------------
 
 def _hinted(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a counted table if it is small, so that the big side of its joins stays where it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROW_LIMIT else df
+    """Broadcast a counted table of ids and numbers if it is small, so that the big side of its joins stays where it is."""
+    return F.broadcast(df) if rows * 16 * len(df.columns) <= BROADCAST_BYTES else df
 
 
 def bfs_levels(nodes: DataFrame, key: str, edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ TREE_CONFIDENCE = 0.9
 def tree_divergence(ai: DataFrame, human: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Per sample the preorder-first finding between two node tables (sample_id, path, text, n_children).
 
+    Where texts differ and the human one is empty, nothing is found at that node or below it.
     kind ``text``: texts differ, ``text`` is the human one; ``topology``: child counts differ;
     ``depth``: a node deeper than ``max_depth``; ``same``: none. Path arrays compare in preorder, and a
     node missing on one side always has a topology finding above it, so nodes meet by an inner join
@@ -24,9 +25,16 @@ def tree_divergence(ai: DataFrame, human: DataFrame, max_depth: int = MAX_DEPTH)
     a = ai.select("sample_id", "path", F.col("text").alias("a_text"), F.col("n_children").alias("a_n"))
     h = human.select("sample_id", "path", F.col("text").alias("h_text"), F.col("n_children").alias("h_n"))
     deep = F.size("path") > max_depth
-    differs = (F.col("a_text") != F.col("h_text")) & (F.col("h_text") != "")
-    kind = F.when(deep, "depth").when(differs, "text").when(F.col("a_n") != F.col("h_n"), "topology")
-    found = a.join(h, ["sample_id", "path"]).withColumn("kind", kind)
+    differs = F.col("a_text") != F.col("h_text")
+    silent = differs & (F.col("h_text") == "") & ~deep
+    kind = F.when(deep, "depth").when(silent, "silent").when(differs, "text").when(F.col("a_n") != F.col("h_n"), "topology")
+    met = a.join(h, ["sample_id", "path"]).withColumn("kind", kind)
+    # findings below a silent node do not count: a node looks for its ancestors among them
+    hushed = met.filter("kind = 'silent'").select("sample_id", F.col("path").alias("above"))
+    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    below = met.filter("kind IS NOT NULL").select("sample_id", "path", F.explode(above).alias("above")).join(hushed, ["sample_id", "above"])
+    below = below.select("sample_id", "path").distinct().withColumn("hushed", F.lit(True))
+    found = met.join(below, ["sample_id", "path"], "left").withColumn("kind", F.when(F.col("hushed").isNull(), F.col("kind")))
     first = F.min(F.when(F.col("kind").isNotNull(), F.struct("path", "kind", "h_text")))
     return found.groupBy("sample_id").agg(first.alias("f")).select(
         "sample_id", F.coalesce("f.kind", F.lit("same")).alias("kind"), F.col("f.path").alias("path"),

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curadrift.functions.numbers import clip, ratio, share
 from curadrift.operators import agreement as A
-from curadrift.operators.ordered import ranged, running
+from curadrift.operators.ordered import indexed, ranged, running
 from curadrift.session import checkpointed
 
 ISSUE_COLUMNS = ["assessor", "issue_type", "severity", "title", "task_id", "annotation_id", "annotator_id"]
@@ -209,26 +208,27 @@ def assess_completeness(tasks: DataFrame, annotations: DataFrame, overlap: int =
 
 
 def label_share_gaps(annotations: DataFrame) -> DataFrame:
-    """Per annotator the largest difference between own and overall label share.
+    """Per annotator the largest difference between own and overall label share, over all labels.
 
-    Labels the annotator never used count through the ones whose overall share exceeds 0.3, so the
-    value is exact wherever it can pass the 0.3 threshold it is compared with.
+    Labels the annotator never used differ by their overall share, so only the largest such share matters: with labels
+    ranked by share once, it is that of the first rank missing among the annotator's own.
     """
     own = annotations.groupBy("annotator_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    overall = own.groupBy("label").agg(F.sum("n").alias("t"))
+    overall = own.groupBy("label").agg(F.sum("n").alias("t")).withColumn("one", F.lit(1))
     total = overall.agg(F.sum("t").alias("total"))
-    shares = overall.withColumn("total", total.scalar()).select("label", (F.col("t") / F.col("total")).alias("overall"))
+    shares = overall.withColumn("total", total.scalar()).select("one", "label", (F.col("t") / F.col("total")).alias("overall"), (-F.col("t")).alias("less"))
+    ranked = checkpointed(indexed(shares, ["one"], ["less", "label"]).select("label", "overall", F.col("idx").alias("place")))
     sizes = own.groupBy("annotator_id").agg(F.sum("n").alias("size"))
-    seen = own.join(sizes, "annotator_id").join(shares, "label").select(
-        "annotator_id", "label", "size", F.abs(F.col("n") / F.col("size") - F.col("overall")).alias("gap")
+    seen = own.join(sizes, "annotator_id").join(ranked, "label").select(
+        "annotator_id", "place", "size", F.abs(F.col("n") / F.col("size") - F.col("overall")).alias("gap")
     )
-    # fewer than four labels can have an overall share above 0.3: a list bounded by arithmetic
-    heavy = shares.filter("overall > 0.3").agg(F.collect_list(F.struct("label", "overall")).alias("h"))
-    per = seen.groupBy("annotator_id").agg(
-        F.max("gap").alias("seen_gap"), F.max("size").alias("size"), F.collect_set(F.when(F.col("gap").isNotNull(), F.col("label"))).alias("used")
-    ).withColumn("heavy", heavy.scalar())
-    absent = F.array_max(F.transform(F.filter("heavy", lambda h: ~F.array_contains("used", h["label"])), lambda h: h["overall"]))
-    return per.select("annotator_id", "size", F.greatest("seen_gap", F.coalesce(absent, F.lit(0.0))).alias("max_difference"))
+    nth = F.row_number().over(Window.partitionBy("annotator_id").orderBy("place"))
+    per = seen.withColumn("nth", nth).groupBy("annotator_id").agg(
+        F.max("gap").alias("seen_gap"), F.max("size").alias("size"), F.count_if(F.col("nth") == F.col("place")).alias("unbroken")
+    )
+    absent = ranked.select((F.col("place") - 1).alias("unbroken"), F.col("overall").alias("absent"))
+    return per.join(absent, "unbroken", "left").select(
+        "annotator_id", "size", F.greatest("seen_gap", F.coalesce("absent", F.lit(0.0))).alias("max_difference"))
 
 
 def assess_outlier(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,25 +290,23 @@ def register_assessor(name: str, assessor: Assessor) -> None:
     ASSESSORS[name] = assessor
 
 
+SCORES, ISSUES = "assessor string, score double, error string", ", ".join(
+    f"{c} {'bigint' if c.endswith('_id') else 'string'}" for c in ISSUE_COLUMNS)
+
+
 def run_assessment(tasks: DataFrame, annotations: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores, issues) of the named assessors; one that cannot be planned scores 0 with its error."""
+    """(scores, issues) of the named assessors. Each is run and stored by itself: one that fails, in planning or while it
+    runs, scores 0 with its error and leaves the others alone."""
     spark = tasks.sparkSession
-    scores, issues = [], []
+    all_scores, all_issues = spark.createDataFrame([], SCORES), spark.createDataFrame([], ISSUES)
     for name in names or list(ASSESSORS):
         try:
             score, found = ASSESSORS[name](tasks, annotations)
-            scores.append(score.select("assessor", "score", F.lit(None).cast("string").alias("error")))
-            issues.append(found.select(*ISSUE_COLUMNS))
-        except (PySparkException, KeyError) as failure:
-            row = spark.range(1).select(
-                F.lit(name).alias("assessor"), F.lit(0.0).alias("score"), F.lit(str(failure)[:200]).alias("error")
-            )
-            scores.append(row)
-    all_scores, all_issues = scores[0], issues[0] if issues else None
-    for s in scores[1:]:
-        all_scores = all_scores.unionByName(s)
-    for i in issues[1:]:
-        all_issues = all_issues.unionByName(i)
+            score = checkpointed(score.select("assessor", F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("error")))
+            all_issues = all_issues.unionByName(checkpointed(found.select(*ISSUE_COLUMNS)))
+        except Exception as failure:  # an assessor is a user's function and may raise anything
+            score = spark.createDataFrame([(name, 0.0, str(failure))], SCORES)
+        all_scores = all_scores.unionByName(score)
     return all_scores, all_issues
 
 

@@ -147,22 +147,30 @@ def _to_anchors(x: np.ndarray, anchors: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.abs(x - a).sum(1) for a in anchors], axis=1)
 
 
-def anchor_distances(df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str]) -> DataFrame:
-    """(key, anchor, one column per metric) to a counted, bounded set of anchors (anchor, v)."""
-    listed = anchors.select("anchor", "v").limit(1025).collect()
-    if len(listed) > 1024:
-        raise ValueError("more than 1024 anchors: use the blocked distances instead")
-    names, matrix = [r["anchor"] for r in listed], np.array([r["v"] for r in listed])
+def anchor_distances(
+    df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str], block_anchors: int = 1024
+) -> DataFrame:
+    """(key, anchor, one column per metric) for every row and every anchor (anchor, v).
+
+    The result has rows x anchors rows, whatever their number: reduce it before keeping it. Anchors are a table, dealt into
+    blocks of about ``block_anchors`` that each row block meets one at a time.
+    """
+    held = checkpointed(anchors.select("anchor", "v"))
+    blocks = max(1, -(-held.count() // block_anchors))
+    packed = held.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("anchor", "v")).alias("anchors"))
+    met = df.select(key, vector).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "block")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                x = np.stack(frame[vector].to_numpy())
+            for _, part in frame.groupby("block"):
+                listed = part["anchors"].iat[0]
+                names, matrix = [a["anchor"] for a in listed], np.array([a["v"] for a in listed])
+                x = np.stack(part[vector].to_numpy())
                 columns = {m: _to_anchors(x, matrix, m).ravel() for m in metrics}
-                yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(names)), "anchor": names * len(frame), **columns})
+                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(names)), "anchor": names * len(part), **columns})
 
     key_type, anchor_type = df.schema[key].dataType.simpleString(), anchors.schema["anchor"].dataType.simpleString()
-    return df.select(key, vector).mapInPandas(measure, f"{key} {key_type}, anchor {anchor_type}, " + ", ".join(f"{m} double" for m in metrics))
+    return met.mapInPandas(measure, f"{key} {key_type}, anchor {anchor_type}, " + ", ".join(f"{m} double" for m in metrics))
 
 
 # ---- combined ----------------------------------------------------------------------------
@@ -214,6 +222,8 @@ def farthest_first(df: DataFrame, key: str, vector: str, k: int, start, candidat
     spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
     state = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(float("inf")).alias("gap"))
     first = state.filter(F.col("id") == F.lit(start)).first()
+    if first is None:
+        raise ValueError(f"no row with id {start!r} to start from")
     picked, fresh = [(1, first["id"], float("inf"))], [np.array(first["v"])]
     schema = f"id {key_type}, v array<double>, gap double"
     while len(picked) < k:

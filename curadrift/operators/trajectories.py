@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curadrift.functions import vectors as V
 from curadrift.operators.ordered import indexed, neighbours
+from curadrift.session import checkpointed
 
 # Limits.
 MAX_SPEED, MAX_ACCELERATION, MIN_CLEARANCE, DEFAULT_RADIUS = 1.0, 2.0, 0.05, 0.1
-OBSTACLE_LIMIT = 1024
+GRID_AXES = 3
+
 
+def obstacle_clearance(df: DataFrame, obstacles: DataFrame) -> DataFrame:
+    """Rows whose ``state`` is closer than radius + clearance to any obstacle (``position``, ``radius``).
 
-def _near_obstacle(state: Column, obstacles: DataFrame | None) -> Column:
-    """True when the state is closer than radius + clearance to any obstacle (a counted, bounded list)."""
-    listed = [] if obstacles is None else obstacles.select("position", "radius").limit(OBSTACLE_LIMIT + 1).collect()
-    if len(listed) > OBSTACLE_LIMIT:
-        raise ValueError(f"more than {OBSTACLE_LIMIT} obstacles")
-    hit = F.lit(False)
-    for o in listed:
-        radius = DEFAULT_RADIUS if o["radius"] is None else o["radius"]
-        hit = hit | (V.distance(state, F.lit([float(x) for x in o["position"]])) < radius + MIN_CLEARANCE)
-    return hit
+    Obstacles stay a table: each stands in its grid cell and the adjacent ones (over up to three axes), cells are as wide as
+    the largest reach, and a state meets the obstacles of its own cell only.
+    """
+    placed = obstacles.select(F.col("position").alias("at"), (F.coalesce("radius", F.lit(DEFAULT_RADIUS)) + MIN_CLEARANCE).alias("reach"))
+    bound = placed.agg(F.max("reach").alias("reach"), F.min(F.size("at")).alias("axes")).first()
+    if not bound["axes"] or bound["axes"] < 1 or bound["reach"] <= 0:
+        return df.filter(F.lit(False))
 
+    def cell(point: Column, shift: tuple[int, ...]) -> Column:
+        return F.array(*[F.floor(F.get(point, F.lit(i)) / bound["reach"]) + s for i, s in enumerate(shift)])
 
-def obstacle_clearance(df: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """Rows whose state collides."""
-    return df.filter(_near_obstacle(F.col("state"), obstacles))
+    axes = min(GRID_AXES, bound["axes"])
+    around = F.array(*[cell(F.col("at"), shift) for shift in itertools.product((-1, 0, 1), repeat=axes)])
+    near = placed.select("at", "reach", F.explode(around).alias("cell"))
+    meets = (cell(df["state"], (0,) * axes) == near["cell"]) & (V.distance(df["state"], near["at"]) < near["reach"])
+    return df.join(near, meets, "left_semi")
 
 
 def kinematics(df: DataFrame, group: str, order: list[str], obstacles: DataFrame | None = None) -> DataFrame:
@@ -39,12 +46,18 @@ def kinematics(df: DataFrame, group: str, order: list[str], obstacles: DataFrame
     measured = steps.select(
         group, (F.col("idx") - 1).alias("step"), "state", speed.alias("speed"), V.norm(bend).alias("acceleration")
     )
+    collides = F.lit(False)
+    if obstacles is not None:
+        measured = checkpointed(measured)
+        hit = obstacle_clearance(measured, obstacles).select(group, "step").withColumn("hit", F.lit(True))
+        measured = measured.join(hit, [group, "step"], "left")
+        collides = F.coalesce("hit", F.lit(False))
     rules = [
-        (_near_obstacle(F.col("state"), obstacles), "collision"),
+        (collides, "collision"),
         (F.col("speed") > MAX_SPEED, "velocity"),
         (F.col("acceleration") > MAX_ACCELERATION, "acceleration"),
     ]
-    return measured.withColumn("violations", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules])))
+    return measured.withColumn("violations", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))).drop("hit")
 
 
 def safety_report(measured: DataFrame, group: str) -> DataFrame:

@@ -9,7 +9,8 @@ from curadrift.session import checkpointed
 
 def row_json(df: DataFrame) -> Column:
     """Canonical JSON of a row: columns in name order."""
-    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    stamps = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false", **stamps})
 
 
 def row_hashes(df: DataFrame) -> DataFrame:

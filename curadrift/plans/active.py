@@ -237,14 +237,14 @@ def adaptive_select(spark, sf):
 
 def two_class(spark, sf):
     return samples(spark, sf).select(
-        F.col("image_id").alias("task_id"), F.slice("embedding", 1, 8).alias("features"), (F.col("label").cast("int") % 2).cast("double").alias("label")
+        F.col("image_id").alias("task_id"), F.col("embedding").alias("features"), (F.col("label").cast("int") % 2).cast("double").alias("label")
     )
 
 
 @query("ensemble_uncertainty")
 def ensemble_uncertainty(spark, sf):
     df = two_class(spark, sf)
-    return S.ensemble_uncertainty(df, df, classes=2, dim=8)
+    return S.ensemble_uncertainty(df, df, classes=2, dim=64)
 
 
 @query("calibrated_uncertainty")

@@ -57,9 +57,9 @@ def sample_contract(spark, sf):
     )
 
 
-@query("slice_check", sql("SELECT count(*) AS n, 500 AS declared, count(*) = 500 AND count(*) > 0 AS valid FROM samples", "samples"))
+@query("slice_check", sql("SELECT count(*) AS n, (SELECT count(*) FROM embeddings) AS declared, count(*) = (SELECT count(*) FROM embeddings) AND count(*) > 0 AS valid FROM samples", "samples"))
 def slice_check(spark, sf):
-    return O.slice_check(samples(spark, sf), 500)
+    return O.slice_check(samples(spark, sf), table(spark, sf, "embeddings").count())
 
 
 @query("l2_normalize", sql(

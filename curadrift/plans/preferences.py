@@ -40,14 +40,14 @@ def tree_divergence(spark, sf):
 
 
 def prompts(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("prompt"), F.substring("text", 1, 20).alias("ai_text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("prompt"), F.col("text").alias("ai_text"))
 
 
 @query("build_preference", sql(
-    "SELECT sample_id, source AS prompt, md5(coalesce(dv.text, 'Human accepted AI text unchanged')) AS chosen_md5, substr(d.text, 1, 20) AS rejected, 0.9::DOUBLE AS confidence, 1 AS turn_length FROM dv JOIN documents d ON d.doc_id = sample_id WHERE kind <> 'topology'", sent=SENT, dv=DIVERGE))
+    "SELECT sample_id, source AS prompt, md5(coalesce(dv.text, 'Human accepted AI text unchanged')) AS chosen_md5, md5(d.text) AS rejected_md5, 0.9::DOUBLE AS confidence, 1 AS turn_length FROM dv JOIN documents d ON d.doc_id = sample_id WHERE kind <> 'topology'", sent=SENT, dv=DIVERGE))
 def build_preference(spark, sf):
     pairs, _ = P.build_preference(P.tree_divergence(*trees(spark, sf)), prompts(spark, sf))
-    return pairs.withColumn("chosen_md5", F.md5("chosen")).drop("chosen")
+    return pairs.withColumns({f"{c}_md5": F.md5(c) for c in ["chosen", "rejected"]}).drop("chosen", "rejected")
 
 
 @query("conversation_pairs", sql("SELECT conv_id, turn, md5(prompt) AS prompt_md5, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, confidence, turn_length FROM pref", "pref"))
@@ -121,10 +121,14 @@ def augment_auto(spark, sf):
 # ---- versions ----------------------------------------------------------------------------
 
 def order_rows(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return table(spark, sf, "orders")
 
 
-ROWJ = "SELECT o_orderkey, o_orderpriority, o_custkey, sha256(CAST(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderpriority', o_orderpriority) AS VARCHAR)) AS h FROM orders"
+STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
+ROWJ = (
+    f"SELECT o_orderkey, sha256(CAST(json_object('o_custkey', o_custkey, 'o_orderdate', {STAMP.format('o_orderdate')}, 'o_orderkey', o_orderkey, "
+    "'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus, 'o_totalprice', o_totalprice) AS VARCHAR)) AS h FROM orders"
+)
 SUMS = "count(*) || '-' || " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
 
 
@@ -141,7 +145,7 @@ def data_hash(spark, sf):
 def monthly_versions(spark, sf):
     """One version per day of events: number by day, parent the day before, hash of the day's rows."""
     days = table(spark, sf, "events").select(
-        (F.timestamp_diff("DAY", ntz("2024-01-01"), F.col("ts")) + 1).alias("number"), "event_id", "user_id", "event_type"
+        (F.timestamp_diff("DAY", ntz("2024-01-01"), F.col("ts")) + 1).alias("number"), "*"
     )
     hashed = Z.table_hash(days, by=["number"])
     return hashed.select(
@@ -154,15 +158,17 @@ def monthly_versions(spark, sf):
 
 @query("list_versions", (
     "SELECT 'v' || n AS version_id, CASE WHEN n > 1 THEN 'v' || (n - 1) END AS parent_id, substr(sha256(" + SUMS + "), 1, 16) AS data_hash, TIMESTAMP '2024-01-01' + to_days(CAST(n AS INTEGER)) AS created_at FROM "
-    "(SELECT n, sha256(CAST(json_object('event_id', event_id, 'event_type', event_type, 'number', n, 'user_id', user_id) AS VARCHAR)) AS h FROM (SELECT *, datediff('day', TIMESTAMP '2024-01-01', ts) + 1 AS n FROM events)) GROUP BY n"))
+    "(SELECT n, sha256(CAST(json_object('event_id', event_id, 'event_type', event_type, 'number', n, 'props', props, 'ts', " + STAMP.format("ts") + ", 'user_id', user_id, 'value', value) AS VARCHAR)) AS h FROM (SELECT *, datediff('day', TIMESTAMP '2024-01-01', ts) + 1 AS n FROM events)) GROUP BY n"))
 def list_versions(spark, sf):
     return Z.list_versions(monthly_versions(spark, sf)).select("version_id", "parent_id", "data_hash", "created_at")
 
 
-@query("create_version", "SELECT 'v' || (m + 1) AS version_id, m + 1 AS number, 'v' || m AS parent_id, 'next' AS description FROM (SELECT max(datediff('day', TIMESTAMP '2024-01-01', ts) + 1) AS m FROM events)")
+@query("create_version", sql(
+    "SELECT 'v' || (m + 1) AS version_id, m + 1 AS number, 'v' || m AS parent_id, 'next' AS description, data_hash FROM (SELECT max(datediff('day', TIMESTAMP '2024-01-01', ts) + 1) AS m FROM events), "
+    f"(SELECT substr(sha256({SUMS}), 1, 16) AS data_hash FROM rj)", rj=ROWJ))
 def create_version(spark, sf):
     hashed = Z.table_hash(order_rows(spark, sf))
-    return Z.create_version(monthly_versions(spark, sf), hashed, "next", ntz("2024-03-01")).select("version_id", "number", "parent_id", "description")
+    return Z.create_version(monthly_versions(spark, sf), hashed, "next", ntz("2024-03-01")).select("version_id", "number", "parent_id", "description", "data_hash")
 
 
 @query("version_history", "SELECT 'v' || n AS version_id, 20 - n AS steps_back FROM (SELECT DISTINCT datediff('day', TIMESTAMP '2024-01-01', ts) + 1 AS n FROM events) WHERE n <= 20")

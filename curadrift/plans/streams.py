@@ -86,7 +86,7 @@ KINDS = "CASE event_id % 4 WHEN 0 THEN 'report' WHEN 1 THEN 'review_log' WHEN 2
 
 
 @query("latest_state", (
-    f"SELECT kind, id, seq, body FROM (SELECT kind, id, min(seq) AS seq, arg_min(body, seq) AS body, row_number() OVER (PARTITION BY kind ORDER BY min(seq) DESC) AS rn FROM (SELECT {KINDS} AS kind, CAST(user_id AS VARCHAR) AS id, event_id AS seq, event_type AS body FROM events) WHERE kind IN ('report', 'review_log') GROUP BY 1, 2) "
+    f"SELECT kind, id, seq, body FROM (SELECT kind, id, max(seq) AS seq, arg_max(body, seq) AS body, row_number() OVER (PARTITION BY kind ORDER BY max(seq) DESC) AS rn FROM (SELECT {KINDS} AS kind, CAST(user_id AS VARCHAR) AS id, event_id AS seq, event_type AS body FROM events) WHERE kind IN ('report', 'review_log') GROUP BY 1, 2) "
     f"WHERE rn <= CASE WHEN kind = 'report' THEN 100 ELSE 50 END UNION ALL SELECT kind, arg_max(id, seq), max(seq), arg_max(body, seq) FROM (SELECT {KINDS} AS kind, CAST(user_id AS VARCHAR) AS id, event_id AS seq, event_type AS body FROM events) WHERE kind IN ('snapshot', 'heartbeat') GROUP BY 1"))
 def latest_state(spark, sf):
     root = fresh_path(spark, "latest")

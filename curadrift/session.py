@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Rows a broadcast side may hold; beyond it the join is left to Spark's shuffle joins.
-BROADCAST_ROW_LIMIT = 200_000
+# Bytes a broadcast side may hold; beyond it the join is left to Spark's shuffle joins.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "curadrift", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,7 +57,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Materialise a reduced table and hint a broadcast only if its counted size allows it."""
+def small_side(df: DataFrame, byte_limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a reduced table and hint a broadcast only if its measured bytes (as text) allow it."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= row_limit else kept
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(kept) if size <= byte_limit else kept

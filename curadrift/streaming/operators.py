@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curadrift.functions import vectors as V
-from curadrift.operators.entities import enrich_points, keep_newest
+from curadrift.operators.entities import enrich_points, latest_by_key
 from curadrift.operators.projections import flatten_json
 from curadrift.operators.sequential import Scan, scan_ordered
 from curadrift.session import checkpointed
@@ -50,6 +50,8 @@ def enrich(stream: DataFrame, known: DataFrame, key: str = "sample_id") -> DataF
 def histogram_baseline(df: DataFrame, value: str, bins: int) -> dict:
     """Edges and smoothed shares of the baseline: a handful of numbers for the monitor."""
     edge = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    if edge["low"] is None:
+        raise ValueError("the baseline has no values")
     width = (edge["high"] - edge["low"]) / bins
     counts = df.groupBy(_bin(value, edge["low"], width, bins).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     by_bin = {r["b"]: r["n"] for r in counts}
@@ -123,12 +125,15 @@ LATEST_SCHEMA = "kind string, id string, seq bigint, body string"
 
 
 def latest_state_step(state: BatchState):
-    """Per batch: newest reports and review logs without repeats, newest snapshot and heartbeat."""
+    """Per batch: newest reports and review logs without repeats, newest snapshot and heartbeat.
+
+    An id counts by its last arrival, so what is kept does not depend on how the stream is cut into batches."""
     def each(batch: DataFrame, batch_id: int) -> None:
         both = checkpointed(state.before(batch_id).unionByName(batch.select("kind", "id", "seq", "body")))
 
         def kept(kind: str, n: int) -> DataFrame:
-            return keep_newest(both.filter(F.col("kind") == kind), "id", "seq", n)
+            last = latest_by_key(both.filter(F.col("kind") == kind), "id", "seq")
+            return last.orderBy(F.desc("seq"), "id").limit(n).select("kind", "id", "seq", "body")
 
         row = F.struct("id", "seq", "body")
         newest = both.filter(F.col("kind").isin("snapshot", "heartbeat")).groupBy("kind").agg(F.max_by(row, "seq").alias("r"))

@@ -71,7 +71,7 @@ def with_dead_letters(process: Processor, path: str, payload: str) -> Processor:
         try:
             process(batch, batch_id)
         except Exception as failure:
-            write_batch(dead_letters(batch, payload, str(failure).splitlines()[0][:200]), path, batch_id)
+            write_batch(dead_letters(batch, payload, str(failure)), path, batch_id)
         finally:
             batch.unpersist()
 
