@@ -16,9 +16,14 @@ PART = "part_no"
 BUCKET_ROWS = 1 << 17
 
 
-def ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """Range-partition by group and order; the part number is fixed by a checkpoint."""
-    spread = df.repartitionByRange(*groups, *order).withColumn(PART, F.spark_partition_id())
+def ranged(df: DataFrame, groups: list[str], order: list[str], rows_per_part: int | None = None) -> DataFrame:
+    """Range-partition by group and order; the part number is fixed by a checkpoint. With ``rows_per_part`` there are at least
+    so many parts that none holds many more rows."""
+    keys = [*groups, *order]
+    if rows_per_part:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = [max(usual, -(-df.count() // rows_per_part)), *keys]
+    spread = df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id())
     return checkpointed(spread)
 
 

@@ -23,6 +23,9 @@ PH_DELTA, PH_THRESHOLD = 0.005, 50.0
 DDM_MIN_ROWS, DDM_DRIFT = 30, 3.0
 ADWIN_DELTA, ADWIN_MIN_ROWS, ADWIN_MIN_SIDE = 0.002, 10, 5
 
+# Rows a part holds in one worker, at most about.
+ROWS_PER_PART = 1 << 20
+
 # (values, entry state) -> (alarms as (position, statistic, score, window), exit state)
 Scan = Callable[[np.ndarray, np.ndarray], tuple[list[tuple[int, float, float, int]], list[float]]]
 
@@ -54,19 +57,23 @@ def ddm(df: DataFrame, key: str, order: list[str], error: str, min_rows: int = D
 
 
 def page_hinkley_scan(delta: float = PH_DELTA, threshold: float = PH_THRESHOLD) -> Scan:
-    """State: sum, minimum, rows seen."""
+    """State: whether nothing was read since the start or an alarm, and the sum's height above its minimum.
+
+    The height returns to 0 whenever a new minimum is reached, so runs from different states soon agree; rows are counted
+    outside (``counts_rows``), as their number would keep the states apart for ever.
+    """
     def scan(values, entry):
-        m, low, n = (entry if len(entry) else (0.0, np.inf, 0.0))
+        fresh, height = (bool(entry[0]), entry[1]) if len(entry) else (True, 0.0)
         alarms = []
         for i, x in enumerate(values):
-            m += x - delta
-            low = min(low, m)
-            n += 1
-            if m - low > threshold:
-                alarms.append((i, m - low, (m - low) / threshold, int(n)))
-                m, low = 0.0, np.inf
-        return alarms, [m, low, n]
-
+            height = 0.0 if fresh else max(0.0, height + x - delta)
+            fresh = False
+            if height > threshold:
+                alarms.append((i, height, height / threshold, i + 1))
+                fresh, height = True, 0.0
+        return alarms, [float(fresh), height]
+
+    scan.counts_rows = True
     return scan
 
 
@@ -103,18 +110,30 @@ def sequential_alarms(df: DataFrame, key: str, order: list[str], value: str, sca
 
 
 def scan_ordered(
-    df: DataFrame, key: str, order: list[str], value: str, scan: Scan, before: DataFrame | None = None
+    df: DataFrame, key: str, order: list[str], value: str, scan: Scan, before: DataFrame | None = None,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> tuple[DataFrame, DataFrame]:
-    """(alarms, states): ``before`` gives (key, state) from rows read earlier, ``states`` the ones after."""
-    rows = ranged(df.select(key, *order, F.col(value).cast("double").alias("x")), [key], order)
+    """(alarms, states): ``before`` gives (key, state) from rows read earlier, ``states`` the ones after.
+
+    For a scan that ``counts_rows`` the last number of a state is the rows read so far, and the windows of its alarms, which
+    count from the start of a part, are moved on by the rows before it.
+    """
+    counting = getattr(scan, "counts_rows", False)
+    rows = ranged(df.select(key, *order, F.col(value).cast("double").alias("x")), [key], order, rows_per_part)
     key_type = rows.schema[key].dataType.simpleString()
     order_types = ", ".join(f"{o} {rows.schema[o].dataType.simpleString()}" for o in order)
-    parts = rows.select(key, PART).distinct()
+    parts = rows.groupBy(key, PART).agg(F.count(F.lit(1)).alias("rows_here"))
     by_order = Window.partitionBy(key).orderBy(PART)
     blank = F.array().cast("array<double>")
     parts = parts.withColumn("before", blank) if before is None else parts.join(
         before.select(key, F.col("state").alias("before")), key, "left"
     ).withColumn("before", F.coalesce("before", blank))
+    if counting:
+        read = F.coalesce(F.element_at(F.nullif(F.col("before"), blank), F.lit(-1)), F.lit(0.0))
+        ahead = by_order.rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("base", read + F.coalesce(F.sum("rows_here").over(ahead), F.lit(0))).withColumn(
+            "before", F.slice("before", F.lit(1), F.greatest(F.size("before") - 1, F.lit(0))))
+        bases = checkpointed(parts.select(key, PART, "base", "rows_here"))
     first = F.row_number().over(by_order) == 1
     entries = checkpointed(parts.withColumn("entry", F.when(first, F.col("before")).otherwise(blank)))
     todo, exits = entries, None
@@ -129,7 +148,7 @@ def scan_ordered(
         return pd.DataFrame({key: [values[key].iloc[0]], PART: [values[PART].iloc[0]], "exit": [list(map(float, after))]})
 
     def report(values: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        names = [key, *order, "statistic", "score", "window_size"]
+        names = [key, PART, *order, "statistic", "score", "window_size"]
         if not len(values) or not len(state):
             return no_rows(*names)
         values = sorted_values(values)
@@ -137,7 +156,7 @@ def scan_ordered(
         at = [a[0] for a in alarms]
         if not alarms:
             return no_rows(*names)
-        out = values.iloc[at][[key, *order]].reset_index(drop=True)
+        out = values.iloc[at][[key, PART, *order]].reset_index(drop=True)
         return out.assign(statistic=[a[1] for a in alarms], score=[a[2] for a in alarms], window_size=[a[3] for a in alarms])
 
     def states_for(df: DataFrame):
@@ -159,8 +178,13 @@ def scan_ordered(
         if todo.isEmpty():
             break
         entries = compared.select(key, PART, "before", F.col("next").alias("entry"))
+    if counting:
+        exits = exits.join(bases, [key, PART]).withColumn("exit", F.array_append("exit", F.col("base") + F.col("rows_here")))
     states = exits.groupBy(key).agg(F.max_by("exit", PART).alias("state"))
     alarms = rows.groupBy(key, PART).cogroup(states_for(entries)).applyInPandas(
-        report, f"{key} {key_type}, {order_types}, statistic double, score double, window_size int"
+        report, f"{key} {key_type}, {PART} int, {order_types}, statistic double, score double, window_size int"
     )
-    return alarms, states
+    if counting:
+        alarms = alarms.join(bases.select(key, PART, "base"), [key, PART]).withColumn(
+            "window_size", (F.col("window_size") + F.col("base")).cast("int")).drop("base")
+    return alarms.drop(PART), states

@@ -152,3 +152,36 @@ def test_every_column_and_microsecond_counts_in_a_hash(spark):
     other = [rows.replace(".000001", ".000002"), rows.replace("1.5D", "1.25D")]
     digests = [Z.table_hash(spark.sql(q)).first().data_hash for q in (rows, *other)]
     assert len(set(digests)) == 3
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_page_hinkley_settles_in_few_rounds(spark, before, monkeypatch):
+    import numpy as np
+
+    from curadrift.operators import sequential as SQ
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(-1, 1, 3200)
+    x[1000:1100] += 3.0
+    x[2200:2260] += 4.0
+    df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)], "k string, i long, x double")
+    m, low, n, want = 0.0, float("inf"), 0, []
+    for i, v in enumerate(x):
+        m += v - 0.005
+        low, n = min(low, m), n + 1
+        if m - low > 50:
+            want.append((i, n))
+            m, low = 0.0, float("inf")
+    scan, rounds = SQ.page_hinkley_scan(), []
+    kept = SQ.checkpointed
+    monkeypatch.setattr(SQ, "checkpointed", lambda d: (rounds.append(d.columns), kept(d))[1])
+    if before:
+        alarms, states = SQ.scan_ordered(df.where("i < 1040"), "k", ["i"], "x", scan, rows_per_part=400)
+        rest, states = SQ.scan_ordered(df.where("i >= 1040"), "k", ["i"], "x", scan, kept(states), rows_per_part=400)
+        alarms = alarms.unionByName(rest)
+        assert states.first().state[-1] == 3200
+    else:
+        alarms, _ = SQ.scan_ordered(df, "k", ["i"], "x", scan, rows_per_part=50)
+        assert sum("next" in c for c in rounds) < 5
+    got = sorted((r.i, r.window_size) for r in alarms.collect())
+    assert len(want) >= 2 and got == want
