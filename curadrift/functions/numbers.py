@@ -19,6 +19,11 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def drawn(*parts: Column) -> Column:
+    """A whole number below 2**52 hashed from the parts: a seeded draw that any engine with md5 can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("bigint")
+
+
 def share(condition: Column) -> Column:
     """Aggregate: fraction of rows for which the condition holds."""
     return F.avg(condition.cast("double"))

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from curadrift.functions.numbers import drawn
+
 
 def _copies(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
 def _pick(n: Column, key: str, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.col("copy"), F.lit(salt)), n).cast("int")
+    return F.pmod(drawn(F.col(key), F.col("copy"), F.lit(salt)), n).cast("int")
 
 
 def _uniform(key: str, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.col("copy"), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
+    return drawn(F.col(key), F.col("copy"), F.lit(salt)) / float(1 << 52)
 
 
 def swapped(words: Column, i: Column, j: Column) -> Column:
@@ -69,8 +71,8 @@ def augment_categorical(
     changes = {}
     for i, (column, allowed) in enumerate(categories.items()):
         others = F.array_except(F.array(*[F.lit(a) for a in allowed]), F.array(F.col(column)))
-        drawn = F.get(others, _pick(F.greatest(F.size(others), F.lit(1)), key, seed + 10 * i + 1))
-        changes[column] = F.when(_uniform(key, seed + 10 * i) < probability, F.coalesce(drawn, F.col(column))).otherwise(F.col(column))
+        other = F.get(others, _pick(F.greatest(F.size(others), F.lit(1)), key, seed + 10 * i + 1))
+        changes[column] = F.when(_uniform(key, seed + 10 * i) < probability, F.coalesce(other, F.col(column))).otherwise(F.col(column))
     return _copies(df, copies).withColumns(changes)
 
 

@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from curadrift.functions import probabilities as P, vectors as V
+from curadrift.functions.numbers import drawn
 from curadrift.operators.blocks import distance_sums
 from curadrift.operators.ordered import indexed, ranged, running
 from curadrift.session import checkpointed, small_side
@@ -96,7 +97,7 @@ def expected_model_change(predictions: DataFrame) -> DataFrame:
 
 def random_scores(tasks: DataFrame, seed: int) -> DataFrame:
     """Uniform [0, 1) score from a hash of the task and the seed."""
-    return tasks.select("task_id", (F.pmod(F.xxhash64("task_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).alias("score"))
+    return tasks.select("task_id", (drawn(F.col("task_id"), F.lit(seed)) / float(1 << 52)).alias("score"))
 
 
 # ---- diversity ---------------------------------------------------------------------------

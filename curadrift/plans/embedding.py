@@ -29,7 +29,8 @@ def load_samples(spark, sf):
     )
 
 
-@query("load_samples_subset")
+@query("load_samples_subset", sql(
+    "SELECT image_id, label FROM samples ORDER BY CAST('0x' || substr(md5(image_id || '|7'), 1, 13) AS BIGINT), image_id LIMIT 100", "samples"))
 def load_samples_subset(spark, sf):
     return S.random_subset(samples(spark, sf), "image_id", 100, seed=7).select("image_id", "label")
 

@@ -88,22 +88,46 @@ def sequence_logps(spark, sf):
 
 # ---- augmentation ------------------------------------------------------------------------
 
-@query("augment_text")
+def draw(key, salt):
+    return f"CAST('0x' || substr(md5({key} || '|' || copy || '|{salt}'), 1, 13) AS BIGINT)"
+
+
+WORDS = {
+    "aw": "SELECT doc_id, copy, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents, (VALUES (1), (2)) c(copy)",
+    "an": f"SELECT *, len(w) AS n, {draw('doc_id', 1)} % len(w) AS i, {draw('doc_id', 2)} % greatest(len(w) - 1, 1) AS o, {draw('doc_id', 3)} % len(w) AS gone FROM aw",
+    "aj": "SELECT *, (i + 1 + o) % n AS j FROM an",
+}
+
+
+@query("augment_text", sql(
+    "SELECT doc_id, copy, md5(array_to_string(list_transform(list_filter(range(n), lambda k: n <= 3 OR k <> gone), "
+    "lambda k: CASE WHEN n > 1 AND k = i THEN w[j + 1] WHEN n > 1 AND k = j THEN w[i + 1] ELSE w[k + 1] END), ' ')) AS text_md5 FROM aj", **WORDS))
 def augment_text(spark, sf):
-    return U.augment_text(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"], copies=2)
+    out = U.augment_text(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"], copies=2)
+    return out.select("doc_id", "copy", F.md5("text").alias("text_md5"))
 
 
-@query("augment_numeric")
+UNIT = "4503599627370496.0::DOUBLE"
+
+
+@query("augment_numeric", (
+    f"SELECT o_orderkey, copy, round(o_totalprice * (0.9::DOUBLE + 0.2::DOUBLE * {draw('o_orderkey', 1)} / {UNIT}) + 0.1::DOUBLE * "
+    f"sqrt(-2 * ln(greatest({draw('o_orderkey', 2)} / {UNIT}, 1e-16))) * cos(2 * pi() * {draw('o_orderkey', 3)} / {UNIT}), 4) AS o_totalprice FROM orders, (VALUES (1), (2)) c(copy)"))
 def augment_numeric(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return U.augment_numeric(rows, "o_orderkey", ["o_totalprice"], copies=2)
+    return U.augment_numeric(rows, "o_orderkey", ["o_totalprice"], copies=2).withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
 # The order priorities.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query("augment_categorical")
+OTHERS = "list_filter([" + ", ".join(f"'{p}'" for p in PRIORITIES) + "], lambda x: x <> o_orderpriority)"
+
+
+@query("augment_categorical", (
+    f"SELECT o_orderkey, copy, CASE WHEN {draw('o_orderkey', 1)} / {UNIT} < 0.1 THEN {OTHERS}[CAST({draw('o_orderkey', 2)} % len({OTHERS}) + 1 AS BIGINT)] ELSE o_orderpriority END AS o_orderpriority "
+    "FROM orders, (VALUES (1), (2)) c(copy)"))
 def augment_categorical(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return U.augment_categorical(rows, "o_orderkey", {"o_orderpriority": PRIORITIES}, copies=2)

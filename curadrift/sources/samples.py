@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from curadrift.functions.numbers import drawn
+
 
 def load_samples(raw: DataFrame, metadata: list[str], embedding: str | None = None) -> DataFrame:
     """image_id, label (first tag or ``unknown``), metadata map of the given text columns."""
@@ -17,7 +19,7 @@ def load_samples(raw: DataFrame, metadata: list[str], embedding: str | None = No
 
 def random_subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement; the same rows for the same seed on any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(drawn(F.col(key), F.lit(seed)), key).limit(n)
 
 
 # Label names of the synthetic slice, in cycle order.
