@@ -42,11 +42,6 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def row_digest(df: DataFrame) -> Column:
-    """A stable number for a row, from all its columns."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-
-
 def parts_for(rows: float, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 

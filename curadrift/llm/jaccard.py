@@ -35,7 +35,6 @@ COMPARED = 64
 TOLERANCE = 1e-9
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 18
-PRIME = (1 << 61) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
