@@ -218,17 +218,18 @@ def farthest_first(df: DataFrame, key: str, vector: str, k: int, start, candidat
 
     Distances to the picked set only fall. So among the candidates with the largest distances a pick
     is certain as long as it beats the largest distance left outside the list; only then does the
-    next pass over the data refresh the list. Results equal one-pick-per-pass greedy.
+    next pass over the data refresh the list. Results equal one-pick-per-pass greedy. A pass measures
+    the rows against all picks so far and writes nothing.
     """
     spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
     state = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(float("inf")).alias("gap"))
     first = state.filter(F.col("id") == F.lit(start)).first()
     if first is None:
         raise ValueError(f"no row with id {start!r} to start from")
-    picked, fresh = [(1, first["id"], float("inf"))], [np.array(first["v"])]
+    picked, chosen = [(1, first["id"], float("inf"))], [np.array(first["v"])]
     schema = f"id {key_type}, v array<double>, gap double"
     while len(picked) < k:
-        points, done = list(fresh), [p[1] for p in picked[-len(fresh):]]
+        points, done = list(chosen), [p[1] for p in picked]
 
         def update(frames: Iterator[pd.DataFrame], points=points, done=tuple(done)) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -240,8 +241,7 @@ def farthest_first(df: DataFrame, key: str, vector: str, k: int, start, candidat
                         gap = np.minimum(gap, _distances_to(x, point))
                     yield frame.assign(gap=gap)
 
-        state = checkpointed(state.mapInPandas(update, schema))
-        top = state.orderBy(F.desc("gap"), "id").limit(candidates).toPandas()
+        top = state.mapInPandas(update, schema).orderBy(F.desc("gap"), "id").limit(candidates).toPandas()
         if top.empty:
             break
         bound = top["gap"].iloc[-1] if len(top) == candidates else -math.inf
@@ -256,6 +256,7 @@ def farthest_first(df: DataFrame, key: str, vector: str, k: int, start, candidat
             open_[at] = False
             fresh.append(x[at])
             gap = np.minimum(gap, _distances_to(x, x[at]))
+        chosen += fresh
     return _rows(spark, picked, key_type)
 
 
@@ -268,14 +269,15 @@ def uncertain_and_diverse(
     bound as in ``farthest_first`` makes several picks per pass exact.
     """
     spark, key_type = df.sparkSession, df.schema[key].dataType.simpleString()
-    spread = max_normalize(diversity_euclidean(df, key, vector), "score").withColumnRenamed("score", "d")
+    # kept without vectors: every pass joins it to the rows and applies all picks so far
+    spread = checkpointed(max_normalize(diversity_euclidean(df, key, vector), "score").withColumnRenamed("score", "d"))
     state = df.join(spread, key).select(
         F.col(key).alias("id"), F.col(vector).alias("v"), F.col(uncertainty).cast("double").alias("u"), "d"
     )
     schema = f"id {key_type}, v array<double>, u double, d double"
-    picked, fresh = [], []
+    picked, chosen = [], []
     while len(picked) < k:
-        points, done = list(fresh), tuple(p[1] for p in picked[len(picked) - len(fresh):])
+        points, done = list(chosen), tuple(p[1] for p in picked)
 
         def update(frames: Iterator[pd.DataFrame], points=points, done=done) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -286,9 +288,9 @@ def uncertain_and_diverse(
                         d = d * (1 - 0.5 / (1 + _distances_to(x, point)))
                     yield frame.assign(d=d)
 
-        state = checkpointed(state.mapInPandas(update, schema) if points else state)
+        passed = state.mapInPandas(update, schema) if points else state
         score = (1 - weight) * F.col("u") + weight * F.col("d")
-        top = state.withColumn("s", score).orderBy(F.desc("s"), "id").limit(candidates).toPandas()
+        top = passed.withColumn("s", score).orderBy(F.desc("s"), "id").limit(candidates).toPandas()
         if top.empty:
             break
         bound = top["s"].iloc[-1] if len(top) == candidates else -math.inf
@@ -304,6 +306,7 @@ def uncertain_and_diverse(
             open_[at] = False
             fresh.append(x[at])
             d = d * (1 - 0.5 / (1 + _distances_to(x, x[at])))
+        chosen += fresh
     return _rows(spark, picked, key_type)
 
 

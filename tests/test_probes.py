@@ -185,3 +185,17 @@ def test_page_hinkley_settles_in_few_rounds(spark, before, monkeypatch):
         assert sum("next" in c for c in rounds) < 5
     got = sorted((r.i, r.window_size) for r in alarms.collect())
     assert len(want) >= 2 and got == want
+
+
+def test_greedy_passes_write_no_vectors(spark, monkeypatch):
+    kept, written = S.checkpointed, []
+    monkeypatch.setattr(S, "checkpointed", lambda d: (written.append(d.columns), kept(d))[1])
+    rows = [(i, [float(i * 37 % 101), float(i * 53 % 97)], float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, u double")
+    few = [tuple(r) for r in S.farthest_first(df, "id", "v", 12, 5, candidates=3).collect()]
+    many = [tuple(r) for r in S.farthest_first(df, "id", "v", 12, 5).collect()]
+    assert few == many and len({r[1] for r in few}) == 12
+    few = [tuple(r) for r in S.uncertain_and_diverse(df, "id", "v", "u", 8, candidates=2).collect()]
+    many = [tuple(r) for r in S.uncertain_and_diverse(df, "id", "v", "u", 8).collect()]
+    assert [r[:2] for r in few] == [r[:2] for r in many]
+    assert not any("v" in columns for columns in written)
