@@ -34,7 +34,7 @@ PENALTY = 10.0
 RARE = 3.0
 JUNK_LIMIT = 0.5
 TOXIC_LIMIT = 0.4
-CHARS_AT_ONCE = 6 << 20
+CHARS_AT_ONCE = 4 << 20
 CLEAN, BAD, SILENT = 0, 1, 2
 JUNK = ("repetition", "symbols", "table", "capitals", "variety", "plain", "people")
 TOXIC = ("insults", "words", "stems", "people")
@@ -66,13 +66,13 @@ class Reading:
     def shape(self) -> dict[str, np.ndarray]:
         ends = self.line[1:] == self.line[:-1]
         same = np.r_[False, ends & (self.owner[1:] == self.owner[:-1])] if len(self.line) else np.zeros(0, dtype=bool)
-        pairs = np.unique(np.stack([self.owner, self.line]), axis=1) if len(self.line) else np.zeros((2, 0), dtype=np.int64)
+        different = np.unique(self.owner * max(1, len(self.words)) + self.line) // max(1, len(self.words))
         return {
             "repeated": np.bincount(self.owner, weights=same, minlength=self.count) / np.maximum(self.sizes, 1),
             "symbols": self.share(len(w) > 2 and not w[-1].isalnum() and not w[-2].isalnum() for w in self.words),
             "bars": self.share(w == "|" for w in self.words),
             "capitals": self.share(sum(c.isupper() for c in w) > 1 and not any(c.islower() for c in w) for w in self.words),
-            "variety": np.bincount(pairs[0], minlength=self.count) / np.maximum(self.sizes, 1),
+            "variety": np.bincount(different, minlength=self.count) / np.maximum(self.sizes, 1),
             "words": self.sizes.astype(np.float64),
         }
 
