@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from curadrift.llm.common import Numbered, query, stored, table
 
 BUCKETS = 1 << 18
-LABELLED = 8000
+LABELLED = 6000
 SAMPLE = 2000
 STEM = 5
 SEEN = 4
@@ -174,6 +174,22 @@ def _features(reading: Reading) -> tuple[np.ndarray, np.ndarray]:
     return joint // BUCKETS, joint % BUCKETS
 
 
+def features_of(texts: list[str], chars_at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """``_features`` of many texts, read a bounded piece at a time."""
+    rows, buckets, begin = [], [], 0
+    while begin < len(texts):
+        stop, size = begin, 0
+        while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= chars_at_once):
+            size += len(texts[stop])
+            stop += 1
+        text, bucket = _features(Reading(texts[begin:stop]))
+        rows.append((text + begin).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
+        begin = stop
+    none = np.zeros(0, dtype=np.int32)
+    return np.concatenate([none, *rows]), np.concatenate([none, *buckets])
+
+
 class Scorer:
     """Logistic scorers over hashed features, one for each question."""
 
@@ -255,6 +271,7 @@ def judged(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
     chosen = texts.where(_bucket_of(F.col("doc_id")) < cut).join(known.where(_bucket_of(F.col("doc_id")) < cut), "doc_id")
     rows = chosen.select("text", "toxic").orderBy(F.xxhash64("doc_id"), "text").collect()
     words, stems = learned_lists([(r.text, r.toxic) for r in rows])
+    del rows
     lists = spark.sparkContext.broadcast((words, stems))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,7 +300,7 @@ def judged(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample:
     scorer = Scorer()
     if train:
         goal = np.stack([posterior(decoded(np.array([r[c] for r in train]), names), *models[c]) for c, names in (("j", JUNK), ("t", TOXIC))], axis=1)
-        scorer.fit(*_features(Reading([r.text for r in train])), goal)
+        scorer.fit(*features_of([r.text for r in train]), goal)
     held = spark.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
