@@ -45,12 +45,19 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity but a name holds one of these: a cheap look before the patterns.
+SIGNS = "[0-9@=:]"
 
 
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def has_entity(text: Column) -> Column:
+    """Whether any pattern occurs; false for null."""
+    return F.coalesce((text.rlike(SIGNS) | text.rlike(PATTERNS["name"])) & text.rlike(ANY), F.lit(False))
+
+
 def kind_of(surface: Column) -> Column:
     """The first kind whose pattern fits the whole entity."""
     out = F.lit("card")
@@ -211,8 +218,8 @@ def distinct_surrogates(forms: DataFrame, key: str = KEY, rounds: int = ROUNDS)
 
 def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Per distinct text with entities: ``text_id`` and ``drawn``, the surrogates in text order; ``kinds`` as they were found."""
-    found = docs.select(F.md5("text").alias("text_id"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
-    found = stored(found.where(F.size("found") > 0).dropDuplicates(["text_id"]), "surrogates-found")
+    found = docs.where(has_entity(F.col("text"))).select(F.md5("text").alias("text_id"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
+    found = stored(found.dropDuplicates(["text_id"]), "surrogates-found")
     entities = found.select("text_id", F.posexplode("found").alias("pos", "surface")).withColumn("entity", kind_of(F.col("surface")))
     parts = entities.select("text_id", "pos", "entity", F.posexplode(atoms(F.col("surface"), F.col("entity"))).alias("sub", "atom")).select(
         "text_id", "pos", "entity", "sub", F.col("atom.kind").alias("kind"), F.col("atom.part").alias("part"))
@@ -228,7 +235,7 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
 def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
     """Rows as ``row``, ``text``, ``entities``; and the columns of ``docs`` from them."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = has_entity(F.col("text"))
     found = replacements(docs.select("text").where(F.col("text").isNotNull()), key)
     hit = packed.where(has).withColumn("text_id", F.md5("text")).join(found, "text_id")
     between = F.split("text", ANY, -1)

@@ -87,3 +87,11 @@ def test_no_python_in_the_plan_and_empty_table(spark, small_sf):
     docs = spark.read.parquet(f"{small_sf}/documents.parquet")
     out = S.with_surrogates(docs)
     assert "Python" not in out._jdf.queryExecution().toString() and out.count() == docs.count()
+
+
+def test_the_cheap_look_misses_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    extra = spark.createDataFrame([("Mrs. Anna Smith",), ("token: abcdefgh",), ("x@y.org",), ("Frau Meier",)], "text string")
+    both = docs.unionByName(extra)
+    assert both.where(S.has_entity(F.col("text")) != F.col("text").rlike(S.ANY)).count() == 0
+    assert extra.where(S.has_entity(F.col("text"))).count() == 4
