@@ -12,19 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from curadrift.llm import jaccard, language, packing, repeats, surrogates, vocab
 from curadrift.llm.common import stored, table
 
+ARROW_ROWS = "2000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: fewer of them in an Arrow batch keep Python workers small beside a full heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a language go."""
+    _small_batches(spark)
     return language.in_a_language(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: the least ``doc_id``."""
+    _small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def repeated_passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start in two places are cut from the texts; documents of which nothing is left stay, empty."""
+    _small_batches(spark)
     return repeats.without_repeats(docs)
 
 
@@ -35,6 +45,7 @@ def private_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, a row each."""
+    _small_batches(spark)
     return packing.packed(docs, vocab.vocabulary_path("byte_bpe_50k.tiktoken"), with_ids=False).drop("row_no")
 
 

@@ -27,7 +27,7 @@ BUCKETS = 1 << 17
 LEXICON = 4000
 GRAMS = (1, 2, 3, 4)
 SCALE = 6.0
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 300_000
 MIN_SCORE = 0.4
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")

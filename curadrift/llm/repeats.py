@@ -27,9 +27,9 @@ from curadrift.llm.common import by_units, parts_for, query, stored, table, text
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 HOT_BYTES = 8 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
