@@ -15,6 +15,8 @@ from curadrift.llm.common import query, stored, table
 
 KEY = "corpus"
 ROUNDS = 30
+#: Draws after which a form gets a character more each time: free formats soon, formats of fixed length only if they are nearly full.
+LONGER_AFTER, FIXED_AFTER = 3, 12
 
 # Titles by gender, given names by gender, syllables of invented names.
 TITLES = {
@@ -28,6 +30,8 @@ GIVEN = {
 }
 LATIN = ["ba", "be", "da", "de", "fa", "ga", "ka", "la", "le", "ma", "me", "na", "ne", "pa", "ra", "re", "sa", "se", "ta", "va", "vo", "lo", "mo", "no"]
 CYRILLIC = ["ба", "бе", "да", "де", "фа", "га", "ка", "ла", "ле", "ма", "ме", "на", "не", "па", "ра", "ре", "са", "се", "та", "ва", "во", "ло", "мо", "но"]
+SMALL_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENDINGS = {"f": ("lia", "лия"), "m": ("ron", "рон"), "x": ("rin", "рин"), "family": ("nek", "нек")}
 
 _WORD = r"\p{Lu}\p{L}+"
@@ -118,21 +122,43 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
-def _redrawn(text: Column, seed: Column, hexed: Column | None = None) -> Column:
-    """Each digit and letter replaced by one of its class; hex strings stay hex strings."""
+def _redrawn(text: Column, seed: Column) -> Column:
+    """Each digit and letter replaced by one of its class."""
     stream = _stream(seed, F.length(text))
 
     def one(ch, i):
         n = _byte(stream, i)
-        plain = (
-            F.when(ch.rlike("[0-9]"), _pick("0123456789", n)).when(ch.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
-            .when(ch.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(ch)
+        return (
+            F.when(ch.rlike("[0-9]"), _pick(DIGITS, n)).when(ch.rlike("[a-z]"), _pick(LOWER, n)).when(ch.rlike("[A-Z]"), _pick(LOWER.upper(), n)).otherwise(ch)
         )
-        return plain if hexed is None else F.when(hexed, _pick("0123456789abcdef", n)).otherwise(plain)
 
     return F.concat_ws("", F.transform(F.split(text, ""), one))
 
 
+def _secret(text: Column, seed: Column) -> Column:
+    """Each character replaced by one of its class: hex strings stay hex strings, Cyrillic letters Cyrillic, other letters become
+    Latin. ASCII signs stay, unless there is nothing else; what has no class becomes a small letter or a digit."""
+    stream = _stream(seed, F.length(text))
+    hexed, signs = text.rlike("^[0-9a-f]{8,}$"), text.rlike(r"^\p{Punct}*$")
+
+    def one(ch, i):
+        n = _byte(stream, i)
+        return (
+            F.when(hexed, _pick("0123456789abcdef", n)).when(signs, _pick(LOWER + DIGITS, n)).when(ch.rlike(r"\p{Nd}"), _pick(DIGITS, n))
+            .when(ch.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), _pick(SMALL_CYRILLIC.upper(), n))
+            .when(ch.rlike(r"[\p{IsCyrillic}&&\p{L}]"), _pick(SMALL_CYRILLIC, n))
+            .when(ch.rlike(r"\p{Lu}"), _pick(LOWER.upper(), n)).when(ch.rlike(r"\p{L}"), _pick(LOWER, n))
+            .when(ch.rlike(r"\p{Punct}"), ch).otherwise(_pick(LOWER + DIGITS, n))
+        )
+
+    return F.concat_ws("", F.transform(F.split(text, ""), one))
+
+
+def _longer(text: Column, attempt: Column, after: int, fill: str) -> Column:
+    """A form with a character more for each draw beyond ``after``."""
+    return F.concat(text, F.repeat(F.lit(fill), F.greatest(attempt - after, F.lit(0)).cast("int")))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Sum of the check-digit rule, the last digit not doubled."""
     back = F.split(F.reverse(digits), "")
@@ -154,25 +180,30 @@ def _name(seed: Column, canon: Column, ending: tuple[str, str], length: Column)
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The draw number ``attempt`` for a canonical form."""
+    """The draw number ``attempt`` for a canonical form. Late draws are longer than the form, so that a free one always exists."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     domain = F.regexp_extract(canon, "@(.*)$", 1)
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    card = F.concat(F.substring(canon, 1, 1), F.substr(_redrawn(canon, seed), F.lit(2), F.length(canon) - 2), F.lit("0"))
+    number = _longer(canon, attempt, FIXED_AFTER, "0")
+    drawn = _redrawn(number, seed)
+    rest = F.substr(drawn, F.lit(2), F.length(drawn))
+    card = F.concat(F.substring(canon, 1, 1), F.substr(drawn, F.lit(2), F.length(drawn) - 2), F.lit("0"))
     checked = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.pmod(-_luhn_sum(card), F.lit(10)).cast("string"))
     stream = _stream(seed, F.lit(8))
     # more syllables with every draw: the space grows until all forms find a place
     size = F.lit(2) + F.floor(attempt / F.lit(4)).cast("int")
-    out = _redrawn(canon, seed, canon.rlike("^[0-9a-f]{8,}$") & (kind == "secret"))
+    out = _secret(_longer(canon, attempt, LONGER_AFTER, "a"), seed)
     out = F.when(kind == "email", F.concat(
-        _redrawn(F.regexp_extract(canon, "^([^@]*)@", 1), seed), F.lit("@"),
+        _redrawn(_longer(F.regexp_extract(canon, "^([^@]*)@", 1), attempt, LONGER_AFTER, "a"), seed), F.lit("@"),
         _redrawn(labels, F.concat_ws("|", F.lit(key), F.lit("domain"), domain)), F.lit(".example"))).otherwise(out)
-    out = F.when(kind == "phone", F.concat(_pick("23456789", _byte(stream, F.lit(0))), F.substr(_redrawn(canon, seed), F.lit(2), F.length(canon)))).otherwise(out)
-    out = F.when(kind == "ssn", F.concat(F.lit("9"), F.substr(_redrawn(canon, seed), F.lit(2), F.length(canon)))).otherwise(out)
-    out = F.when(kind == "card", F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, checked).otherwise(
-        F.concat(F.substring(canon, 1, 1), F.substr(_redrawn(canon, seed), F.lit(2), F.length(canon))))).otherwise(out)
-    out = F.when(kind == "ip", F.concat_ws(".", *[(F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])).otherwise(out)
-    out = F.when(kind == "key", F.concat(F.lit("AKIA"), F.substr(_redrawn(canon, seed), F.lit(5), F.length(canon)))).otherwise(out)
+    out = F.when(kind == "phone", F.concat(_pick("23456789", _byte(stream, F.lit(0))), rest)).otherwise(out)
+    out = F.when(kind == "ssn", F.concat(F.lit("9"), rest)).otherwise(out)
+    out = F.when(kind == "card", F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, checked).otherwise(F.concat(F.substring(canon, 1, 1), rest))).otherwise(out)
+    # all four numbers; from the documentation range of the longer addresses where those are used up
+    short = F.concat_ws(".", *[(F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
+    long = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substr(stream, F.lit(4 * i + 1), F.lit(4))) for i in range(6)])
+    out = F.when(kind == "ip", F.when(attempt > FIXED_AFTER, long).otherwise(short)).otherwise(out)
+    out = F.when(kind == "key", F.concat(F.lit("AKIA"), F.substr(drawn, F.lit(5), F.length(drawn)))).otherwise(out)
     for name, ending in ENDINGS.items():
         is_kind = kind == (name if name == "family" else f"given_{name}")
         out = F.when(is_kind, _name(seed, canon, ending, size)).otherwise(out)
@@ -180,16 +211,18 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
 
 def written(kind: Column, part: Column, drawn: Column) -> Column:
-    """A surrogate in the format of the place: grouped digits from the right, upper case where the entity is upper case."""
+    """A surrogate in the format of the place: grouped digits from the right, those beyond the form's length at the end, upper case
+    where the entity is upper case."""
     chars = F.split(part, "")
+    held = F.length(canonical(kind, part))
 
     def digit(ch, i):
         after = F.length(_digits(F.substr(part, i + 2, F.length(part))))
-        return F.when(ch.rlike("[0-9]") & (after < F.length(drawn)), F.substr(drawn, F.length(drawn) - after, F.lit(1))).otherwise(ch)
+        return F.when(ch.rlike("[0-9]") & (after < held), F.substr(drawn, held - after, F.lit(1))).otherwise(ch)
 
     return (
         F.when(kind.isNull(), part)
-        .when(kind.isin("phone", "card", "ssn"), F.concat_ws("", F.transform(chars, digit)))
+        .when(kind.isin("phone", "card", "ssn"), F.concat(F.concat_ws("", F.transform(chars, digit)), F.substr(drawn, held + 1, F.length(drawn))))
         .when(kind.isin("ip", "key", "secret"), drawn)
         .when((part == F.upper(part)) & (F.length(part) > 1), F.upper(drawn))
         .otherwise(drawn)

@@ -95,3 +95,28 @@ def test_the_cheap_look_misses_nothing(spark):
     both = docs.unionByName(extra)
     assert both.where(S.has_entity(F.col("text")) != F.col("text").rlike(S.ANY)).count() == 0
     assert extra.where(S.has_entity(F.col("text"))).count() == 4
+
+
+def test_masked_and_foreign_secrets(spark):
+    texts = ["password: ********", "token=------", "password=парольПароль", "pwd=密码密码密码", "secret=пароль-12ab", "token=*****a", "pwd=😀😀😀😀😀😀"]
+    got = run(spark, texts)
+    left = [t for i, t in enumerate(texts) if re.split("[=:] ?", t)[1].lower() in got[i].text.lower()]
+    assert not left
+    assert re.fullmatch(r"password: [a-z0-9]{8}", got[0].text) and re.fullmatch(r"token=[a-z0-9]{6}", got[1].text)
+    assert re.fullmatch(r"password=[а-я]{6}[А-Я][а-я]{5}", got[2].text) and re.fullmatch(r"secret=[а-я]{6}-\d\d[a-z]{2}", got[4].text)
+    assert re.fullmatch(r"pwd=[a-z]{6}", got[3].text)
+
+
+def test_full_formats_grow(spark):
+    texts = [f"{c}@full.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [f"token=-----{c}" for c in "0123456789"]
+    got = run(spark, texts)
+    assert len({r.text for r in got.values()}) == len(texts) and not {r.text for r in got.values()} & set(texts)
+    # fixed formats: a draw beyond the length stands at the end, whatever the grouping
+    forms = [("phone", "5552485"), ("ssn", "123456789"), ("card", "4111111111111111"), ("ip", "1.2.3.4"), ("key", "AKIA" + "A" * 16)]
+    late = spark.createDataFrame(forms, "kind string, canon string").select(
+        "kind", *[S.surrogate(F.col("kind"), F.col("canon"), F.lit(n), "k").alias(f"a{n}") for n in (0, S.FIXED_AFTER + 2)])
+    drawn = {r[0]: r[1:] for r in late.collect()}
+    assert all(len(drawn[k][1]) == len(drawn[k][0]) + 2 for k in ("phone", "ssn", "card", "key"))
+    assert luhn(drawn["card"][1]) and drawn["ip"][1].startswith("2001:db8:")
+    place = spark.range(1).select(S.written(F.lit("phone"), F.lit("+1 (988) 555-2485"), F.lit("234567890177")).alias("w")).first().w
+    assert place == "+1 (234) 567-890177"
