@@ -34,7 +34,12 @@ SMALL_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэю
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENDINGS = {"f": ("lia", "лия"), "m": ("ron", "рон"), "x": ("rin", "рин"), "family": ("nek", "нек")}
 
-_WORD = r"\p{Lu}\p{L}+"
+#: Words between the parts of a name; they stay.
+PARTICLES = ["von", "van", "de", "del", "della", "di", "da", "dos", "du", "der", "den", "dem", "la", "los", "bin", "ibn", "al", "el", "ter", "ten"]
+# loops are possessive: they take no stack, however many words follow
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})(?![sS](?!\p{L})))++"
+_PARTICLE = r"(?:(?:von der|von dem|van der|van den|de la|de los|von|van|de|del|della|di|da|dos|du|bin|ibn|al|el|ter|ten) |(?:al|el)-|d['’]|\p{Lu}\. )"
+_NEXT = rf"(?:-| {_PARTICLE}*+){_WORD}"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -46,8 +51,10 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLE})\.? )++{_PARTICLE}*+{_WORD}(?:{_NEXT})*+|(?:{_GIVEN})(?:{_NEXT})++)",
 }
+#: A capitalised word, which may be a later mention of a name.
+MENTION = rf"(?<![\p{{L}}\p{{N}}]){_WORD}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity but a name holds one of these: a cheap look before the patterns.
 SIGNS = "[0-9@=:]"
@@ -70,40 +77,56 @@ def kind_of(surface: Column) -> Column:
     return out
 
 
-def _gender(surface: Column) -> Column:
-    first = F.regexp_replace(F.element_at(F.split(surface, " "), 1), r"\.$", "")
-    return (
-        F.when(first.isin(*TITLES["f"], *GIVEN["f"]), "f").when(first.isin(*TITLES["m"], *GIVEN["m"]), "m").otherwise("x")
-    )
-
-
 def atoms(surface: Column, kind: Column) -> Column:
-    """An entity as parts in order: ``kind`` null for a part that stays (a title, the word before a secret)."""
+    """An entity as parts in order: ``kind`` null for a part that stays (a title, a particle, the word before a secret).
+
+    A given name has its own gender, an unknown one after a title the title's; all other words of a name are family names.
+    """
     def part(k, p):
         return F.struct(k.cast("string").alias("kind"), p.alias("part"))
 
     none = F.lit(None).cast("string")
     secret = F.regexp_extract(surface, r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)(.*)$", 1)
-    titled = surface.rlike(rf"^(?:{_TITLE})\.? ")
-    title = F.regexp_extract(surface, rf"^(?:{_TITLE})\.? ", 0)
-    words = F.split(F.when(titled, F.regexp_replace(surface, rf"^(?:{_TITLE})\.? ", "")).otherwise(surface), " ")
-    given = F.concat(F.lit("given_"), _gender(surface))
-    named = F.concat(
-        F.when(titled, F.array(part(none, title))).otherwise(F.array().cast("array<struct<kind:string,part:string>>")),
-        F.when(F.size(words) > 1, F.array(part(given, words[0]), part(none, F.lit(" ")), part(F.lit("family"), words[1])))
-        .otherwise(F.array(part(F.lit("family"), words[0]))))
+    titles = F.regexp_extract(surface, rf"^(?:(?:{_TITLE})\.? )++", 0)
+    title_gender = F.lit("x")
+    for gender in ("m", "f"):
+        title_gender = F.when(titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(TITLES[gender])})\.? "), gender).otherwise(title_gender)
+    rest = F.substr(surface, F.length(titles) + 1, F.length(surface))
+    # words with what stands before them; a lambda would split again for every word
+    words = F.zip_with(F.split(rest, _WORD, -1), F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), lambda gap, w: F.struct(gap.alias("gap"), w.alias("word")))
+    several = rest.rlike(rf"{_WORD}.*?{_WORD}")
+
+    def word_kind(word, i):
+        low = F.lower(word)
+        return (
+            F.when(low.isin(*map(str.lower, GIVEN["f"])), "given_f").when(low.isin(*map(str.lower, GIVEN["m"])), "given_m")
+            .when(word.isNull() | low.isin(*PARTICLES), none).when((i == 0) & several, F.concat(F.lit("given_"), title_gender)).otherwise("family")
+        )
+
+    named = F.concat(F.array(part(none, titles)), F.flatten(F.transform(words, lambda w, i: F.array(
+        part(none, w["gap"]), part(word_kind(w["word"], i), F.coalesce(w["word"], F.lit("")))))))
     return (
         F.when(kind == "secret", F.array(part(none, secret), part(kind, F.regexp_extract(surface, r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)(.*)$", 2))))
         .when(kind == "name", named).otherwise(F.array(part(kind, surface)))
     )
 
 
+def _is_name(kind: Column) -> Column:
+    return kind.startswith("given") | (kind == "family")
+
+
+def one_kind(kind: Column) -> Column:
+    """The kind of a word of a name that was found as several: a given name rather than a family name, with its gender if there is one."""
+    f, m, x = (F.bool_or(kind == f"given_{g}") for g in "fmx")
+    return F.when(f & ~m, "given_f").when(m & ~f, "given_m").when(f | m | x, "given_x").otherwise(F.first(kind))
+
+
 def canonical(kind: Column, part: Column) -> Column:
     """What all spellings of one entity share."""
     return (
         F.when(kind == "phone", F.substring(_digits(part), -10, 10))
         .when(kind.isin("card", "ssn"), _digits(part))
-        .when((kind == "email") | kind.startswith("given") | (kind == "family"), F.lower(part))
+        .when(_is_name(kind), F.translate(F.lower(part), "’", "'")).when(kind == "email", F.lower(part))
         .otherwise(part)
     )
 
@@ -250,19 +273,36 @@ def distinct_surrogates(forms: DataFrame, key: str = KEY, rounds: int = ROUNDS)
 
 
 def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Per distinct text with entities: ``text_id`` and ``drawn``, the surrogates in text order; ``kinds`` as they were found."""
-    found = docs.where(has_entity(F.col("text"))).select(F.md5("text").alias("text_id"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
+    """Per distinct text with entities: ``text_id``; ``drawn``, the surrogates in text order, and ``kinds`` as they were found; ``after``, null
+    for a text without names, else per gap between entities its capitalised words with surrogates (``out``) for those that are
+    part of a name of the text and null for the others."""
+    text = docs.where(has_entity(F.col("text"))).select(F.md5("text").alias("text_id"), "text")
+    found = text.select("text_id", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"), F.when(
+        F.col("text").rlike(PATTERNS["name"]), F.transform(F.split("text", ANY, -1), lambda gap: F.regexp_extract_all(gap, F.lit(MENTION), F.lit(0)))).alias("words"))
     found = stored(found.dropDuplicates(["text_id"]), "surrogates-found")
     entities = found.select("text_id", F.posexplode("found").alias("pos", "surface")).withColumn("entity", kind_of(F.col("surface")))
     parts = entities.select("text_id", "pos", "entity", F.posexplode(atoms(F.col("surface"), F.col("entity"))).alias("sub", "atom")).select(
         "text_id", "pos", "entity", "sub", F.col("atom.kind").alias("kind"), F.col("atom.part").alias("part"))
-    parts = stored(parts.withColumn("canon", canonical(F.col("kind"), F.col("part"))), "surrogates-parts")
-    drawn = distinct_surrogates(parts.where("kind is not null").select("kind", "canon").distinct(), key)
-    filled = parts.join(drawn, ["kind", "canon"], "left").withColumn("out", written(F.col("kind"), F.col("part"), F.col("drawn")))
-    whole = filled.groupBy("text_id", "pos").agg(
+    # one word of a name is one form, whatever it was found as
+    group = F.when(_is_name(F.col("kind")), "name").otherwise(F.col("kind"))
+    parts = stored(parts.withColumn("canon", canonical(F.col("kind"), F.col("part"))).withColumn("group", group), "surrogates-parts")
+    forms = parts.where("kind is not null").groupBy("group", "canon").agg(one_kind(F.col("kind")).alias("kind"))
+    drawn = distinct_surrogates(forms.select("kind", "canon"), key).select(
+        F.when(_is_name(F.col("kind")), "name").otherwise(F.col("kind")).alias("group"), "canon", "drawn")
+    filled = stored(parts.join(drawn, ["group", "canon"], "left"), "surrogates-filled")
+    outs = filled.withColumn("out", written(F.col("kind"), F.col("part"), F.col("drawn")))
+    whole = outs.groupBy("text_id", "pos").agg(
         F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("sub", "out"))), lambda s: s["out"])).alias("out"), F.first("entity").alias("entity"))
     ordered = whole.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("pos", "out", "entity"))).alias("all"))
-    return ordered.select("text_id", F.col("all.out").alias("drawn"), F.col("all.entity").alias("kinds"))
+    # later mentions: every capitalised word of a text with names, joined with the names' words
+    words = found.where("words is not null").select("text_id", F.posexplode("words").alias("gap", "words")).select(
+        "text_id", "gap", F.posexplode_outer("words").alias("nth", "part")).withColumn("canon", canonical(F.lit("family"), F.col("part")))
+    names = filled.where("group = 'name'").select("text_id", "canon", "drawn").distinct()
+    said = words.join(names, ["text_id", "canon"], "left").withColumn(
+        "out", F.when(F.col("drawn").isNotNull(), written(F.lit("family"), F.col("part"), F.col("drawn"))))
+    gaps = said.groupBy("text_id", "gap").agg(F.sort_array(F.collect_list(F.struct("nth", "part", "out"))).alias("words"))
+    after = gaps.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("gap", "words"))).alias("after"))
+    return ordered.join(after, "text_id", "left").select("text_id", F.col("all.out").alias("drawn"), F.col("all.entity").alias("kinds"), F.col("after.words").alias("after"))
 
 
 def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
@@ -271,10 +311,23 @@ def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
     has = has_entity(F.col("text"))
     found = replacements(docs.select("text").where(F.col("text").isNotNull()), key)
     hit = packed.where(has).withColumn("text_id", F.md5("text")).join(found, "text_id")
-    between = F.split("text", ANY, -1)
+    between, nothing = F.split("text", ANY, -1), F.lit("")
+
+    def mended(piece, i):
+        """A gap with later mentions of names replaced."""
+        said = F.get("after", i)
+        return F.when(said.isNull(), piece).otherwise(F.concat_ws("", F.transform(F.split(piece, MENTION, -1), lambda rest, n: F.concat(
+            rest, F.coalesce(F.get(said, n)["out"], F.get(said, n)["part"], nothing)))))
+
+    def kinds(i):
+        again = F.transform(F.filter(F.get("after", i), lambda w: w["out"].isNotNull()), lambda w: F.lit("name"))
+        return F.concat(F.coalesce(again, F.array().cast("array<string>")), F.filter(F.array(F.get("kinds", i)), lambda k: k.isNotNull()))
+
+    plain = F.col("after").isNull()
     rewritten = F.concat_ws("", F.transform(between, lambda piece, i: F.concat(
-        piece, F.coalesce(F.get("drawn", i), F.lit("")))))
-    both = hit.select("row", rewritten.alias("text"), F.col("kinds").alias("entities")).unionByName(
+        F.when(plain, piece).otherwise(mended(piece, i)), F.coalesce(F.get("drawn", i), nothing))))
+    entities = F.when(plain, F.col("kinds")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("kinds")), kinds)))
+    both = hit.select("row", rewritten.alias("text"), entities.alias("entities")).unionByName(
         packed.where(~has).select("row", "text", F.array().cast("array<string>").alias("entities")))
     own = [
         F.col("text").alias(c) if c == "text"

@@ -120,3 +120,26 @@ def test_full_formats_grow(spark):
     assert luhn(drawn["card"][1]) and drawn["ip"][1].startswith("2001:db8:")
     place = spark.range(1).select(S.written(F.lit("phone"), F.lit("+1 (988) 555-2485"), F.lit("234567890177")).alias("w")).first().w
     assert place == "+1 (234) 567-890177"
+
+
+def test_all_words_of_a_name_and_later_mentions(spark):
+    texts = [
+        "John Smith came. Smith said so, and SMITH's dog too. The Smithy stayed", "Anna Maria Schmidt met Anna Müller-Schmidt. Müller, Schmidt", "John O'Brien and O’Brien's hat",
+        "Dr Anna Schmidt, Anna Schmidt, Mrs Anna", "Prof. Dr. Beatrix Weber, then Frau Beatrix Weber", "Frau von der Leyen. Herr de Boer. Peter van den Berg. John F. Kennedy. Jeanne d'Arc",
+        "mail Smith@x.org to John Smith or Smith", "Anna " + "Maria " * 20_000 + "Schmidt. Schmidt",
+    ]
+    got = run(spark, texts)
+    a, b, c, d = re.fullmatch(r"(\S+) (\S+) came\. (\S+) said so, and (\S+)'s dog too\. The Smithy stayed", got[0].text).groups()
+    assert b == c == d.title() != "Smith" and d == d.upper() and a.endswith("ron") and got[0].entities_found == ["name"] * 3
+    one, two, three, four, five, six, seven, eight = re.fullmatch(r"(\w+) (\w+) (\w+) met (\w+) (\w+)-(\w+)\. (\w+), (\w+)", got[1].text).groups()
+    assert one == four and three == six == eight and five == seven and one.endswith("lia") and two.endswith("lia")
+    assert not re.search("Anna|Maria|Schmidt|Müller", got[1].text)
+    first, again = re.fullmatch(r"\w+ (\w+) and (\w+)'s hat", got[2].text).groups()
+    assert first == again
+    assert got[3].text == f"Dr {one} {three}, {one} {three}, Mrs {one}"
+    x, y, u, v = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+), then Frau (\w+) (\w+)", got[4].text).groups()
+    assert (x, y) == (u, v) and x.endswith("lia")
+    assert re.fullmatch(r"Frau von der \w+nek\. Herr de \w+nek\. \w+ron van den \w+nek\. \w+ron F\. \w+nek\. Jeanne d'Arc", got[5].text)
+    assert not re.search("Leyen|Boer|Berg|Kennedy", got[5].text)
+    assert got[6].entities_found == ["email", "name", "name"] and got[6].text.endswith(f" to {a} {b} or {b}")
+    assert not re.search("Maria|Schmidt", got[7].text)
