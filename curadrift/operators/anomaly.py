@@ -46,17 +46,23 @@ def _average_path(n: float) -> float:
     return 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+def _last_hash(rows: int, sample: int) -> int:
+    """The largest 64-bit hash that draws a row, so that about ``sample`` of ``rows`` are drawn, all if there are fewer."""
+    return (1 << 64) * min(sample, rows) // max(1, rows) - (1 << 63) - 1
+
+
 def isolation_forest(
     df: DataFrame, key: str, vector: str, trees: int = 50, sample: int = 256, seed: int = 9, threshold: float = 0.6
 ) -> DataFrame:
     """Isolation forest: each tree grows on a hash sample of the whole table of its own; all rows are scored.
 
     A tree gets about ``sample`` rows (all, if there are fewer), so the samples and the grown forest are bounded by
-    arguments, not by the table, and every tree is a group of its own.
+    arguments, not by the table, and every tree is a group of its own. Without a row in any tree there is no result.
     """
+    out = f"id {df.schema[key].dataType.simpleString()}, score double, is_anomaly boolean"
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    share = int(min(1.0, sample / max(1, rows.count())) * 1_000_000)
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", F.lit(seed), t), F.lit(1_000_000)) < share)
+    last = max(_last_hash(rows.count(), sample), -(1 << 63))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("id", F.lit(seed), t) <= F.lit(last)) if sample > 0 else F.array().cast("array<int>")
     dealt = rows.withColumn("tree", F.explode(F.transform(drawn, lambda t: t.cast("long"))))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +88,9 @@ def isolation_forest(
 
     grown = dealt.groupBy("tree").applyInPandas(grow, "tree long, size long, nodes string").collect()
     forest = [np.array(json.loads(r["nodes"])) for r in grown]
-    unit = _average_path(float(np.mean([r["size"] for r in grown]))) if grown else 1.0
+    if not grown:
+        return df.sparkSession.createDataFrame([], out)
+    unit = _average_path(float(np.mean([r["size"] for r in grown])))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +111,7 @@ def isolation_forest(
             value = 2.0 ** (-(depth / max(len(shared.value), 1)) / max(unit, 1e-12))
             yield pd.DataFrame({"id": frame["id"], "score": value, "is_anomaly": value > threshold})
 
-    id_type = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(score, f"id {id_type}, score double, is_anomaly boolean")
+    return rows.mapInPandas(score, out)
 
 
 Detector = Callable[[DataFrame], DataFrame]

@@ -66,6 +66,15 @@ def test_every_tree_draws_from_the_whole_table(spark):
     assert best.id == 300 and out.count() == 301
 
 
+def test_a_tree_gets_its_rows_from_any_table(spark):
+    for rows in (1, 255, 256, 257, 10**6, 200 * 10**6, 257 * 10**6, 10**12):
+        share = (A._last_hash(rows, 256) + (1 << 63) + 1) / 2**64
+        assert abs(share * rows - min(rows, 256)) < 1e-3
+    assert A._last_hash(0, 256) < -(1 << 63) + 1 and A._last_hash(5, 256) == (1 << 63) - 1
+    frame = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "id long, v array<double>")
+    assert A.isolation_forest(frame, "id", "v", trees=2, sample=0).collect() == []
+
+
 def test_failures_leave_the_others_alone(spark):
     def late(df):
         bad = F.pandas_udf(lambda s: 1 / 0, "boolean")
