@@ -31,7 +31,7 @@ WORDS_AT_ONCE = 300_000
 MIN_SCORE = 0.4
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -186,7 +186,12 @@ def fitted(rows: list[tuple[str, str]], rounds: int = 2) -> Field | None:
 
 def predictions(texts: list[str | None], field: Field | None) -> list[tuple[str, float]]:
     """Language and score of each text; ``und`` and 0 where it has no letter."""
-    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    return [(label, score) for label, score, _ in judged(texts, field)]
+
+
+def judged(texts: list[str | None], field: Field | None) -> list[tuple[str, float, float]]:
+    """Language and score of each text and how surely its words are in any language: the mean of each word's highest posterior."""
+    out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     if field is None:
         return out
     held: list[int] = []
@@ -200,10 +205,12 @@ def predictions(texts: list[str | None], field: Field | None) -> list[tuple[str,
         sizes = np.array([len(x) for x in lines])
         chances = chances_of(field.emissions(*features(list(index), field.lexicon)))
         after = field.posteriors(chances[np.concatenate(lines)], sizes)
-        means = np.add.reduceat(after, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / sizes[:, None]
+        begins = np.r_[0, np.cumsum(sizes)[:-1]]
+        means = np.add.reduceat(after, begins, axis=0) / sizes[:, None]
+        known = np.add.reduceat(after.max(axis=1), begins) / sizes
         best = means.argmax(axis=1)
-        for n, k, row in zip(held, best.tolist(), means, strict=True):
-            out[n] = (field.labels[k], float(min(1.0, max(0.0, row[k]))))
+        for n, k, row, sure in zip(held, best.tolist(), means, known.tolist(), strict=True):
+            out[n] = (field.labels[k], float(min(1.0, max(0.0, row[k]))), float(min(1.0, max(0.0, sure))))
         held.clear(), lines.clear(), index.clear()
 
     for n, text in enumerate(texts):
@@ -234,13 +241,13 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
 
 
 def predictor(docs: DataFrame, per_language: int = PER_LANGUAGE):
-    """A column function from text to a struct of ``lang_pred`` and ``score``, learned from ``docs``."""
+    """A column function from text to a struct of ``lang_pred``, ``score`` and ``known``, learned from ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(learned(docs, per_language))
 
     @F.pandas_udf(RESULT)
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
-            yield pd.DataFrame(predictions(part.to_list(), held.value), columns=["lang_pred", "score"])
+            yield pd.DataFrame(judged(part.to_list(), held.value), columns=["lang_pred", "score", "known"])
 
     return predict
 
@@ -254,10 +261,11 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rows whose text has no letter or no language with a mean posterior of ``least``; all columns stay."""
+    """``docs`` without the rows whose text has no letter or whose words' highest posteriors have a mean below ``least``; a text in
+    several languages stays, all columns stay."""
     predict = predictor(docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict("text").alias("p"))
-    return packed.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
+    return packed.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.known") >= least)).select("row.*")
 
 
 @query("op6_language_id")

@@ -84,3 +84,14 @@ def test_no_labels_and_empty_table(spark):
     rows = L.identified(spark.createDataFrame([(1, "some text", None, "", 0.0, 0)], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
     assert L.identified(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_text_in_three_languages_stays(spark):
+    en = "the cat sat on the mat and then it was the end of this story with some more words"
+    de = "die katze sitzt auf der matte und dann war es das ende der geschichte mit noch mehr worten"
+    ru = "кошка сидела на коврике и потом это был конец этой истории где было ещё несколько разных слов"
+    mixed = " ".join(" ".join(t.split()[:15]) for t in (en, de, ru))
+    labelled = [(i, t, lang, "", 0.0, i) for lang, t, base in (("en", en, 0), ("de", de, 100), ("ru", ru, 200)) for i in range(base, base + 30)]
+    docs = spark.createDataFrame(labelled + [(-1, mixed, None, "", 0.0, 0), (-2, "12 34", None, "", 0.0, 0)], SCHEMA)
+    assert {r.doc_id: r.score for r in L.identified(docs).collect()}[-1] < L.MIN_SCORE
+    assert {r.doc_id for r in L.in_a_language(docs).collect()} == {r[0] for r in labelled} | {-1}
