@@ -215,7 +215,7 @@ def judged(texts: list[str | None], field: Field | None) -> list[tuple[str, floa
 
     for n, text in enumerate(texts):
         words = words_of(text)
-        if not words:
+        if not any(c.isalpha() for w in words for c in w):  # words may be numeric signs only
             continue
         if size + len(words) > WORDS_AT_ONCE:
             settle()

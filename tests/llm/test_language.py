@@ -95,3 +95,8 @@ def test_a_text_in_three_languages_stays(spark):
     docs = spark.createDataFrame(labelled + [(-1, mixed, None, "", 0.0, 0), (-2, "12 34", None, "", 0.0, 0)], SCHEMA)
     assert {r.doc_id: r.score for r in L.identified(docs).collect()}[-1] < L.MIN_SCORE
     assert {r.doc_id for r in L.in_a_language(docs).collect()} == {r[0] for r in labelled} | {-1}
+
+
+def test_numeric_signs_are_no_letters(field):
+    got = L.predictions(["½ ² ① Ⅷ", "Ⅷ", "² the cat", "½"], field)
+    assert [got[i] for i in (0, 1, 3)] == [("und", 0.0)] * 3 and got[2][0] == "en"
