@@ -35,12 +35,6 @@ def load_samples_subset(spark, sf):
     return S.random_subset(samples(spark, sf), "image_id", 100, seed=7).select("image_id", "label")
 
 
-@query("synthetic_slice")
-def synthetic_slice(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id")
-    return S.synthetic_slice(rows, "vec_id", dim=8, seed=11)
-
-
 @query("sample_contract", sql(
     "SELECT label, count(*) FILTER (WHERE len(embedding) = 64) AS accepted, "
     "count(*) FILTER (WHERE len(embedding) <> 64) AS rejected, "

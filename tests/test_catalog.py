@@ -16,6 +16,10 @@ def test_every_sql_has_a_query():
     assert set(HEADLINE) <= set(queries())
 
 
+def test_no_query_makes_up_its_rows():
+    assert "synthetic_slice" not in queries()
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["image_id", "label", "drift_score", "mean_distance", "threshold", "above_threshold"]
