@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import functools
 import gc
-import itertools
+import json
 import os
 import re
 import struct
@@ -54,27 +54,58 @@ CHECKSUMS = 0x80
 INFO = "<IQQI"
 SPACES = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F) + "]+")
 ODD_SPACES = re.compile(r"[\x1c-\x1f]")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NEVER = re.compile("(?!)")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-class Encoder:
-    """Ids of texts as the library gives them, added special tokens left out at both ends.
+def byte_signs() -> dict[int, str]:
+    """The signs that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others by number from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
 
-    The tokenizer drops white space and lets nothing reach across it, so a text's ids are those of its chunks; chunks met before
-    are not encoded again. Strings of special tokens inside a text stay one id, as is the library's default.
+
+class Encoder(dict):
+    """Packed ids of chunks, as the library gives them; the library's model is asked once for a word, until too many are held.
+
+    The tokenizer drops white space and lets nothing reach across it, so a text's ids are those of its chunks. A chunk of
+    printable ASCII and Latin-1 letters only has no other normal form, so lower case and the tokenizer's own split pattern
+    give the words that go to the library's model; any other chunk goes through the whole of the library. Strings of special
+    tokens inside a text stay one id, as is the library's default.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.wide = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1) > 1 << 16
         self.code = "I" if self.wide else "H"
         self.added = {text: array(self.code, [i]).tobytes() for text, i in added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.end = array(self.code, [END_ID]).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.signs = byte_signs()
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if spec["pre_tokenizer"]["type"] == "Sequence" else None
+        self.plain = PLAIN if split == SPLIT else NEVER  # of another tokenizer everything goes through the whole library
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.plain.fullmatch(chunk):
+            found = b"".join([self.words.get(w) or self._word(w) for w in WORDS.findall(chunk.lower())])
+        else:
+            found = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        found = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
 
     def chunks(self, text: str) -> list[str]:
         if self.marks is not None and "<" in text:
@@ -89,18 +120,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, the end id last, as packed numbers."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.known) > HELD_CHUNKS:
-            self.known.clear()
-        if not self.known:
-            self.known.update(self.added)
-        new = list(set(itertools.chain.from_iterable(cut)).difference(self.known))
-        for a in range(0, len(new), 20_000):
-            some = new[a:a + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = array(self.code, found.ids).tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, c)) + self.end for c in cut]
+        if len(self) > HELD_CHUNKS:
+            self.clear()
+        if len(self.words) > HELD_CHUNKS:
+            self.words.clear()
+        self.update(self.added)
+        return [b"".join(map(self.__getitem__, self.chunks(t))) + self.end if t else self.end for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -288,13 +313,18 @@ def _read(with_ids: bool):
     return run
 
 
+def _a_file_a_task(manifest: DataFrame) -> DataFrame:
+    """A counted number of partitions, which adaptive execution leaves as it is: rows are few, what they stand for is not."""
+    files = manifest.select("folder", "file", "start", "file_no")
+    return files.repartitionByRange(max(1, files.count()), "file_no")
+
+
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids`` of all documents of the files of a manifest."""
-    files = manifest.select("folder", "file", "start", "file_no")
-    return files.repartition("file_no").mapInPandas(_read(with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return _a_file_a_task(manifest).mapInPandas(_read(with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def _located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +358,7 @@ def _read_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents whose ``doc_id`` is in ``wanted``, as ``read_token_files`` gives them: directories are joined with it, and only
     frames that hold one of them are decompressed. Ids that no file holds, and nulls, have no row."""
-    places = manifest.select("folder", "file", "start", "file_no").repartition("file_no").mapInPandas(
+    places = _a_file_a_task(manifest).mapInPandas(
         _located, "doc_id long, n long, first long, folder string, file string, start long")
     asked = places.join(wanted.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id")
     return asked.repartition("folder", "file").sortWithinPartitions("folder", "file", "first").mapInPandas(_read_places, SCHEMA + ", ids array<int>")
