@@ -34,7 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, keeps column pruning."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more: what was made of them has been stored itself."""
+    for held in tables:
+        spark = held.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(held.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_key(text: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from curadrift.llm import jaccard, language, repeats, surrogates
 from test_jaccard import brute as near_brute
-from test_repeats import brute as repeat_brute
+from test_repeats import passage_brute
 
 
 def prose(rng, n):
@@ -40,9 +40,11 @@ def test_every_stage_against_brute_force(spark, small_sf):
         want.setdefault(group, r.doc_id)
     assert second.columns == docs.columns and sorted(map(str, want.values())) == sorted(str(r.doc_id) for r in keep)
     third = {r.doc_id: r for r in C.repeated_passages_cut(spark, second, small_sf).collect()}
-    for r, (size, removed, _, _) in zip(keep, repeat_brute([r.text for r in keep], repeats.LENGTH), strict=True):
-        assert len(third[r.doc_id].text.encode()) == size - removed and third[r.doc_id].n_chars == len(third[r.doc_id].text)
-    assert any(removed for _, removed, _, _ in repeat_brute([r.text for r in keep], repeats.LENGTH))
+    passages = passage_brute([r.text for r in keep], repeats.PASSAGE)
+    for r, runs in zip(keep, passages, strict=True):
+        assert len(third[r.doc_id].text.encode()) == len(r.text.encode()) - sum(e - s for s, e in runs)
+        assert third[r.doc_id].n_chars == len(third[r.doc_id].text)
+    assert any(passages)
     fourth = C.private_data_replaced(spark, spark.createDataFrame(list(third.values()), schema), small_sf)
     assert fourth.columns == docs.columns
     texts = [r.text for r in fourth.collect()]

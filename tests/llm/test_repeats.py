@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -46,9 +48,9 @@ def test_against_brute_force(spark, length, hot, monkeypatch):
     texts = fixture(length, length)
     monkeypatch.setattr(R, "SHARD_BYTES", 3000)
     monkeypatch.setattr(R, "GRAM", 8)
-    monkeypatch.setattr(R.repeated_spans, "__defaults__", (length, hot, 8))
+    monkeypatch.setattr(R, "HOT_BYTES", hot)
     rows = [(i, t, None, "s", 0, "k", 1) for i, t in enumerate(texts)]
-    got = {r.doc_id: tuple(r)[1:] for r in R.repeat_report(spark.createDataFrame(rows, SCHEMA).repartition(5), length).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in R.repeat_report(spark.createDataFrame(rows, SCHEMA).repartition(5), length).collect()}
     want = brute(texts, length)
     assert [got[i] for i in range(len(texts))] == want
 
@@ -64,6 +66,64 @@ def test_kernel_marks_what_brute_force_marks():
         assert {i for s, e in runs for i in range(s, e + 1)} == want
 
 
+def passage_brute(texts, passage):
+    """Bytes of the words in repeated runs, per text."""
+    words = [[(m.group(), *m.span()) for m in re.finditer(rb"[\xe3-\xe9][\x80-\xbf]{2}|(?:(?![\xe3-\xe9])[^\t\n\v\f\r ])(?:[^\t\n\v\f\r \xe3-\xe9])*", (t or "").encode())]
+             for t in texts]
+    seen = Counter(tuple(w[0] for w in ws[i:i + passage]) for ws in words for i in range(len(ws) - passage + 1))
+    out = []
+    for ws in words:
+        marked = [False] * len(ws)
+        for i in range(len(ws) - passage + 1):
+            if seen[tuple(w[0] for w in ws[i:i + passage])] > 1:
+                marked[i:i + passage] = [True] * passage
+        runs, at = [], 0
+        for flag, group in itertools.groupby(marked):
+            size = len(list(group))
+            if flag:
+                runs.append((ws[at][1], ws[at + size - 1][2]))
+            at += size
+        out.append(runs)
+    return out
+
+
+def passages(seed):
+    rng = random.Random(seed)
+    prose = lambda n: " ".join(rng.choice(["a", "of", "the", "straße", "\u6f22\u5b57", "\u6f22", "x\u6f22y", "b."]) + rng.choice("abcdefgh") * rng.randint(0, 2) for _ in range(n))
+    shared = [prose(n) for n in (9, 10, 11, 14, 40)]
+    texts = [None, "", "x", prose(60), "a " * 30, "b" * 500, "\u6f22" * 25, "a\tb\n" * 9]
+    for _ in range(40):
+        texts.append(prose(rng.randint(0, 15)) + rng.choice([" ", "\n", "  \t"]) + rng.choice(shared) + " " + prose(rng.randint(0, 9)) + "\n" + rng.choice(shared).replace(" ", "\n"))
+    return texts + texts[3:9]
+
+
+@pytest.mark.parametrize("hot", [R.HOT_BYTES, 0])
+@pytest.mark.parametrize("passage", [10, 12])
+def test_passages_against_brute_force(spark, passage, hot, monkeypatch):
+    texts = passages(passage)
+    monkeypatch.setattr(R, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(R, "WORD_GRAM", 3)
+    monkeypatch.setattr(R, "HOT_BYTES", hot)
+    docs = spark.createDataFrame([(i, t, None, "s", 0, "k", 1) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    want = passage_brute(texts, passage)
+    got = {r.doc_id: (r.n_passages, r.n_passage_bytes) for r in R.repeat_report(docs, 300, passage).collect()}
+    assert [got[i] for i in range(len(texts))] == [(len(runs), sum(e - s for s, e in runs)) for runs in want] and any(want)
+    kept = {r.doc_id: r.text for r in R.without_repeats(docs, None, passage).collect()}
+    for i, (text, runs) in enumerate(zip(texts, want)):
+        data = (text or "").encode()
+        for s, e in reversed(runs):
+            data = data[:s] + data[e:]
+        assert (kept[i] or "").encode() == data and (kept[i] is None) == (text is None)
+
+
+def test_a_passage_of_fifty_words_stays_and_of_fifty_one_goes(spark):
+    word = lambda k: f"w{k:x}"
+    rows = [(0, " ".join(map(word, range(51))) + " tail one"), (1, "head two " + "\n".join(map(word, range(51)))), (2, " ".join(map(word, range(100, 150)))),
+            (3, "x " + " ".join(map(word, range(100, 150))) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.text for r in R.without_repeats(docs, None, R.PASSAGE).orderBy("doc_id").collect()] == [" tail one", "head two ", rows[2][1], rows[3][1]]
+
+
 def test_without_repeats_keeps_columns_rows_and_characters(spark):
     passage = "ö" * 300
     rows = [(1, "début " + passage + " fin", "fr", "s", 310, "k", 1), (2, passage + "é", "de", "s", 301, "k", 2), (3, None, None, None, None, None, 3),
