@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curadrift.llm import jaccard, language, packing, repeats, surrogates, vocab
-from curadrift.llm.common import stored, table
+from curadrift.llm.common import release, stored, table
 
 ARROW_ROWS = "2000"
 
@@ -33,9 +33,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def repeated_passages_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that start in two places are cut from the texts; documents of which nothing is left stay, empty."""
+    """Passages of over 50 words that stand in two places are cut from the texts; documents of which nothing is left stay, empty."""
     _small_batches(spark)
-    return repeats.without_repeats(docs)
+    return repeats.without_repeats(docs, None, repeats.PASSAGE)
 
 
 def private_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs
