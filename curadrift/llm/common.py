@@ -130,14 +130,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
         ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         step = stored(ends.groupBy(F.col("e.a").alias("node")).agg(F.least(F.min("e.b"), F.first("e.a")).alias("root")), f"{name}-step-{turn}")
         if given is None:
-            given = step
+            before, given = None, step
         else:
             onward = step.select(F.col("node").alias("root"), F.col("root").alias("onward"))
-            given = stored(given.join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), f"{name}-{turn}")
+            before, given = given, stored(given.join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root")), f"{name}-{turn}")
         moved = links.join(step.select(F.col("node").alias("a"), F.col("root").alias("to_a")), "a").join(
             step.select(F.col("node").alias("b"), F.col("root").alias("to_b")), "b")
-        links = stored(ordered(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), f"{name}-links-{turn}")
+        used, links = links, stored(ordered(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), f"{name}-links-{turn}")
+        release(used, *([before, step] if before is not None else []))
         if not links.limit(1).count():
+            release(links)
             return given
     raise RuntimeError("components did not settle")
 

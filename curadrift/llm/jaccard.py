@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from curadrift.llm.common import block_pairs, by_units, components, query, stored, table
+from curadrift.llm.common import block_pairs, by_units, components, query, release, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -277,8 +277,10 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     links = judged.groupBy("set_id").agg(F.sum("links").alias("links"))
     known = signed.select("text_id", "set_id").join(links, "set_id", "left").join(
         groups.select(F.col("node").alias("set_id"), F.col("root").alias("group_id")), "set_id", "left")
-    return seen.select("text_id").join(known, "text_id", "left").select(
-        "text_id", "set_id", F.coalesce("group_id", "set_id", "text_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    found = stored(seen.select("text_id").join(known, "text_id", "left").select(
+        "text_id", "set_id", F.coalesce("group_id", "set_id", "text_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-found")
+    release(seen, signed, classes, loose, judged, groups)
+    return found
 
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -288,7 +290,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     Null and empty texts form one class of copies; repeated rows are copies; a group of null ids has a null class id.
     """
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
-    found = stored(near_copies(docs, threshold, words), "jaccard-found")
+    found = near_copies(docs, threshold, words)
     keyed = rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(found, "text_id")
     set_key = F.coalesce("set_id", "text_id")
     of_set = keyed.groupBy(set_key.alias("set_key")).agg(F.sum("rows").alias("copies"))
@@ -303,7 +305,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     hash. All columns stay. Rows without words stay apart from all others but their exact copies."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = held.withColumn("text_id", F.md5(F.coalesce("row.text", F.lit("")))).withColumn("mark", F.xxhash64("row"))
-    groups = stored(near_copies(docs.select("text"), threshold, words).select("text_id", "group_id"), "jaccard-groups-of-texts")
+    groups = near_copies(docs.select("text"), threshold, words).select("text_id", "group_id")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "mark", "text_id")
     # the choice is made among ids; whole rows are only filtered
     least = held.select("text_id", order.alias("at")).join(groups, "text_id").groupBy("group_id").agg(F.min("at").alias("at"))
