@@ -27,6 +27,8 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 CHARS_AT_ONCE = 1 << 23
 INDEXED_AT_ONCE = 3 << 17
+#: Words a worker keeps with their ids between batches.
+HELD_WORDS = 400_000
 
 
 def ragged(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -69,6 +71,7 @@ class Pieces:
             self.bytes_of[i] = bytes([b])
         self.bytes_of[model.unk_id()] = " ⁇ ".encode()
         self.byte_number = {int(i): b for b, i in enumerate(self.byte_ids)}
+        self.known: dict[str, bytes] = {}
 
     @functools.lru_cache(maxsize=4096)
     def run(self, count: int) -> tuple[int, ...]:
@@ -224,6 +227,20 @@ def encode_units(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     return ids, np.bincount(owner, weights=counted, minlength=len(units)).astype(np.int64)
 
 
+def _learn(names: list[str], pieces: Pieces) -> None:
+    """Index new words, a bounded number of characters at a time, and keep their ids."""
+    begin = 0
+    while begin < len(names):
+        stop, size = begin, 0
+        while stop < len(names) and (stop == begin or size + len(names[stop]) <= INDEXED_AT_ONCE):
+            size += len(names[stop]) + 1
+            stop += 1
+        ids, counts = encode_units(names[begin:stop], pieces)
+        raw, ends = memoryview(ids.astype(np.int32).tobytes()), np.cumsum(counts) * 4
+        pieces.known.update(zip(names[begin:stop], [bytes(raw[a:b]) for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)], strict=True))
+        begin = stop
+
+
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text, as the library's encoder gives them; null and empty texts have none."""
     pieces = pieces_of(path)
@@ -236,19 +253,14 @@ def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     bare = [u.lstrip(SPACE) for u in units]
     base = Numbered()
     of_base = [base[SPACE + b] if b else -1 for b in bare]
-    names, parts, counts, begin = list(base), [], [], 0
-    while begin < len(names):
-        stop, size = begin, 0
-        while stop < len(names) and (stop == begin or size + len(names[stop]) <= INDEXED_AT_ONCE):
-            size += len(names[stop]) + 1
-            stop += 1
-        ids, count = encode_units(names[begin:stop], pieces)
-        parts.append(ids)
-        counts.append(count)
-        begin = stop
-    base_sizes = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+    names = list(base)
+    if len(pieces.known) > HELD_WORDS:
+        pieces.known.clear()
+    _learn([n for n in names if n not in pieces.known], pieces)
+    held = [pieces.known[n] for n in names]
+    base_sizes = np.array([len(h) for h in held], dtype=np.int64) // 4
     base_begins = np.cumsum(base_sizes) - base_sizes
-    pool = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+    pool = np.frombuffer(b"".join(held), dtype=np.int32)
     begins, sizes = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
     extra, total = [], len(pool)
     for n, (unit, word, b) in enumerate(zip(units, bare, of_base, strict=True)):
