@@ -77,29 +77,103 @@ def page_hinkley_scan(delta: float = PH_DELTA, threshold: float = PH_THRESHOLD)
     return scan
 
 
+# Cuts so close to the newest value are tested one by one; blocks of cuts hold 2**LEAST_LEVEL at least.
+NEAR_CUTS, LEAST_LEVEL, MOST_AT_ONCE = 64, 5, 1024
+
+
+class CutBounds:
+    """Sums of a series in blocks of 2, 4, 8 ... values, with a bound that tells where no cut is possible.
+
+    With the sum ``s`` of the first values, a cut at ``m`` of the window from ``a`` to ``e`` needs ``|D(m)| >= sqrt(2 ln(2/delta) r c / n)``,
+    where ``D(m)`` is how far ``s`` leaves the straight line from ``a`` to ``e`` at ``m``, and c, r, n are the rows left, right and in all.
+    Inside a block ``D`` stays within the larger ``D`` of its ends plus the block's own largest distance from the line between them.
+    """
+
+    def __init__(self, values: np.ndarray, delta: float):
+        self.sums = np.r_[0.0, np.cumsum(values)]
+        self.weight = 2 * np.log(2 / delta)
+        self.bulge: list[np.ndarray] = []
+        for level in range(LEAST_LEVEL, max(LEAST_LEVEL, len(values).bit_length()) + 1):
+            size, count = 1 << level, len(values) >> level
+            path = np.lib.stride_tricks.as_strided(self.sums, (count, size + 1), (size * 8, 8))
+            line = path[:, :1] + (path[:, -1:] - path[:, :1]) * (np.arange(size + 1) / size)
+            self.bulge.append(np.abs(path - line).max(axis=1) if count else np.zeros(0))
+
+    def _blocks(self, low: int, high: int, newest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and bulges of blocks that cover the cuts from ``low`` to ``high``, the larger the farther from ``newest``."""
+        begins, ends, bulges = [], [], []
+        at = min(-(-high >> LEAST_LEVEL) << LEAST_LEVEL, (len(self.sums) - 1) >> LEAST_LEVEL << LEAST_LEVEL)
+        while at > low:
+            level = LEAST_LEVEL
+            while level + 1 - LEAST_LEVEL < len(self.bulge) and (2 << level) * 8 <= newest - at and at % (2 << level) == 0:
+                level += 1
+            begins.append(at - (1 << level))
+            ends.append(at)
+            bulges.append(self.bulge[level - LEAST_LEVEL][begins[-1] >> level])
+            at -= 1 << level
+        return np.array(begins, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(bulges)
+
+    def possible(self, start: int, first: int, last: int) -> np.ndarray:
+        """The window ends from ``first`` to ``last`` (exclusive) at which a cut is not ruled out."""
+        ends = np.arange(first, last)
+        n = ends - start
+        mean = (self.sums[ends] - self.sums[start]) / n
+        least = start + np.maximum(n // 2, ADWIN_MIN_SIDE)
+
+        def away(m: np.ndarray) -> np.ndarray:
+            return np.abs(self.sums[m] - self.sums[start] - (m - start) * mean[:, None])
+
+        # a little slack, for sums that were rounded in another order
+        m = np.maximum(ends[:, None] - np.arange(ADWIN_MIN_SIDE, NEAR_CUTS), start)
+        need = np.sqrt(self.weight * (ends[:, None] - m) * (m - start) / n[:, None]) * (1 - 1e-7) - 1e-9
+        out = ((away(m) >= need) & (m >= least[:, None])).any(axis=1)
+        # the last values may fill no block: cuts among them are left open where they are not near ones
+        low, high = int(least.min()), last - NEAR_CUTS
+        if high < low:
+            return out
+        a, b, bulge = self._blocks(low, high, first)
+        if len(b) and b[0] < high:
+            a, b, bulge = np.r_[b[0], a], np.r_[min(len(self.sums) - 1, b[0] + (1 << LEAST_LEVEL)), b], np.r_[np.inf, bulge]
+        elif not len(b):
+            return np.ones(len(ends), dtype=bool)
+        most = np.maximum(away(np.maximum(a, start)[None, :]), away(b[None, :])) + bulge
+        c = np.maximum(np.maximum(a, start) - start, (least - start)[:, None])
+        r = np.maximum(ends[:, None] - b, ADWIN_MIN_SIDE)
+        need = np.sqrt(self.weight * r * c / n[:, None]) * (1 - 1e-7) - 1e-9
+        open_ = (most >= need) & (b > least[:, None]) & (a <= ends[:, None] - NEAR_CUTS)
+        return out | open_.any(axis=1)
+
+
 def adwin_scan(delta: float = ADWIN_DELTA) -> Scan:
-    """State: the values of the current window. A cut is looked for in its newer half."""
+    """State: the values of the current window. A cut is looked for in its newer half, and only where block bounds do not rule it
+    out; the first cut of a window that passes the test is taken, as if every cut had been tested for every value."""
     def scan(values, entry):
-        window, alarms = list(entry), []
-        for i, x in enumerate(values):
-            window.append(float(x))
-            n = len(window)
-            if n < ADWIN_MIN_ROWS:
-                continue
-            cuts = np.arange(max(n // 2, ADWIN_MIN_SIDE), min(n - 2, n - ADWIN_MIN_SIDE) + 1)
-            if not len(cuts):
-                continue
-            sums = np.cumsum(window)
-            left = sums[cuts - 1] / cuts
-            right = (sums[-1] - sums[cuts - 1]) / (n - cuts)
-            limit = np.sqrt(2 * (1 / cuts + 1 / (n - cuts)) * np.log(2 / delta))
-            hit = np.flatnonzero(np.abs(left - right) >= limit)
-            if len(hit):
-                at = hit[0]
-                gap = abs(left[at] - right[at])
-                window = window[cuts[at]:]
-                alarms.append((i, float(gap), float(gap / limit[at]), len(window)))
-        return alarms, window
+        series = np.r_[np.asarray(entry, dtype=float), np.asarray(values, dtype=float)]
+        bounds, offset = CutBounds(series, delta), len(entry)
+        start, at, step, alarms = 0, offset + 1, 32, []
+        while at <= len(series):
+            at = max(at, start + ADWIN_MIN_ROWS)
+            stop = min(at + step, len(series) + 1)
+            if at >= stop:
+                break
+            step = min(2 * step, MOST_AT_ONCE)
+            for end in (at + np.flatnonzero(bounds.possible(start, at, stop))).tolist():
+                n = end - start
+                cuts = np.arange(max(n // 2, ADWIN_MIN_SIDE), min(n - 2, n - ADWIN_MIN_SIDE) + 1)
+                sums = np.cumsum(series[start:end])
+                left = sums[cuts - 1] / cuts
+                right = (sums[-1] - sums[cuts - 1]) / (n - cuts)
+                limit = np.sqrt(2 * (1 / cuts + 1 / (n - cuts)) * np.log(2 / delta))
+                hit = np.flatnonzero(np.abs(left - right) >= limit)
+                if len(hit):
+                    first = hit[0]
+                    gap = abs(left[first] - right[first])
+                    start += int(cuts[first])
+                    alarms.append((end - 1 - offset, float(gap), float(gap / limit[first]), end - start))
+                    stop, step = end + 1, 32
+                    break
+            at = stop
+        return alarms, series[start:].tolist()
 
     return scan
 

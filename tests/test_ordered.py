@@ -1,5 +1,7 @@
 """Order-dependent helpers against plain loops, with a hot group spread over several parts."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -123,3 +125,38 @@ def test_consistency_counts_changes(spark):
     df = spark.createDataFrame(rows, "id int, task_id int, annotator_id int, label string, lead_time double, created_at int")
     got = {r["annotator_id"]: r["consistency"] for r in intra_annotator_consistency(df).collect()}
     assert got == {1: 0.75, 2: 1.0}
+
+
+def plain_adwin(values, entry, delta=S.ADWIN_DELTA):
+    """Every cut tested for every value."""
+    window, alarms = list(entry), []
+    for i, x in enumerate(values):
+        window.append(float(x))
+        n = len(window)
+        for c in range(max(n // 2, 5), min(n - 2, n - 5) + 1) if n >= 10 else ():
+            gap = abs(sum(window[:c]) / c - sum(window[c:]) / (n - c))
+            if gap >= math.sqrt(2 * (1 / c + 1 / (n - c)) * math.log(2 / delta)):
+                window = window[c:]
+                alarms.append((i, gap, len(window)))
+                break
+    return alarms, window
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.6, 1.5, 6.0])
+@pytest.mark.parametrize("carried", [0, 7, 300])
+def test_adwin_by_bounds_equals_every_cut(spread, carried):
+    rng = np.random.default_rng(int(spread * 100) + carried)
+    level = np.repeat(rng.normal(0, 1, 6), [300, 40, 200, 11, 400, 150])
+    values = level + rng.normal(0, spread, len(level))
+    entry = rng.normal(0, spread, carried).tolist()
+    alarms, window = S.adwin_scan()(values, entry)
+    want, left = plain_adwin(values, entry)
+    assert [(a[0], a[3]) for a in alarms] == [(a[0], a[2]) for a in want] and window == left
+    assert all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(alarms, want))
+
+
+def test_adwin_tests_few_windows_of_a_steady_stream():
+    values = np.random.default_rng(2).normal(0, 0.5, 60_000)
+    bounds = S.CutBounds(values, S.ADWIN_DELTA)
+    open_ = sum(int(bounds.possible(0, a, min(a + 1024, 60_001)).sum()) for a in range(10, 60_001, 1024))
+    assert open_ < 60 * 8
