@@ -19,36 +19,92 @@ from curadrift.session import BROADCAST_BYTES, checkpointed, small_side
 
 # ---- edges -------------------------------------------------------------------------------
 
+# Rows that pivots are chosen from, and how many pivots there may be.
+PIVOT_SAMPLE, PIVOTS = 1024, (1, 4, 16, 64)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(sq_distances(x, pivots), 0.0))
+
+
+def _halo(d: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cells (the nearest pivot) and, per row, the cells before its home in which a partner may live.
+
+    A partner y of cell j has d(y, j) <= d(y, home), so by the triangle inequality d(x, j) <= d(x, home) + 2 radius. Two cells meet
+    in the first of them.
+    """
+    home = d.argmin(axis=1)
+    near = d[np.arange(len(d)), home]
+    # slack for distances that were rounded
+    return home, (d <= (near + 2 * radius)[:, None] * (1 + 1e-6) + 1e-6) & (np.arange(d.shape[1]) < home[:, None])
+
+
+def _pivots(sample: np.ndarray, radius: float) -> np.ndarray:
+    """Rows far from each other, as many as let the fewest pairs of the sample meet."""
+    order, gap = [0], _distances(sample, sample[:1])[:, 0]
+    while len(order) < min(PIVOTS[-1], len(sample)) and gap.max() > 0:
+        order.append(int(gap.argmax()))
+        gap = np.minimum(gap, _distances(sample, sample[order[-1:]])[:, 0])
+    all_d, best = _distances(sample, sample[order]), None
+    for count in PIVOTS:
+        home, halo = _halo(all_d[:, :count], radius)
+        own = np.bincount(home, minlength=all_d.shape[1])
+        # a copy of a row costs as much as a few comparisons of the sample
+        work = (own[:halo.shape[1]] * (own[:halo.shape[1]] / 2 + halo.sum(axis=0))).sum() + 8 * halo.sum()
+        if best is None or work < best[0]:
+            best = work, count
+    return sample[order[:best[1]]]
+
+
+def radius_sides(df: DataFrame, key: str, vector: str, radius: float) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``radius_join``, to be met on (``cell``, ``band``): every row in its home cell, and rows as partners in their own band and the
+    one below it (``free`` false: by order of the ids) and, ``free``, in the halo of earlier cells."""
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
+    dims = len(sample.iloc[0]) if len(sample) else 0
+    pivots = _pivots(np.stack([v for v in sample if len(v) == dims]), radius) if dims else np.zeros((1, 0))
+    width = radius if radius > 0 else 1.0  # any width not below the radius will do
+
+    def placed(frames):
+        for frame in frames:
+            frame = frame[frame["v"].map(len) == dims]
+            for begin in range(0, len(frame), 4096):
+                part = frame.iloc[begin:begin + 4096]
+                d = _distances(np.stack(part["v"].to_numpy()), pivots)
+                home, halo = _halo(d, radius)
+                row, cell = np.nonzero(halo)
+                row, cell = np.r_[np.arange(len(part)), row], np.r_[home, cell]
+                yield pd.DataFrame({
+                    "id": part["id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell.astype(np.int32),
+                    "band": np.floor(d[row, cell] / width).astype(np.int64), "free": np.arange(len(row)) >= len(part)})
+
+    id_type = df.schema[key].dataType.simpleString()
+    cells = checkpointed(rows.mapInPandas(placed, f"id {id_type}, v array<double>, cell int, band long, free boolean"))
+    home = cells.filter("NOT free").select("id", "v", "cell", "band")
+    # a row of the home cell stands in its own band and in the one below, so two bands meet once; one of the halo on both sides
+    bands = F.array_compact(F.array(F.col("band") - 1, F.col("band"), F.when(F.col("free"), F.col("band") + 1)))
+    around = cells.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("cell").alias("cell"), F.col("free").alias("free"), F.col("band").alias("own"), F.explode(bands).alias("band"))
+    return home, around.select("id", "v", "cell", "band", (F.col("free") | (F.col("own") != F.col("band"))).alias("free"))
+
+
 def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, weight) for src < dst with Euclidean distance < radius (<= when ``closed``); exact.
 
-    Rows get the band floor(distance to one pivot / radius). By the triangle inequality partners lie
-    in neighbouring bands, so only those meet. A crowded band is dealt into blocks of bounded size,
-    and each block pair emits its matches only.
+    Rows live in the ball of their nearest pivot and are copied to the balls in whose halo they lie; in a ball they stand in bands of
+    the distance to its pivot, and only neighbouring bands meet. Pivots come from a bounded sample, as many as pay there. A crowded
+    band is dealt into blocks of bounded size, and each block pair emits its matches only.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    pivot = rows.agg(F.min_by("v", "id").alias("v")).first()["v"] or []
-    # a lambda here, not the term-by-term form: the band enters several generated expressions
-    gap = V.distance(F.col("v"), F.lit([float(x) for x in pivot]).cast("array<double>"))
-    width = radius if radius > 0 else 1.0  # any width not below the radius will do
-    banded = rows.select("id", "v", F.floor(gap / width).alias("band"))
-    # a row stands on the right in its own band and in the one below, so two bands meet once
-    around = F.array(F.col("band") - 1, F.col("band"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("own"))
-    near = sizes.select(F.explode(around).alias("band"), "own").groupBy("band").agg(F.sum("own").alias("near"))
-    blocks = small_side(
-        sizes.join(near, "band").select(
-            "band", F.ceil(F.col("own") / block_rows).alias("nb_left"), F.ceil(F.col("near") / block_rows).alias("nb_right")
-        )
-    )
+    home, around = radius_sides(df, key, vector, radius)
+    at = ["cell", "band"]
+    sizes = home.groupBy(*at).agg(F.count(F.lit(1)).alias("own"))
+    near = around.groupBy(*at).agg(F.count(F.lit(1)).alias("near"))
+    blocks = small_side(sizes.join(near, at).select(
+        *at, F.ceil(F.col("own") / block_rows).alias("nb_left"), F.ceil(F.col("near") / block_rows).alias("nb_right")))
     spread = F.xxhash64("id")
-    left = banded.join(blocks, "band").select(
-        "id", "v", "band", F.pmod(spread, F.col("nb_left")).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nb_right") - 1)).alias("bj")
-    )
-    right = (
-        banded.select(F.col("id").alias("id"), F.col("v").alias("v"), F.col("band").alias("home"), F.explode(around).alias("band")).join(blocks, "band")
-        .select("id", "v", "band", (F.col("home") == F.col("band")).alias("same"), F.pmod(spread, F.col("nb_right")).alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nb_left") - 1)).alias("bi"))
-    )
+    left = home.join(blocks, at).select(
+        "id", "v", *at, F.pmod(spread, F.col("nb_left")).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nb_right") - 1)).alias("bj"))
+    right = around.join(blocks, at).select(
+        "id", "v", "free", *at, F.pmod(spread, F.col("nb_right")).alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nb_left") - 1)).alias("bi"))
 
     def matches(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -57,7 +113,7 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
         ids, others = x["id"].to_numpy(), y["id"].to_numpy()
         # a generous cut on the fast form, the exact test on the few rows that pass
         slack = radius * radius * (1 + 1e-6) + 1e-9
-        once = (ids[:, None] < others[None, :]) | ~y["same"].to_numpy(bool)[None, :]
+        once = (ids[:, None] < others[None, :]) | y["free"].to_numpy(bool)[None, :]
         i, j = np.nonzero((sq_distances(a, b) <= slack) & once)
         d = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
         keep = d <= radius if closed else d < radius
@@ -65,7 +121,7 @@ def radius_join(df: DataFrame, key: str, vector: str, radius: float, closed: boo
         return pd.DataFrame({"src": np.where(p < q, p, q), "dst": np.where(p < q, q, p), "weight": d[keep]})
 
     id_type = df.schema[key].dataType.simpleString()
-    keys = ["band", "bi", "bj"]
+    keys = [*at, "bi", "bj"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(matches, f"src {id_type}, dst {id_type}, weight double")
 
 

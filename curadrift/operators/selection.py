@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from curadrift.functions import probabilities as P, vectors as V
 from curadrift.functions.numbers import drawn
-from curadrift.operators.blocks import distance_sums
+from curadrift.operators.blocks import block_count, block_pairs, distance_sums, no_rows
 from curadrift.operators.ordered import indexed, ranged, running
 from curadrift.session import checkpointed, small_side
 
@@ -149,29 +149,27 @@ def _to_anchors(x: np.ndarray, anchors: np.ndarray, metric: str) -> np.ndarray:
 
 
 def anchor_distances(
-    df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str], block_anchors: int = 1024
+    df: DataFrame, key: str, vector: str, anchors: DataFrame, metrics: list[str], block_anchors: int = 1024, block_rows: int = 512
 ) -> DataFrame:
     """(key, anchor, one column per metric) for every row and every anchor (anchor, v).
 
-    The result has rows x anchors rows, whatever their number: reduce it before keeping it. Anchors are a table, dealt into
-    blocks of about ``block_anchors`` that each row block meets one at a time.
+    The result has rows x anchors rows, whatever their number: reduce it before keeping it. Rows and anchors are dealt into
+    blocks, and a task works on one block of each as two matrices.
     """
-    held = checkpointed(anchors.select("anchor", "v"))
-    blocks = max(1, -(-held.count() // block_anchors))
-    packed = held.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("anchor", "v")).alias("anchors"))
-    met = df.select(key, vector).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "block")
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, part in frame.groupby("block"):
-                listed = part["anchors"].iat[0]
-                names, matrix = [a["anchor"] for a in listed], np.array([a["v"] for a in listed])
-                x = np.stack(part[vector].to_numpy())
-                columns = {m: _to_anchors(x, matrix, m).ravel() for m in metrics}
-                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(names)), "anchor": names * len(part), **columns})
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    held = checkpointed(anchors.select(F.col("anchor").alias("id"), "v"))
+
+    def measure(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return no_rows(key, "anchor", *metrics)
+        a, b = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
+        columns = {m: _to_anchors(a, b, m).ravel() for m in metrics}
+        return pd.DataFrame({key: np.repeat(x["id"].to_numpy(), len(y)), "anchor": np.tile(y["id"].to_numpy(), len(x)), **columns})
 
     key_type, anchor_type = df.schema[key].dataType.simpleString(), anchors.schema["anchor"].dataType.simpleString()
-    return met.mapInPandas(measure, f"{key} {key_type}, anchor {anchor_type}, " + ", ".join(f"{m} double" for m in metrics))
+    return block_pairs(
+        rows, held, block_count(df.count(), block_rows), block_count(held.count(), block_anchors), measure,
+        f"{key} {key_type}, anchor {anchor_type}, " + ", ".join(f"{m} double" for m in metrics))
 
 
 # ---- combined ----------------------------------------------------------------------------
