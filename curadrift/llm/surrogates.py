@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curadrift.llm.common import query, stored, table
 
-KEY = "corpus"
+#: The key where none is given: that of the session, if it is set there; keep it secret, or anybody can recompute a surrogate.
+KEY, KEY_SETTING = "corpus", "spark.curadrift.surrogates.key"
 ROUNDS = 30
 #: Draws after which a form gets a character more each time: free formats soon, formats of fixed length only if they are nearly full.
 LONGER_AFTER, FIXED_AFTER = 3, 12
@@ -39,13 +40,18 @@ PARTICLES = ["von", "van", "de", "del", "della", "di", "da", "dos", "du", "der",
 # loops are possessive: they take no stack, however many words follow
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})(?![sS](?!\p{L})))++"
 _PARTICLE = r"(?:(?:von der|von dem|van der|van den|de la|de los|von|van|de|del|della|di|da|dos|du|bin|ibn|al|el|ter|ten) |(?:al|el)-|d['’]|\p{Lu}\. )"
-_NEXT = rf"(?:-| {_PARTICLE}*+){_WORD}"
+_NEXT = rf"[- ]{_PARTICLE}*+{_WORD}"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
     "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>;,]{6,}",
+    "bearer": r"(?<![A-Za-z])(?i:bearer)[ \t]{1,3}[A-Za-z0-9._~+/-]{16,}+={0,2}",
+    "ipv6": r"(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=(?: ?[A-Z]{0,4}\d){8})(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -105,8 +111,10 @@ def atoms(surface: Column, kind: Column) -> Column:
 
     named = F.concat(F.array(part(none, titles)), F.flatten(F.transform(words, lambda w, i: F.array(
         part(none, w["gap"]), part(word_kind(w["word"], i), F.coalesce(w["word"], F.lit("")))))))
+    bearer = r"^([A-Za-z]+\s+)(.*)$"
     return (
         F.when(kind == "secret", F.array(part(none, secret), part(kind, F.regexp_extract(surface, r"^([A-Za-z_-]+\s*[=:]\s*[\"']?)(.*)$", 2))))
+        .when(kind == "bearer", F.array(part(none, F.regexp_extract(surface, bearer, 1)), part(F.lit("secret"), F.regexp_extract(surface, bearer, 2))))
         .when(kind == "name", named).otherwise(F.array(part(kind, surface)))
     )
 
@@ -121,11 +129,18 @@ def one_kind(kind: Column) -> Column:
     return F.when(f & ~m, "given_f").when(m & ~f, "given_m").when(f | m | x, "given_x").otherwise(F.first(kind))
 
 
+def _phone(part: Column) -> Column:
+    """The number's own digits; then, for a number abroad, a plus sign and its country code."""
+    code = F.regexp_extract(part, rf"^\+({_COUNTRY})", 1)
+    return F.when((code == "") | code.isin("1"), F.substring(_digits(part), -10, 10)).otherwise(
+        F.concat(F.substr(_digits(part), F.length(code) + 1, F.length(part)), F.lit("+"), code))
+
+
 def canonical(kind: Column, part: Column) -> Column:
     """What all spellings of one entity share."""
     return (
-        F.when(kind == "phone", F.substring(_digits(part), -10, 10))
-        .when(kind.isin("card", "ssn"), _digits(part))
+        F.when(kind == "phone", _phone(part))
+        .when(kind.isin("card", "ssn"), _digits(part)).when(kind == "iban", F.replace(part, F.lit(" "))).when(kind == "ipv6", F.lower(part))
         .when(_is_name(kind), F.translate(F.lower(part), "’", "'")).when(kind == "email", F.lower(part))
         .otherwise(part)
     )
@@ -190,6 +205,13 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, t: a + t)
 
 
+def _iban_check(country: Column, account: Column) -> Column:
+    """The two digits that make an account number 1 modulo 97, its letters counted from 10."""
+    spelled = F.transform(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string")))
+    rest = F.aggregate(F.split(F.concat_ws("", spelled), ""), F.lit(0), lambda a, d: F.pmod(a * 10 + F.coalesce(d.try_cast("int"), F.lit(0)), F.lit(97)))
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
 def _name(seed: Column, canon: Column, ending: tuple[str, str], length: Column) -> Column:
     stream = _stream(seed, F.lit(40))
 
@@ -219,13 +241,20 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     out = F.when(kind == "email", F.concat(
         _redrawn(_longer(F.regexp_extract(canon, "^([^@]*)@", 1), attempt, LONGER_AFTER, "a"), seed), F.lit("@"),
         _redrawn(labels, F.concat_ws("|", F.lit(key), F.lit("domain"), domain)), F.lit(".example"))).otherwise(out)
-    out = F.when(kind == "phone", F.concat(_pick("23456789", _byte(stream, F.lit(0))), rest)).otherwise(out)
+    own, abroad = F.regexp_extract(canon, "^[0-9]*", 0), F.regexp_extract(canon, r"\+.*$", 0)
+    own = _redrawn(_longer(own, attempt, FIXED_AFTER, "0"), seed)
+    out = F.when(kind == "phone", F.concat(_pick("23456789", _byte(stream, F.lit(0))), F.substr(own, F.lit(2), F.length(own)), abroad)).otherwise(out)
     out = F.when(kind == "ssn", F.concat(F.lit("9"), rest)).otherwise(out)
     out = F.when(kind == "card", F.when(F.pmod(_luhn_sum(canon), F.lit(10)) == 0, checked).otherwise(F.concat(F.substring(canon, 1, 1), rest))).otherwise(out)
     # all four numbers; from the documentation range of the longer addresses where those are used up
     short = F.concat_ws(".", *[(F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
     long = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substr(stream, F.lit(4 * i + 1), F.lit(4))) for i in range(6)])
     out = F.when(kind == "ip", F.when(attempt > FIXED_AFTER, long).otherwise(short)).otherwise(out)
+    # after the prefix of the documentation range: the groups and their zeros as they stand
+    out = F.when(kind == "ipv6", F.concat(F.lit("2001:db8:"), F.substr(long, F.lit(10), F.length(long)))).otherwise(out)
+    # the country stays, all else is drawn, and the check digits follow
+    account = _redrawn(F.substr(number, F.lit(5), F.length(number)), seed)
+    out = F.when(kind == "iban", F.concat(F.substring(canon, 1, 2), _iban_check(F.substring(canon, 1, 2), account), account)).otherwise(out)
     out = F.when(kind == "key", F.concat(F.lit("AKIA"), F.substr(drawn, F.lit(5), F.length(drawn)))).otherwise(out)
     for name, ending in ENDINGS.items():
         is_kind = kind == (name if name == "family" else f"given_{name}")
@@ -237,7 +266,8 @@ def written(kind: Column, part: Column, drawn: Column) -> Column:
     """A surrogate in the format of the place: grouped digits from the right, those beyond the form's length at the end, upper case
     where the entity is upper case."""
     chars = F.split(part, "")
-    held = F.length(canonical(kind, part))
+    held = F.length(F.regexp_replace(canonical(kind, part), r"\+.*$", ""))
+    drawn = F.when(kind == "phone", F.regexp_replace(drawn, r"\+.*$", "")).otherwise(drawn)
 
     def digit(ch, i):
         after = F.length(_digits(F.substr(part, i + 2, F.length(part))))
@@ -246,7 +276,8 @@ def written(kind: Column, part: Column, drawn: Column) -> Column:
     return (
         F.when(kind.isNull(), part)
         .when(kind.isin("phone", "card", "ssn"), F.concat(F.concat_ws("", F.transform(chars, digit)), F.substr(drawn, held + 1, F.length(drawn))))
-        .when(kind.isin("ip", "key", "secret"), drawn)
+        .when(kind.isin("ip", "ipv6", "key", "secret"), drawn)
+        .when(kind == "iban", F.when(part.contains(" "), F.trim(F.regexp_replace(drawn, "(.{4})", "$1 "))).otherwise(drawn))
         .when((part == F.upper(part)) & (F.length(part) > 1), F.upper(drawn))
         .otherwise(drawn)
     )
@@ -305,10 +336,11 @@ def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
     return ordered.join(after, "text_id", "left").select("text_id", F.col("all.out").alias("drawn"), F.col("all.entity").alias("kinds"), F.col("after.words").alias("after"))
 
 
-def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
+def _rewritten(docs: DataFrame, key: str | None) -> tuple[DataFrame, list[Column]]:
     """Rows as ``row``, ``text``, ``entities``; and the columns of ``docs`` from them."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     has = has_entity(F.col("text"))
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     found = replacements(docs.select("text").where(F.col("text").isNotNull()), key)
     hit = packed.where(has).withColumn("text_id", F.md5("text")).join(found, "text_id")
     between, nothing = F.split("text", ANY, -1), F.lit("")
@@ -336,7 +368,7 @@ def _rewritten(docs: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
     return both, own
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` (all columns, ``text`` rewritten, ``n_chars`` following it where it is a column) and ``entities_found``: their kinds, in
     text order.
 
@@ -347,7 +379,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     return both.select(*own, F.col("entities").alias("entities_found"))
 
 
-def without_private_data(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_private_data(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text`` and no other column added."""
     both, own = _rewritten(docs, key)
     return both.select(*own)
