@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from curadrift.functions.rules import severity_rank
 from curadrift.operators.entities import top_n_per_group
@@ -84,6 +84,17 @@ def top_issues(issues: DataFrame, n: int = 10) -> DataFrame:
     return top_n_per_group(issues, ["project"], [severity_rank(F.col("severity")).desc(), F.col("id").asc()], n)
 
 
+def dashboard_leaders(annotators: DataFrame, labels: DataFrame, n: int = 10) -> DataFrame:
+    """The dashboard's two lists: (list, rank, name, value) of the ``n`` best annotators (``annotator_id``, ``quality_score``) and the ``n`` most
+    used labels (``label``, ``usage``), ties by name."""
+    def first(df: DataFrame, name: str, value: str, listed: str) -> DataFrame:
+        rows = df.select(F.lit(listed).alias("list"), F.col(name).alias("key"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+        top = rows.orderBy(F.desc("value"), "key").limit(n)
+        return top.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("value"), "key"))).drop("key")
+
+    return first(annotators, "annotator_id", "quality_score", "annotators").unionByName(first(labels, "label", "usage", "labels"))
+
+
 def quality_dashboard(reports: DataFrame, issues: DataFrame, n: int = 10) -> DataFrame:
     """Per project the latest report, its issue counts by severity and resolution, and the score trend."""
     head = latest_report(reports).select("project", "report_id", "overall_score", "created_at")

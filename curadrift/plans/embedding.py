@@ -52,9 +52,15 @@ def sample_contract(spark, sf):
     )
 
 
-@query("slice_check", sql("SELECT count(*) AS n, (SELECT count(*) FROM embeddings) AS declared, count(*) = (SELECT count(*) FROM embeddings) AND count(*) > 0 AS valid FROM samples", "samples"))
+@query("slice_check", sql(
+    "SELECT part, count(*) AS n, declared, count(*) = declared AND count(*) > 0 AS valid FROM (SELECT 'whole' AS part, max(vec_id) - min(vec_id) + 1 AS declared FROM embeddings UNION ALL SELECT 'labelled', max(vec_id) + 1 FROM embeddings) d "
+    "JOIN samples ON part = 'whole' OR CAST(label AS INTEGER) > 0 GROUP BY part, declared", "samples"))
 def slice_check(spark, sf):
-    return O.slice_check(samples(spark, sf), table(spark, sf, "embeddings").count())
+    """A whole slice against the span of its ids, and one without the label 0 that declares as much."""
+    df = samples(spark, sf)
+    span = table(spark, sf, "embeddings").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
+    whole = O.slice_check(df, span["high"] - span["low"] + 1).withColumn("part", F.lit("whole"))
+    return whole.unionByName(O.slice_check(df.filter("CAST(label AS INT) > 0"), span["high"] + 1).withColumn("part", F.lit("labelled")))
 
 
 @query("l2_normalize", sql(

@@ -237,7 +237,7 @@ def score_trend(spark, sf):
 
 @query("quality_dashboard", sql(
     "SELECT h.project, h.report_id, h.overall_score, h.created_at, count(i.id) AS total_issues, count(*) FILTER (WHERE severity = 'critical') AS critical_issues, count(*) FILTER (WHERE severity = 'high') AS high_issues, "
-    "0 AS medium_issues, 0 AS low_issues, count(*) FILTER (WHERE is_resolved) AS resolved_issues, any_value(t.scores) AS scores FROM h LEFT JOIN iss i ON i.report_id = h.report_id JOIN tr t ON t.project = h.project GROUP BY ALL",
+    "count(*) FILTER (WHERE severity = 'medium') AS medium_issues, count(*) FILTER (WHERE severity = 'low') AS low_issues, count(*) FILTER (WHERE is_resolved) AS resolved_issues, any_value(t.scores) AS scores FROM h LEFT JOIN iss i ON i.report_id = h.report_id JOIN tr t ON t.project = h.project GROUP BY ALL",
     "weekly", iss=ISS, h="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC) AS rn FROM weekly) WHERE rn = 1", tr=TREND))
 def quality_dashboard(spark, sf):
     out = R.quality_dashboard(weekly_reports(spark, sf), issues(spark, sf))

@@ -285,7 +285,7 @@ PROFILE = {
     **PAIR_SQL, "intra": INTRA, "sp": SPEED,
     "ag": "SELECT annotator_id, avg(rate) AS agreement FROM (SELECT a1 AS annotator_id, rate FROM kp UNION ALL SELECT a2, rate FROM kp) GROUP BY 1",
     "pf": "SELECT a.annotator_id, count(*) AS total_annotations, avg(lead_time) AS avg_time, min(created_at) AS first_at, max(created_at) AS last_at, any_value(g.agreement) AS agreement, any_value(CASE WHEN i.n < 2 THEN 1.0 ELSE 1 - i.changes / (i.n - 1) END) AS consistency, "
-          "(SELECT count(*) FROM sp WHERE sp.annotator_id = a.annotator_id) AS issue_count FROM annotations a LEFT JOIN ag g ON g.annotator_id = a.annotator_id JOIN intra i ON i.annotator_id = a.annotator_id GROUP BY a.annotator_id",
+          "(SELECT count(*) FROM sp WHERE sp.annotator_id = a.annotator_id) AS issue_count, (SELECT count(*) FROM sp WHERE sp.annotator_id = a.annotator_id AND z > 5) AS serious_issues FROM annotations a LEFT JOIN ag g ON g.annotator_id = a.annotator_id JOIN intra i ON i.annotator_id = a.annotator_id GROUP BY a.annotator_id",
 }
 
 
@@ -295,9 +295,9 @@ def profiles(spark, sf):
 
 
 @query("annotator_profile", sql(
-    "SELECT annotator_id, total_annotations, round(avg_time, 6) AS avg_time, first_at, last_at, round(agreement, 6) AS agreement, round(consistency, 6) AS consistency, issue_count, round((agreement + consistency) / 2, 6) AS quality_score FROM pf", "pairs", **PROFILE))
+    "SELECT annotator_id, total_annotations, round(avg_time, 6) AS avg_time, first_at, last_at, round(agreement, 6) AS agreement, round(consistency, 6) AS consistency, issue_count, serious_issues, round((agreement + consistency) / 2, 6) AS quality_score FROM pf", "pairs", **PROFILE))
 def annotator_profile(spark, sf):
-    return rounded(profiles(spark, sf), "avg_time", "agreement", "consistency", "quality_score").drop("serious_issues")
+    return rounded(profiles(spark, sf), "avg_time", "agreement", "consistency", "quality_score")
 
 
 @query("top_annotators", sql("SELECT annotator_id, round((agreement + consistency) / 2, 6) AS quality_score FROM pf ORDER BY (agreement + consistency) DESC, annotator_id LIMIT 5", "pairs", **PROFILE))
@@ -325,6 +325,15 @@ def label_stats(spark, sf):
     return rounded(Q.label_stats(annotations(spark, sf)), "share", "agreement", "consistency")
 
 
+@query("dashboard_leaders", sql(
+    "SELECT 'annotators' AS list, CAST(row_number() OVER (ORDER BY agreement + consistency DESC, annotator_id) AS INTEGER) AS rank, CAST(annotator_id AS VARCHAR) AS name, round((agreement + consistency) / 2, 6) AS value FROM pf QUALIFY rank <= 10 "
+    "UNION ALL SELECT 'labels', CAST(row_number() OVER (ORDER BY usage DESC, label) AS INTEGER), label, CAST(usage AS DOUBLE) FROM ls QUALIFY row_number() OVER (ORDER BY usage DESC, label) <= 10",
+    "pairs", **PROFILE, **LABEL_SQL))
+def dashboard_leaders(spark, sf):
+    from curadrift.operators.reports import dashboard_leaders as leaders
+    return rounded(leaders(profiles(spark, sf), Q.label_stats(annotations(spark, sf))), "value")
+
+
 @query("low_agreement_labels", sql("SELECT label, usage, usage <= 5 AS rarely_used, round(agreement, 6) AS agreement FROM ls WHERE agreement < 0.5 OR usage <= 5", "pairs", **LABEL_SQL))
 def low_agreement_labels(spark, sf):
     stats = Q.label_stats(annotations(spark, sf)).filter("agreement < 0.5 OR usage <= 5")
