@@ -254,23 +254,60 @@ def dijkstra_budget(nodes: DataFrame, key: str, edges: DataFrame, sources: DataF
     return nodes.select(F.col(key).alias("id")).join(known, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
 
 
-def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """(id, component) with the smallest member id as the name: smallest neighbour label, then each
-    label jumps to its own label, until nothing changes (logarithmic in practice)."""
-    links = checkpointed(both_ways(edges).select("src", "dst"))
-    labels = checkpointed(nodes.select(F.col(key).alias("id"), F.col(key).alias("component")))
-    while True:
-        offers = links.join(labels, links["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("offer"))
-        lowered = labels.join(offers, labels["id"] == offers["src"], "left").select(
-            "id", F.col("component").alias("old"), F.least("component", F.coalesce("offer", "component")).alias("component")
-        )
-        step = checkpointed(lowered)
-        names = step.select(F.col("component").alias("name")).distinct()
-        target = names.join(step.select("id", F.col("component").alias("jump")), F.col("name") == F.col("id")).select("name", "jump")
-        jumped = checkpointed(step.join(target, step["component"] == target["name"]).select("id", "old", F.col("jump").alias("component")))
-        if jumped.filter("component <> old").isEmpty():
-            return jumped.select("id", "component")
-        labels = jumped.select("id", "component")
+# Edges of one node beyond which a join on it is done by broadcast, and the part of all edges that makes a node crowded anyway.
+CROWD, CROWD_SHARE = 1 << 14, 100_000
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """(id, least): the smallest neighbour of every node that has a smaller one."""
+    return links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
+
+
+def _with_least(links: DataFrame, on: str, least: DataFrame, count: int, crowd: int) -> DataFrame:
+    """``links`` with the ``least`` of the node in column ``on`` (NULL without one).
+
+    At most ``CROWD_SHARE`` nodes have more than 1 / ``CROWD_SHARE`` of the links: their values are broadcast, so no task gets all links of a hub.
+    """
+    limit = max(crowd, count // CROWD_SHARE)
+    if count <= limit:  # no node can have so many
+        return links.join(least, F.col(on) == F.col("id"), "left").drop("id")
+    hubs = links.groupBy(F.col(on).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("id")
+    known = F.broadcast(checkpointed(hubs.join(least, "id", "left")))
+    at_hubs = links.join(known, F.col(on) == F.col("id")).select("a", "b", "least")
+    others = links.join(F.broadcast(known.select("id")), F.col(on) == F.col("id"), "left_anti")
+    return others.join(least, F.col(on) == F.col("id"), "left").select("a", "b", "least").unionByName(at_hubs)
+
+
+def _star_round(links: DataFrame, count: int, crowd: int) -> DataFrame:
+    """Large star, then small star, on links from the larger id ``a`` to the smaller ``b``."""
+    near = _with_least(links, "b", _least(links), count, crowd)
+    large = near.select("a", F.coalesce("least", "b").alias("b")).distinct()
+    if count > max(crowd, count // CROWD_SHARE):
+        large = checkpointed(large)  # read four times below
+    least = _least(large)
+    moved = _with_least(large, "a", least, count, crowd).filter(F.col("b") > F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.unionByName(least.select(F.col("id").alias("a"), F.col("least").alias("b"))).distinct()
+
+
+def _is_star_forest(links: DataFrame) -> bool:
+    """Whether every node links to at most one smaller one and none that is linked to links on."""
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def connected_components(nodes: DataFrame, key: str, edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(id, component) with the smallest member id as the name; the ends of edges are nodes, loops and NULL ends do not count.
+
+    Alternating large and small stars (Kiveris et al. 2014): links move to ever smaller neighbours until every node hangs on the smallest of its
+    component. No row is ever grouped or joined by the component's name, and the number of links never grows.
+    """
+    links = checkpointed(edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    while not _is_star_forest(links):
+        links = checkpointed(_star_round(links, links.count(), crowd))
+    ids = nodes.select(F.col(key).alias("id"))
+    return ids.join(links, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def dbscan_representatives(df: DataFrame, key: str, vector: str, eps: float, k: int) -> DataFrame:

@@ -94,6 +94,33 @@ def test_long_chain_components(spark):
     assert {r["component"] for r in G.connected_components(nodes, "id", edges).collect()} == {0}
 
 
+@pytest.mark.parametrize("crowd", [G.CROWD, 3], ids=["joins", "hubs"])
+def test_components_against_union_find(spark, crowd):
+    rng = np.random.default_rng(7)
+    n, pairs = 400, []
+    pairs += [(399, int(v)) for v in rng.choice(150, 90, replace=False)]                       # a hub with the largest id
+    pairs += [(150, v) for v in range(151, 230)] + [(229, 230), (231, 230), (240, 239), (239, 238)]  # a hub with the smallest id
+    pairs += [(int(a), int(b)) for a, b in rng.integers(240, 390, (90, 2))] + [(5, 5), (240, 239)]
+    nodes, edges = graph(spark, n, [(a, b, 1.0) for a, b in pairs])
+    name = list(range(n))
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        name[high] = low
+    got = {r["id"]: r["component"] for r in G.connected_components(nodes, "id", edges, crowd).collect()}
+    assert got == {i: root(i) for i in range(n)}
+
+
+def test_no_edges(spark):
+    nodes, edges = graph(spark, 3, [(0, 1, 1.0)])
+    assert {tuple(r) for r in G.connected_components(nodes, "id", edges.filter("src > 5")).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_weighted_triangle(spark):
     nodes, edges = graph(spark, 4, [(0, 1, 1.0), (1, 2, 2.0), (0, 2, 4.0)])
     got = {r["id"]: (r["distance"], r["pred"]) for r in G.shortest_paths(nodes, "id", edges, nodes.filter("id = 0")).collect()}
