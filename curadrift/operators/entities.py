@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from curadrift.session import small_side
+from curadrift.operators.ordered import PART
+from curadrift.session import fresh_path, small_side
 
 
 def top_n_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
@@ -127,7 +130,41 @@ def sort_by(df: DataFrame, by: Column, key: str, descending: bool = False) -> Da
     return df.orderBy(by.desc() if descending else by.asc(), key)
 
 
+# Rows of one part of a rank index.
+PART_ROWS = 1 << 20
+
+
+class RankIndex:
+    """A table written in parts of consecutive places, with the first place of every part: a page reads only the parts that hold it."""
+
+    def __init__(self, df: DataFrame, by: Column, key: str, descending: bool = False, part_rows: int = PART_ROWS):
+        self.order, self.columns = [by.desc() if descending else by.asc(), F.col(key)], df.columns
+        spark, root = df.sparkSession, fresh_path(df.sparkSession, "rank-index")
+        parts = max(1, -(-df.count() // part_rows))
+        spread = df.repartitionByRange(parts, *self.order).withColumn(PART, F.spark_partition_id())
+        spread.write.partitionBy(PART).parquet(os.path.join(root, "rows"))
+        self.rows = spark.read.schema(spread.schema).parquet(os.path.join(root, "rows"))
+        # one row a part
+        before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = self.rows.groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
+        sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(os.path.join(root, "parts"))
+        self.parts = spark.read.parquet(os.path.join(root, "parts"))
+
+    def parts_of(self, first: int, last: int) -> dict[int, int]:
+        """Part -> first place, of the parts that hold places [first, last)."""
+        held = self.parts.filter((F.col("base") < last) & (F.col("base") + F.col("n") > first) & F.lit(first < last))
+        return {r[PART]: r["base"] for r in held.collect()}
+
+    def page(self, start: int, end: int, overscan: int = 0) -> DataFrame:
+        """Rows [start - overscan, end + overscan) with ``place`` (from 0), in order; the page bounds the list of parts."""
+        first, last = max(0, start - overscan), end + overscan
+        held = self.parts_of(first, last)
+        base = F.create_map(*[F.lit(v) for pair in held.items() for v in pair]) if held else F.lit(None).cast("map<int,bigint>")
+        rank = F.row_number().over(Window.partitionBy(PART).orderBy(*self.order))
+        rows = self.rows.filter(F.col(PART).isin(list(held))).withColumn("place", base[F.col(PART)] + rank - 1)
+        return rows.filter((F.col("place") >= first) & (F.col("place") < last)).orderBy("place").select(*self.columns, "place")
+
+
 def page_window(df: DataFrame, by: Column, key: str, start: int, end: int, overscan: int = 0, descending: bool = False) -> DataFrame:
-    """Rows [start - overscan, end + overscan) of the sorted table."""
-    first = max(0, start - overscan)
-    return sort_by(df, by, key, descending).offset(first).limit(end + overscan - first)
+    """Rows [start - overscan, end + overscan) of the sorted table; keep a ``RankIndex`` to read several pages."""
+    return RankIndex(df, by, key, descending).page(start, end, overscan).drop("place")

@@ -167,6 +167,16 @@ def page_window(spark, sf):
     return E.page_window(entities(spark, sf).select("sample_id", "isolation_score"), F.col("isolation_score"), "sample_id", 100, 150, overscan=5, descending=True)
 
 
+@query("page_window_deep", (
+    "SELECT sample_id, isolation_score, place FROM (SELECT event_id AS sample_id, value AS isolation_score, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place, count(*) OVER () AS n FROM events) "
+    "WHERE place >= n // 2 AND place < n // 2 + 50 OR place >= n - 20"))
+def page_window_deep(spark, sf):
+    """A page in the middle and the last one, from one index."""
+    rows = entities(spark, sf).select("sample_id", "isolation_score")
+    n, index = rows.count(), E.RankIndex(rows, F.col("isolation_score"), "sample_id", descending=True)
+    return index.page(n // 2, n // 2 + 50).unionByName(index.page(n - 20, n))
+
+
 # ---- reports and issues ------------------------------------------------------------------
 
 ISS = (

@@ -11,6 +11,7 @@ from curadrift.plans.registry import query
 from curadrift.plans.rows import NESTED
 from curadrift.plans.windows import ADWIN_SQL, ORDER, SERIES
 from curadrift.session import fresh_path
+from curadrift.sources.messages import append_messages, message_stream as numbered_stream
 from curadrift.sources.tables import ntz, points, table, tasks
 from curadrift.streaming import operators as S, runs as R
 from curadrift.streaming.sources import instant, table_stream
@@ -106,6 +107,25 @@ def resume_after_seq(spark, sf):
     return S.after_sequence(rows.drop("ts"), rows.filter(F.col("ts") < ntz("2024-01-02")))
 
 
+@query("resumable_source", (
+    "SELECT event_id AS seq, event_type, user_id, CASE WHEN event_id <= m // 3 THEN 0 WHEN event_id <= m // 2 THEN 1 ELSE 2 END AS run "
+    "FROM events, (SELECT max(event_id) AS m FROM events) WHERE event_id > m // 10"))
+def resumable_source(spark, sf):
+    """Messages arrive in three lots; a stream that starts anew after each, from one checkpoint, reads every message once."""
+    root = fresh_path(spark, "resumable")
+    folder, out = os.path.join(root, "messages"), os.path.join(root, "out")
+    rows = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    m = rows.agg(F.max("event_id")).first()[0] or 0
+    at = F.col("event_id")
+    for lot in [at <= m // 3, (at > m // 3) & (at <= m // 2), at > m // 2]:
+        append_messages(rows.filter(lot), at, F.to_json(F.struct("event_type", "user_id")), folder)
+        stream = numbered_stream(spark, folder, after=m // 10)
+        R.drain_batches(stream, lambda batch, batch_id: R.write_batch(batch, out, batch_id), os.path.join(root, "checkpoint"))
+    body = F.from_json("body", "event_type string, user_id bigint").alias("m")
+    read = R.read_batches(spark, out, "seq bigint, body string").select("seq", body, F.col("batch_id").alias("run"))
+    return read.select("seq", "m.*", "run")
+
+
 def run_detector(spark, sf, name, scan, scale):
     root = fresh_path(spark, name)
     series = events(spark, sf).select(F.col("event_type").alias("k"), *ORDER, (F.col("value") / scale).alias("x"))
@@ -135,24 +155,24 @@ MONITOR = {
     "base": "SELECT min(value) AS lo, (max(value) - min(value)) / 10 AS w FROM events WHERE ts < TIMESTAMP '2024-01-08'",
     "bn": "SELECT ts, greatest(0, least(CAST(floor((value - lo) / w) AS INTEGER), 9)) AS b FROM events, base",
     "rb": "SELECT b.i AS b, (count(bn.b) + 1.0::DOUBLE) / ((SELECT count(*) FROM bn WHERE ts < TIMESTAMP '2024-01-08') + 10) AS r FROM range(10) b(i) LEFT JOIN bn ON bn.b = b.i AND ts < TIMESTAMP '2024-01-08' GROUP BY 1",
-    "days": "SELECT d, n FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "days": "SELECT d, n FROM (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1)",
     "db": "SELECT d, n, rb.b, r, (count(bn.b) + 1.0::DOUBLE) / (n + 10) AS c FROM days CROSS JOIN rb LEFT JOIN bn ON bn.b = rb.b AND date_trunc('day', ts) = d GROUP BY d, n, rb.b, r",
 }
 
 
 @query("windowed_drift_monitor", sql(
-    "SELECT epoch_us(d) AS window_start, n, round(sum((c - r) * ln(c / r)), 6) AS psi, round(0.5 * sum(r * ln(2 * r / (r + c)) + c * ln(2 * c / (r + c))), 6) AS js, round(sum((c - r) * (c - r) / r), 6) AS chi2, sum((c - r) * ln(c / r)) > 0.2 AS drift FROM db GROUP BY d, n", **MONITOR))
+    "SELECT epoch_us(d) AS window_start, n, round(sum((c - r) * ln(c / r)), 6) AS psi, round(0.5 * sum(r * ln(2 * r / (r + c)) + c * ln(2 * c / (r + c))), 6) AS js, round(sum((c - r) * (c - r) / r), 6) AS chi2, sum((c - r) * ln(c / r)) > 0.2 AS drift, d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed FROM db GROUP BY d, n", **MONITOR))
 def windowed_drift_monitor(spark, sf):
     baseline = S.histogram_baseline(table(spark, sf, "events").filter(F.col("ts") < ntz("2024-01-08")), "value", 10)
-    out = R.drain(S.windowed_drift(events(spark, sf), "at", "value", baseline), "monitor")
+    out = S.drift_of_counts(R.drain_windows(S.bin_counts(events(spark, sf), "at", "value", baseline), "monitor"), baseline)
     return out.withColumns({c: r6(F.col(c)) for c in ["psi", "js", "chi2"]})
 
 
 @query("activity_trigger", (
     "WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') - to_minutes(5 * i) AS s FROM events, range(12) r(i)) "
-    "SELECT epoch_us(s + INTERVAL 1 HOUR) AS window_end, count(*) AS n FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY s HAVING count(*) >= 20"))
+    "SELECT epoch_us(s + INTERVAL 1 HOUR) AS window_end, count(*) AS n, s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS closed FROM w GROUP BY s HAVING count(*) >= 20"))
 def activity_trigger(spark, sf):
-    return R.drain(S.activity_windows(events(spark, sf), "at", minimum=20), "activity")
+    return S.active(R.drain_windows(S.window_counts(events(spark, sf), "at"), "activity"), 20)
 
 
 @query("round_tracker", sql(

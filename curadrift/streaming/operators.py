@@ -66,30 +66,47 @@ def _bin(value: str, low: float, width: float, bins: int):
     return F.greatest(F.lit(0), F.least(F.floor((F.col(value) - low) / width).cast("int"), F.lit(bins - 1)))
 
 
-def windowed_drift(stream: DataFrame, at: str, value: str, baseline: dict, window: str = "24 hours", delay: str = "1 hour") -> DataFrame:
-    """PSI, JS and chi-square of every closed window against the baseline bins.
-
-    The state per window is one counter per bin.
-    """
+def bin_counts(stream: DataFrame, at: str, value: str, baseline: dict, window: str = "24 hours", delay: str = "1 hour") -> DataFrame:
+    """(w, n, b0, b1, ...): rows of every window and of every bin of the baseline; the state per window is one counter per bin."""
     bins = len(baseline["shares"])
     binned = stream.withColumn("bin", _bin(value, baseline["low"], baseline["width"], bins))
-    counted = binned.withWatermark(at, delay).groupBy(F.window(at, window).alias("w")).agg(
+    return binned.withWatermark(at, delay).groupBy(F.window(at, window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(bins)]
     )
+
+
+def drift_of_counts(counted: DataFrame, baseline: dict) -> DataFrame:
+    """PSI, JS and chi-square of every window of ``bin_counts`` against the baseline bins; further columns are kept."""
+    bins = len(baseline["shares"])
     ref = F.array(*[F.lit(s) for s in baseline["shares"]])
     cur = F.array(*[(F.col(f"b{i}") + 1.0) / (F.col("n") + bins) for i in range(bins)])
     psi = V.total(F.zip_with(ref, cur, lambda r, c: (c - r) * F.log(c / r)))
     js = 0.5 * V.total(F.zip_with(ref, cur, lambda r, c: r * F.log(2 * r / (r + c)) + c * F.log(2 * c / (r + c))))
     chi2 = V.total(F.zip_with(ref, cur, lambda r, c: (c - r) * (c - r) / r))
+    more = [c for c in counted.columns if c not in {"w", "n", *[f"b{i}" for i in range(bins)]}]
     return counted.select(
-        F.unix_micros("w.start").alias("window_start"), "n", psi.alias("psi"), js.alias("js"), chi2.alias("chi2"), (psi > 0.2).alias("drift"),
+        F.unix_micros("w.start").alias("window_start"), "n", psi.alias("psi"), js.alias("js"), chi2.alias("chi2"), (psi > 0.2).alias("drift"), *more,
     )
 
 
+def windowed_drift(stream: DataFrame, at: str, value: str, baseline: dict, window: str = "24 hours", delay: str = "1 hour") -> DataFrame:
+    """Drift of every closed window, as a stream."""
+    return drift_of_counts(bin_counts(stream, at, value, baseline, window, delay), baseline)
+
+
+def window_counts(stream: DataFrame, at: str, window: str = "1 hour", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """(w, n): rows of every sliding window."""
+    return stream.withWatermark(at, delay).groupBy(F.window(at, window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def active(counted: DataFrame, minimum: int = 10) -> DataFrame:
+    """Windows of ``window_counts`` with at least ``minimum`` rows: the moments to start an assessment or training. An open window may qualify already."""
+    return counted.filter(F.col("n") >= minimum).select(F.unix_micros("w.end").alias("window_end"), *[c for c in counted.columns if c != "w"])
+
+
 def activity_windows(stream: DataFrame, at: str, window: str = "1 hour", slide: str = "5 minutes", minimum: int = 10, delay: str = "10 minutes") -> DataFrame:
-    """Closed sliding windows with at least ``minimum`` rows: the moments to start an assessment or training."""
-    counted = stream.withWatermark(at, delay).groupBy(F.window(at, window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter(F.col("n") >= minimum).select(F.unix_micros("w.end").alias("window_end"), "n")
+    """Closed sliding windows with at least ``minimum`` rows, as a stream."""
+    return active(window_counts(stream, at, window, slide, delay), minimum)
 
 
 # ---- batch by batch ----------------------------------------------------------------------

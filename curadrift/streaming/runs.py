@@ -23,6 +23,25 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(os.path.join(root, "out"))
 
 
+def drain_windows(counts: DataFrame, name: str) -> DataFrame:
+    """Process all available input of counters per event-time window, a window column and then counts, and return every window.
+
+    ``closed`` tells the windows that the watermark has passed, which the sink holds, from those still open when the input ended:
+    these are read from the stream's own state, a counter each, by Spark's state source.
+    """
+    spark, root = counts.sparkSession, fresh_path(counts.sparkSession, name)
+    out, checkpoint = os.path.join(root, "out"), os.path.join(root, "checkpoint")
+    run = counts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    window, *counters = counts.schema.fields
+    kept = spark.read.format("statestore").load(checkpoint)
+    # casts between structs go by position: the state names its counters alike
+    key = F.col("key").cast(f"struct<w:{window.dataType.simpleString()}>")["w"].alias(window.name)
+    value = F.col("value").cast(f"struct<{','.join(f'{c.name}:bigint' for c in counters)}>")
+    open_ones = kept.select(key, *[value[c.name].alias(c.name) for c in counters], F.lit(False).alias("closed"))
+    return spark.read.schema(counts.schema).parquet(out).withColumn("closed", F.lit(True)).unionByName(open_ones)
+
+
 def drain_batches(stream: DataFrame, each: Processor, checkpoint: str) -> None:
     """Run ``each(batch, batch_id)`` on every micro-batch; offsets are committed after it returns."""
     run = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
