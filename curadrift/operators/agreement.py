@@ -18,11 +18,10 @@ from curadrift.operators.ordered import indexed, neighbours
 JOIN_ANNOTATORS = 256
 
 
-def last_labels(annotations: DataFrame) -> DataFrame:
-    """Latest label per task and annotator."""
-    return annotations.groupBy("task_id", "annotator_id").agg(
-        F.max_by(F.coalesce("label", F.lit("none")), F.struct("created_at", "id")).alias("label")
-    )
+def last_labels(annotations: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Latest label per task and annotator, from stored ``count_cells`` where there are any."""
+    source, latest = (annotations, F.struct("created_at", "id")) if cells is None else (cells, F.col("latest"))
+    return source.groupBy("task_id", "annotator_id").agg(F.max_by(F.coalesce("label", F.lit("none")), latest).alias("label"))
 
 
 def _pairs_by_join(labels: DataFrame) -> DataFrame:
@@ -76,9 +75,9 @@ def _pairs_by_blocks(labels: DataFrame, block_annotators: int = 2048, chunk_task
     return counts.groupBy("a1", "a2", "l1", "l2").agg(F.sum("n").alias("n"))
 
 
-def pair_label_counts(annotations: DataFrame, join_annotators: int = JOIN_ANNOTATORS) -> DataFrame:
+def pair_label_counts(annotations: DataFrame, join_annotators: int = JOIN_ANNOTATORS, cells: DataFrame | None = None) -> DataFrame:
     """(a1, a2, l1, l2, n) with a1 < a2 over all shared tasks."""
-    labels = last_labels(annotations)
+    labels = last_labels(annotations, cells)
     crowded = labels.groupBy("task_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > join_annotators).select("task_id")
     if crowded.isEmpty():
         return _pairs_by_join(labels)

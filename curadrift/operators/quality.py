@@ -7,13 +7,16 @@ An assessor is a function (tasks, annotations) -> (score, issues): ``score`` is
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.util import inheritable_thread_target
 
 from curadrift.functions.numbers import clip, ratio, share
 from curadrift.operators import agreement as A
 from curadrift.operators.ordered import indexed, ranged, running
-from curadrift.session import checkpointed
+from curadrift.session import checkpointed, shared_dir
 
 ISSUE_COLUMNS = ["assessor", "issue_type", "severity", "title", "task_id", "annotation_id", "annotator_id"]
 
@@ -30,6 +33,27 @@ def percent(c: Column, digits: int = 1) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", 100 * c), F.lit("%"))
 
 
+# ---- counts shared by several results -----------------------------------------------------
+
+def count_cells(annotations: DataFrame) -> DataFrame:
+    """One row per task, annotator and label: all that coverage, agreement, label and speed measures need of the annotations.
+
+    n rows, the ``latest`` (created_at, id) and ``first_at``; of the positive lead times their number, mean and sum of squared deviations.
+    """
+    lead = F.when(F.col("lead_time") > 0, F.col("lead_time"))
+    return annotations.groupBy("task_id", "annotator_id", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("created_at", "id")).alias("latest"), F.min("created_at").alias("first_at"),
+        F.count(lead).alias("timed"), F.avg(lead).alias("mean"), (F.var_pop(lead) * F.count(lead)).alias("squares"),
+    )
+
+
+def counted(annotations: DataFrame, cells: DataFrame | None, *by: str) -> DataFrame:
+    """(by, n): rows per group, from the stored cells where there are any."""
+    if cells is None:
+        return annotations.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 # ---- descriptive -------------------------------------------------------------------------
 
 def compute_statistics(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -60,10 +84,21 @@ def label_distribution(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label") != "unknown").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def speed_anomalies(annotations: DataFrame, threshold: float = 3.0) -> DataFrame:
+def lead_time_stats(cells: DataFrame) -> DataFrame:
+    """One row: mean, population std and number of the positive lead times, from the moments of the cells."""
+    timed = cells.filter("timed > 0")
+    middle = timed.agg((F.sum(F.col("timed") * F.col("mean")) / F.sum("timed")).alias("mean"))
+    off = timed.withColumn("all", middle.scalar())
+    squares = F.sum(F.col("squares") + F.col("timed") * (F.col("mean") - F.col("all")) * (F.col("mean") - F.col("all")))
+    return off.agg(F.max("all").alias("mean"), F.sqrt(squares / F.sum("timed")).alias("std"), F.sum("timed").alias("n"))
+
+
+def speed_anomalies(annotations: DataFrame, threshold: float = 3.0, cells: DataFrame | None = None) -> DataFrame:
     """Rows with positive lead time more than ``threshold`` stds off the mean (3 rows and std > 0 needed)."""
     timed = annotations.filter(F.col("lead_time") > 0)
     stats = timed.agg(F.avg("lead_time").alias("mean"), F.stddev_pop("lead_time").alias("std"), F.count(F.lit(1)).alias("n"))
+    if cells is not None:
+        stats = lead_time_stats(cells)
     scored = timed.withColumn("st", stats.select(F.struct("*")).scalar()).select("*", "st.mean", "st.std", "st.n")
     z = F.try_divide(F.abs(F.col("lead_time") - F.col("mean")), F.col("std"))
     return (
@@ -76,24 +111,24 @@ def speed_anomalies(annotations: DataFrame, threshold: float = 3.0) -> DataFrame
 
 # ---- task level --------------------------------------------------------------------------
 
-def majority_vote(annotations: DataFrame) -> DataFrame:
+def majority_vote(annotations: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Most common label per task, the smaller label on a tie."""
-    counts = annotations.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted(annotations, cells, "task_id", "label")
     return counts.groupBy("task_id").agg(
         F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority"), F.sum("n").alias("votes")
     )
 
 
-def task_counts(tasks: DataFrame, annotations: DataFrame) -> DataFrame:
+def task_counts(tasks: DataFrame, annotations: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Every task with its annotation count, 0 when there is none."""
-    per_task = annotations.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+    per_task = counted(annotations, cells, "task_id")
     return tasks.select(F.col("id").alias("task_id")).join(per_task, "task_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def coverage_metrics(tasks: DataFrame, annotations: DataFrame, required: int) -> DataFrame:
+def coverage_metrics(tasks: DataFrame, annotations: DataFrame, required: int, cells: DataFrame | None = None) -> DataFrame:
     """One row: task coverage, mean min(count / required, 1), share of fully annotated tasks."""
     n = F.col("n")
-    return task_counts(tasks, annotations).agg(
+    return task_counts(tasks, annotations, cells).agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if(n > 0).alias("annotated"),
         F.coalesce(share(n > 0), F.lit(0.0)).alias("task_coverage"),
         F.coalesce(F.avg(F.least(n / F.lit(required), F.lit(1.0))), F.lit(0.0)).alias("avg_annotation_coverage"),
@@ -101,9 +136,10 @@ def coverage_metrics(tasks: DataFrame, annotations: DataFrame, required: int) ->
     )
 
 
-def timeliness(tasks: DataFrame, annotations: DataFrame, max_delay_hours: float = 24.0) -> DataFrame:
+def timeliness(tasks: DataFrame, annotations: DataFrame, max_delay_hours: float = 24.0, cells: DataFrame | None = None) -> DataFrame:
     """One row: mean and largest delay to the first annotation in hours, share on time, task count."""
-    first = annotations.groupBy("task_id").agg(F.min("created_at").alias("first_at"))
+    times = annotations.select("task_id", F.col("created_at").alias("first_at")) if cells is None else cells
+    first = times.groupBy("task_id").agg(F.min("first_at").alias("first_at"))
     delay = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("first_at")) / F.lit(3.6e9)
     return tasks.join(first, tasks["id"] == first["task_id"]).select(delay.alias("d")).agg(
         F.coalesce(F.avg("d"), F.lit(0.0)).alias("avg_delay_hours"), F.coalesce(F.max("d"), F.lit(0.0)).alias("max_delay_hours"),
@@ -150,17 +186,17 @@ def _score(df: DataFrame, assessor: str, score: Column) -> DataFrame:
     return df.select(F.lit(assessor).alias("assessor"), score.cast("double").alias("score"))
 
 
-def task_label_sets(annotations: DataFrame) -> DataFrame:
+def task_label_sets(annotations: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Per task its annotation count, number of distinct labels, and those labels in order."""
-    per = annotations.groupBy("task_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = counted(annotations, cells, "task_id", "label")
     return per.groupBy("task_id").agg(
         F.sum("n").alias("annotations"), F.count(F.lit(1)).alias("labels"),
         F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("label_list"),
     )
 
 
-def assess_consistency(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    per_task = task_label_sets(annotations)
+def assess_consistency(tasks: DataFrame, annotations: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    per_task = task_label_sets(annotations, cells)
     bad = per_task.filter("annotations > 1 AND labels > 1")
     issues = issues_of(
         bad, "consistency", "inconsistency", F.when(F.col("labels") > 2, "high").otherwise("medium"),
@@ -170,9 +206,9 @@ def assess_consistency(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFr
     return _score(per_task.agg(rate.alias("s")), "consistency", F.col("s")), issues
 
 
-def assess_agreement(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assess_agreement(tasks: DataFrame, annotations: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     # one row per annotator pair, read by both results
-    pairs = checkpointed(A.pair_agreement(A.pair_label_counts(annotations)))
+    pairs = checkpointed(A.pair_agreement(A.pair_label_counts(annotations, cells=cells)))
     issues = issues_of(
         pairs.filter("rate < 0.5"), "agreement", "low_agreement", F.when(F.col("rate") < 0.3, "high").otherwise("medium"),
         F.concat(F.lit("Low agreement between annotators "), F.col("a1").cast("string"), F.lit(" and "), F.col("a2").cast("string")),
@@ -181,20 +217,20 @@ def assess_agreement(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFram
     return _score(pairs.agg(F.coalesce(F.avg("rate"), F.lit(1.0)).alias("s")), "agreement", F.col("s")), issues
 
 
-def completeness_counts(tasks: DataFrame, annotations: DataFrame, overlap: int = 1) -> DataFrame:
-    counted = task_counts(tasks, annotations).agg(
+def completeness_counts(tasks: DataFrame, annotations: DataFrame, overlap: int = 1, cells: DataFrame | None = None) -> DataFrame:
+    totals = task_counts(tasks, annotations, cells).agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("n") > 0).alias("annotated"),
         F.sum("n").alias("annotations"), F.count_if((F.col("n") > 0) & (F.col("n") < overlap)).alias("insufficient"),
     )
     coverage = ratio(F.col("annotated"), F.col("tasks"), 0.0)
     density = ratio(F.col("annotations"), F.col("annotated"), 0.0)
-    return counted.withColumn("coverage", coverage).withColumn("density", density).withColumn(
+    return totals.withColumn("coverage", coverage).withColumn("density", density).withColumn(
         "score", F.when(F.col("tasks") == 0, 1.0).otherwise(0.7 * F.col("coverage") + 0.3 * F.least(F.lit(1.0), F.col("density") / overlap))
     )
 
 
-def assess_completeness(tasks: DataFrame, annotations: DataFrame, overlap: int = 1) -> tuple[DataFrame, DataFrame]:
-    counts = completeness_counts(tasks, annotations, overlap)
+def assess_completeness(tasks: DataFrame, annotations: DataFrame, overlap: int = 1, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    counts = completeness_counts(tasks, annotations, overlap, cells)
     low = issues_of(
         counts.filter("tasks > 0 AND coverage < 0.5"), "completeness", "missing",
         F.when(F.col("coverage") < 0.2, "high").otherwise("medium"), F.lit("Low annotation coverage"),
@@ -207,13 +243,13 @@ def assess_completeness(tasks: DataFrame, annotations: DataFrame, overlap: int =
     return _score(counts, "completeness", F.col("score")), low.unionByName(thin)
 
 
-def label_share_gaps(annotations: DataFrame) -> DataFrame:
+def label_share_gaps(annotations: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Per annotator the largest difference between own and overall label share, over all labels.
 
     Labels the annotator never used differ by their overall share, so only the largest such share matters: with labels
     ranked by share once, it is that of the first rank missing among the annotator's own.
     """
-    own = annotations.groupBy("annotator_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    own = counted(annotations, cells, "annotator_id", "label")
     overall = own.groupBy("label").agg(F.sum("n").alias("t")).withColumn("one", F.lit(1))
     total = overall.agg(F.sum("t").alias("total"))
     shares = overall.withColumn("total", total.scalar()).select("one", "label", (F.col("t") / F.col("total")).alias("overall"), (-F.col("t")).alias("less"))
@@ -231,24 +267,25 @@ def label_share_gaps(annotations: DataFrame) -> DataFrame:
         "annotator_id", "size", F.greatest("seen_gap", F.coalesce("absent", F.lit(0.0))).alias("max_difference"))
 
 
-def assess_outlier(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    slow = speed_anomalies(annotations)
-    odd = label_share_gaps(annotations).filter("max_difference > 0.3")
-    issues = issues_of(
+def assess_outlier(tasks: DataFrame, annotations: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    slow = speed_anomalies(annotations, cells=cells)
+    odd = label_share_gaps(annotations, cells).filter("max_difference > 0.3")
+    # few rows, read by both results
+    issues = checkpointed(issues_of(
         slow, "outlier", "speed_anomaly", F.col("severity"), F.lit("Speed anomaly detected"),
         task_id=F.col("task_id"), annotation_id=F.col("id"), annotator_id=F.col("annotator_id"),
     ).unionByName(issues_of(
         odd, "outlier", "outlier", F.lit("medium"),
         F.concat(F.lit("Label distribution anomaly for annotator "), F.col("annotator_id").cast("string")), annotator_id=F.col("annotator_id"),
-    ))
+    )))
     found = issues.agg(F.count(F.lit(1)).alias("found"))
-    total = annotations.agg(F.count(F.lit(1)).alias("n")).withColumn("found", found.scalar())
+    total = counted(annotations, cells).withColumn("n", F.coalesce("n", F.lit(0))).withColumn("found", found.scalar())
     return _score(total, "outlier", F.greatest(F.lit(0.0), 1 - ratio(F.col("found"), F.col("n"), 0.0))), issues
 
 
-def bias_parts(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bias_parts(annotations: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One-row label imbalance, and annotators whose top label exceeds 90 % of more than 10 rows."""
-    own = annotations.groupBy("annotator_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    own = counted(annotations, cells, "annotator_id", "label")
     per_label = own.groupBy("label").agg(F.sum("n").alias("t"))
     imbalance = per_label.agg(
         F.coalesce(F.try_divide(F.max("t").cast("double"), F.min("t")), F.lit(1.0)).alias("imbalance_ratio"),
@@ -260,8 +297,8 @@ def bias_parts(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return imbalance, per_annotator
 
 
-def assess_bias(tasks: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    imbalance, per_annotator = bias_parts(annotations)
+def assess_bias(tasks: DataFrame, annotations: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    imbalance, per_annotator = bias_parts(annotations, cells)
     biased = F.col("top_share") > 0.9
     skewed = imbalance.filter("imbalance_ratio > 10")
     issues = issues_of(
@@ -286,28 +323,50 @@ ASSESSORS: dict[str, Assessor] = {
 }
 
 
+# those that read the annotations by their cells
+COUNTED = {assess_consistency, assess_agreement, assess_completeness, assess_outlier, assess_bias}
+
+
 def register_assessor(name: str, assessor: Assessor) -> None:
     ASSESSORS[name] = assessor
 
 
-SCORES, ISSUES = "assessor string, score double, error string", ", ".join(
-    f"{c} {'bigint' if c.endswith('_id') else 'string'}" for c in ISSUE_COLUMNS)
+SCORES = "assessor string, score double, error string"
+ISSUE_ROW = ", ".join(f"{c}: {'bigint' if c.endswith('_id') else 'string'}" for c in ISSUE_COLUMNS)
 
 
 def run_assessment(tasks: DataFrame, annotations: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, issues) of the named assessors. Each is run and stored by itself: one that fails, in planning or while it
-    runs, scores 0 with its error and leaves the others alone."""
+    runs, scores 0 with its error and leaves the others alone.
+
+    The assessors of this module share one stored table of ``count_cells``. Assessors run side by side, so their jobs share the cluster.
+    """
     spark = tasks.sparkSession
-    all_scores, all_issues = spark.createDataFrame([], SCORES), spark.createDataFrame([], ISSUES)
-    for name in names or list(ASSESSORS):
+    names = list(names or ASSESSORS)
+    shared, broken = None, None
+    if any(ASSESSORS.get(name) in COUNTED for name in names):
         try:
-            score, found = ASSESSORS[name](tasks, annotations)
-            score = checkpointed(score.select("assessor", F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("error")))
-            all_issues = all_issues.unionByName(checkpointed(found.select(*ISSUE_COLUMNS)))
+            shared = checkpointed(count_cells(annotations))
+        except Exception as failure:
+            broken = failure
+
+    def stored(name: str) -> DataFrame:
+        try:
+            assessor = ASSESSORS[name]
+            if assessor in COUNTED and broken is not None:
+                raise broken
+            score, found = assessor(tasks, annotations, cells=shared) if assessor in COUNTED else assessor(tasks, annotations)
+            issue, scored = f"struct<{ISSUE_ROW}>", F.col("score").cast("double").alias("score")
+            return checkpointed(score.select("assessor", scored, F.lit(None).cast("string").alias("error"), F.lit(None).cast(issue).alias("issue")).unionByName(
+                found.select("assessor", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("error"), F.struct(*ISSUE_COLUMNS).cast(issue).alias("issue"))))
         except Exception as failure:  # an assessor is a user's function and may raise anything
-            score = spark.createDataFrame([(name, 0.0, str(failure))], SCORES)
-        all_scores = all_scores.unionByName(score)
-    return all_scores, all_issues
+            return spark.createDataFrame([(name, 0.0, str(failure), None)], f"{SCORES}, issue struct<{ISSUE_ROW}>")
+
+    shared_dir(spark)  # once, before the threads ask for it
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        tables = list(pool.map(inheritable_thread_target(spark)(stored), names))
+    rows = reduce(DataFrame.unionByName, tables, spark.createDataFrame([], f"{SCORES}, issue struct<{ISSUE_ROW}>"))
+    return rows.filter("issue IS NULL").select("assessor", "score", "error"), rows.filter("issue IS NOT NULL").select("issue.*")
 
 
 def report_header(scores: DataFrame, issues: DataFrame) -> DataFrame:
@@ -322,8 +381,8 @@ def report_header(scores: DataFrame, issues: DataFrame) -> DataFrame:
 
 # ---- project report ----------------------------------------------------------------------
 
-def consistency_dimension(annotations: DataFrame, threshold: float = 0.7) -> DataFrame:
-    kappa = A.mean_kappa(A.pair_agreement(A.pair_label_counts(annotations)))
+def consistency_dimension(annotations: DataFrame, threshold: float = 0.7, cells: DataFrame | None = None) -> DataFrame:
+    kappa = A.mean_kappa(A.pair_agreement(A.pair_label_counts(annotations, cells=cells)))
     low = F.col("kappa") < threshold
     return dimension(
         kappa, "consistency", F.col("kappa"),
@@ -332,8 +391,10 @@ def consistency_dimension(annotations: DataFrame, threshold: float = 0.7) -> Dat
     )
 
 
-def completeness_dimension(tasks: DataFrame, annotations: DataFrame, required: int, wanted: float = 0.95) -> DataFrame:
-    m = coverage_metrics(tasks, annotations, required)
+def completeness_dimension(
+    tasks: DataFrame, annotations: DataFrame, required: int, wanted: float = 0.95, cells: DataFrame | None = None
+) -> DataFrame:
+    m = coverage_metrics(tasks, annotations, required, cells)
     low, thin = F.col("task_coverage") < wanted, F.col("full_coverage_rate") < 0.8
     return dimension(
         m, "completeness", (F.col("task_coverage") + F.col("avg_annotation_coverage")) / 2,
@@ -353,8 +414,10 @@ def accuracy_dimension(pairs: DataFrame, metric: str = "f1") -> DataFrame:
     )
 
 
-def timeliness_dimension(tasks: DataFrame, annotations: DataFrame, max_delay_hours: float = 24.0) -> DataFrame:
-    m = timeliness(tasks, annotations, max_delay_hours)
+def timeliness_dimension(
+    tasks: DataFrame, annotations: DataFrame, max_delay_hours: float = 24.0, cells: DataFrame | None = None
+) -> DataFrame:
+    m = timeliness(tasks, annotations, max_delay_hours, cells)
     low = F.col("on_time_rate") < 0.8
     return dimension(
         m, "timeliness", F.col("on_time_rate"),
@@ -377,13 +440,14 @@ def dimension(df: DataFrame, name: str, score: Column, issues: list, recommendat
 def assess_project(
     tasks: DataFrame, annotations: DataFrame, required: int, truth: DataFrame | None = None, with_times: bool = True
 ) -> DataFrame:
-    """The dimension rows; ``truth`` is (task_id, truth) and is met with the majority vote."""
-    rows = consistency_dimension(annotations).unionByName(completeness_dimension(tasks, annotations, required))
+    """The dimension rows; ``truth`` is (task_id, truth) and is met with the majority vote. The annotations are read once."""
+    cells = checkpointed(count_cells(annotations))
+    rows = consistency_dimension(annotations, cells=cells).unionByName(completeness_dimension(tasks, annotations, required, cells=cells))
     if truth is not None:
-        voted = majority_vote(annotations).join(truth, "task_id").select(F.col("majority").alias("predicted"), "truth")
+        voted = majority_vote(annotations, cells).join(truth, "task_id").select(F.col("majority").alias("predicted"), "truth")
         rows = rows.unionByName(accuracy_dimension(voted))
     if with_times:
-        rows = rows.unionByName(timeliness_dimension(tasks, annotations))
+        rows = rows.unionByName(timeliness_dimension(tasks, annotations, cells=cells))
     return rows
 
 

@@ -235,7 +235,8 @@ RUN_SQL = {
 
 
 @query("run_assessment", sql(
-    "SELECT round((SELECT avg(score) FROM scores), 6) AS overall_score, 5 AS assessors, 0 AS failed, count(*) AS issue_count, 0 AS critical_count, count(*) FILTER (WHERE severity = 'high') AS high_count, count(*) FILTER (WHERE severity = 'medium') AS medium_count, 0 AS low_count FROM issues",
+    "SELECT round((SELECT avg(score) FROM scores), 6) AS overall_score, (SELECT count(*) FROM scores) AS assessors, (SELECT count(*) FROM scores WHERE score IS NULL) AS failed, count(*) AS issue_count, count(*) FILTER (WHERE severity = 'critical') AS critical_count, "
+    "count(*) FILTER (WHERE severity = 'high') AS high_count, count(*) FILTER (WHERE severity = 'medium') AS medium_count, count(*) FILTER (WHERE severity = 'low') AS low_count FROM issues",
     "pairs", "tasks", **RUN_SQL))
 def run_assessment(spark, sf):
     return rounded(Q.report_header(*Q.run_assessment(tasks(spark, sf), annotations(spark, sf))), "overall_score")
@@ -251,8 +252,15 @@ PROJECT = {
     **PAIR_SQL, "km": K, "tc": TC, "dl": DELAY, "tr": TRUTH,
     "mv": "SELECT task_id, arg_min(label, (-n, label)) AS predicted FROM (SELECT task_id, label, count(*) AS n FROM annotations GROUP BY 1, 2) GROUP BY 1",
     "pt": "SELECT predicted, truth FROM mv JOIN tr USING (task_id)", "ll": MACRO["ll"], "lm": MACRO["lm"], "lf": MACRO["lf"],
-    "dims": "SELECT 'consistency' AS dimension, greatest(0, least(1, k)) AS score FROM km UNION ALL SELECT 'completeness', (count(*) FILTER (WHERE n > 0) / count(*) + avg(least(n / 5, 1))) / 2 FROM tc "
-            "UNION ALL SELECT 'accuracy', avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) FROM lf UNION ALL SELECT 'timeliness', avg(CASE WHEN d <= 24 THEN 1.0::DOUBLE ELSE 0 END) FROM dl",
+    # the measures, then per dimension its score, issue texts and recommendations
+    "ms": "SELECT (SELECT k FROM km) AS k, (SELECT count(*) FILTER (WHERE n > 0) / count(*) FROM tc) AS c, (SELECT avg(least(n / 5, 1)) FROM tc) AS v, (SELECT count(*) FILTER (WHERE n >= 5) / count(*) FROM tc) AS f, "
+          "(SELECT avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) FROM lf) AS f1, (SELECT avg(CASE WHEN d <= 24 THEN 1.0::DOUBLE ELSE 0 END) FROM dl) AS ot",
+    "dims": "SELECT 'consistency' AS dimension, greatest(0, least(1, k)) AS score, CASE WHEN k < 0.7 THEN [format('Low inter-annotator agreement (kappa={:.2f})', k)] ELSE [] END AS issues, "
+            "CASE WHEN k < 0.7 THEN ['Review annotation guidelines for clarity', 'Consider additional annotator training'] ELSE [] END AS recs FROM ms UNION ALL "
+            "SELECT 'completeness', (c + v) / 2, list_concat(CASE WHEN c < 0.95 THEN [format('Low task coverage ({:.1f}%)', 100 * c)] ELSE [] END, CASE WHEN f < 0.8 THEN [format('Only {:.1f}% of tasks are fully annotated', 100 * f)] ELSE [] END), "
+            "list_concat(CASE WHEN c < 0.95 THEN ['Prioritize annotation of remaining tasks'] ELSE [] END, CASE WHEN f < 0.8 THEN ['Increase annotations per task for better quality'] ELSE [] END) FROM ms UNION ALL "
+            "SELECT 'accuracy', f1, CASE WHEN f1 < 0.7 THEN [format('Low f1 score ({:.2f})', f1)] ELSE [] END, CASE WHEN f1 < 0.7 THEN ['Review annotation guidelines', 'Consider additional annotator training'] ELSE [] END FROM ms UNION ALL "
+            "SELECT 'timeliness', ot, CASE WHEN ot < 0.8 THEN [format('Low on-time rate ({:.1f}%)', 100 * ot)] ELSE [] END, CASE WHEN ot < 0.8 THEN ['Set up annotation deadlines and reminders'] ELSE [] END FROM ms",
 }
 
 
@@ -261,14 +269,16 @@ def project_dimensions(spark, sf):
     return Q.assess_project(tasks(spark, sf), notes, 5, truth_labels(notes))
 
 
-@query("assess_project", sql("SELECT dimension, round(score, 6) + 0.0 AS score FROM dims", "pairs", "tasks", **PROJECT))
+@query("assess_project", sql("SELECT dimension, round(score, 6) + 0.0 AS score, array_to_string(issues, '; ') AS issues, array_to_string(recs, '; ') AS recommendations FROM dims", "pairs", "tasks", **PROJECT))
 def assess_project(spark, sf):
-    return project_dimensions(spark, sf).select("dimension", r6(F.col("score")).alias("score"))
+    return project_dimensions(spark, sf).select(
+        "dimension", r6(F.col("score")).alias("score"), F.array_join("issues", "; ").alias("issues"), F.array_join("recommendations", "; ").alias("recommendations"))
 
 
-@query("assess_project_summary", sql("SELECT round(avg(score), 6) AS overall_score FROM dims", "pairs", "tasks", **PROJECT))
+@query("assess_project_summary", sql(
+    "SELECT round(avg(score), 6) AS overall_score, CAST(sum(len(issues)) AS BIGINT) AS issues, array_to_string(list_sort(list_distinct(flatten(list(recs)))), '; ') AS recommendations FROM dims", "pairs", "tasks", **PROJECT))
 def assess_project_summary(spark, sf):
-    return Q.project_summary(project_dimensions(spark, sf)).select(r6(F.col("overall_score")).alias("overall_score"))
+    return rounded(Q.project_summary(project_dimensions(spark, sf)), "overall_score")
 
 
 @query("annotator_scores", sql("SELECT annotator_id, count(*) AS annotation_count FROM annotations GROUP BY 1", "annotations"))

@@ -163,3 +163,28 @@ def test_comparison_needs_two_reports(spark):
     df = spark.createDataFrame(rows, "project string, report_id string, created_at timestamp_ntz, overall_score double, issue_count int")
     out = R.comparison_report(df, F.lit("2024-01-20").cast("timestamp_ntz")).collect()
     assert len(out) == 1 and out[0]["trend"] == "declining" and out[0]["issue_change"] == 2 and out[0]["report_count"] == 2
+
+
+def test_results_from_cells_equal_those_from_rows(spark):
+    rows = [(i, i * 7 % 11, i * 5 % 4, [None, "a", "b", "c"][i * 3 % 4], float(i % 9) * (100 if i == 50 else 1), i * 13 % 29) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, task_id long, annotator_id long, label string, lead_time double, at long").withColumn(
+        "created_at", F.timestamp_seconds("at"))
+    cells, every = Q.count_cells(df), spark.range(13)
+    both = lambda f: (sorted(map(str, f(None).collect())), sorted(map(str, f(cells).collect())))
+    for f in (
+        lambda c: Q.task_label_sets(df, c), lambda c: Q.majority_vote(df, c), lambda c: Q.coverage_metrics(every, df, 5, c), lambda c: Q.label_share_gaps(df, c),
+        lambda c: A.pair_label_counts(df, cells=c), lambda c: Q.bias_parts(df, c)[1], lambda c: Q.speed_anomalies(df, cells=c).select("id", F.round("z_score", 9)),
+        lambda c: Q.timeliness(every.withColumn("created_at", F.timestamp_seconds("id")), df, cells=c),
+    ):
+        rowwise, cellwise = both(f)
+        assert rowwise and rowwise == cellwise
+
+
+def test_an_assessor_that_fails_late_is_alone_with_it(spark):
+    Q.register_assessor("late", lambda t, a: (t.select(F.lit("late").alias("assessor"), F.raise_error(F.lit("too late")).cast("double").alias("score")), a))
+    try:
+        scores, issues = Q.run_assessment(tasks(spark, 2), notes(spark, [(0, 1, "a")]), ["completeness", "late"])
+        assert {r.assessor: r.error is None for r in scores.collect()} == {"completeness": True, "late": False}
+        assert issues.count() == 0
+    finally:
+        del Q.ASSESSORS["late"]
