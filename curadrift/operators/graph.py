@@ -241,16 +241,66 @@ def _nearest_offers(known: DataFrame) -> DataFrame:
     return known.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
-def dijkstra_budget(nodes: DataFrame, key: str, edges: DataFrame, sources: DataFrame, settled: int) -> DataFrame:
-    """What a nearest-first search knows after settling ``settled`` nodes and relaxing their edges."""
-    paths = shortest_paths(nodes, key, edges, sources).filter(F.col("distance").isNotNull())
+def _improvements(known: DataFrame, links: DataFrame, start: DataFrame, size: int) -> DataFrame:
+    """(id, distance) of nodes that a link from the ``size`` rows of ``start`` brings nearer than ``known`` has them."""
+    offers = links.join(_hinted(start.select(F.col("id").alias("src"), "distance"), size), "src").groupBy(F.col("dst").alias("id")).agg(
+        F.min(F.col("distance") + F.col("weight")).alias("offer"))
+    better = F.col("distance").isNull() | (F.col("offer") < F.col("distance"))
+    return checkpointed(offers.join(known, "id", "left").filter(better).select("id", F.col("offer").alias("distance")))
+
+
+def _nearer(known: DataFrame, changed: DataFrame) -> DataFrame:
+    return checkpointed(known.unionByName(changed).groupBy("id").agg(F.min("distance").alias("distance")))
+
+
+def nearest_first(
+    nodes: DataFrame, key: str, edges: DataFrame, sources: DataFrame, settled: int, width: float | None = None
+) -> tuple[DataFrame, int]:
+    """((id, distance) of all nodes met, the last bucket's number) of a search that stops with the bucket in which ``settled`` nodes are settled.
+
+    Delta-stepping (Meyer and Sanders 2003): nodes are settled by buckets of ``width`` of distance (the mean weight if not given). Links of up to
+    two widths are followed again whenever a node of the bucket comes nearer, longer ones once, when the bucket is finished.
+    """
+    links = checkpointed(both_ways(edges))
+    if width is None:
+        width = links.agg(F.avg("weight")).first()[0] or 1.0
+    bucket = F.floor(F.col("distance") / F.lit(width))
+    short, long = links.filter(F.col("weight") <= 2 * width), links.filter(F.col("weight") > 2 * width)
+    known = checkpointed(sources.select(F.col(key).alias("id"), F.lit(0.0).alias("distance")).distinct())
+    done, number = 0, -1
+    while done < settled:
+        ahead = known.filter(bucket > number).agg(F.min(bucket)).first()[0]
+        if ahead is None:
+            break
+        number = ahead
+        active = known.filter(bucket == number)
+        size = active.count()
+        while size:
+            changed = _improvements(known, short, active, size)
+            known = _nearer(known, changed)
+            active = changed.filter(bucket == number)
+            size = active.count()
+        members = known.filter(bucket == number)
+        known = _nearer(known, _improvements(known, long, members, members.count()))
+        done = known.filter(bucket <= number).count()
+    return known.withColumn("reached", bucket <= number), number
+
+
+def dijkstra_budget(nodes: DataFrame, key: str, edges: DataFrame, sources: DataFrame, settled: int, width: float | None = None) -> DataFrame:
+    """What a nearest-first search knows after settling ``settled`` nodes and relaxing their edges: id, distance, pred, settled.
+
+    Nodes are settled by distance, then id. The predecessor is the settled node that offers the distance, the smallest id of several; NULL for
+    sources and nodes not met. Weights are positive. Buckets of distance beyond the budget are never opened.
+    """
+    met, _ = nearest_first(nodes, key, edges, sources, settled, width)
     # the budget bounds this list
-    first = checkpointed(paths.orderBy("distance", "id").limit(settled).withColumn("settled", F.lit(True)))
-    offers = first.join(both_ways(edges), first["id"] == F.col("src")).select(
-        F.col("dst").alias("id"), F.struct((F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("pred")).alias("offer")
-    ).groupBy("id").agg(F.min("offer").alias("offer"))
-    fresh = offers.join(first, "id", "left_anti").select("id", "offer.distance", "offer.pred", F.lit(False).alias("settled"))
-    known = first.select("id", "distance", "pred", "settled").unionByName(fresh)
+    first = checkpointed(met.filter("reached").orderBy("distance", "id").limit(settled).select("id", "distance"))
+    offers = _hinted(first.select(F.col("id").alias("src"), "distance"), settled).join(both_ways(edges), "src").groupBy(F.col("dst").alias("id")).agg(
+        F.min(F.struct((F.col("distance") + F.col("weight")).alias("offer"), F.col("src").alias("pred"))).alias("o"))
+    known = first.withColumn("settled", F.lit(True)).join(offers, "id", "full")
+    # a settled node that no offer brings to its distance is a source
+    pred = F.when(~F.col("settled").eqNullSafe(True) | (F.col("o.offer") <= F.col("distance")), F.col("o.pred"))
+    known = known.select("id", F.coalesce("distance", "o.offer").alias("distance"), pred.alias("pred"), F.coalesce("settled", F.lit(False)).alias("settled"))
     return nodes.select(F.col(key).alias("id")).join(known, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
 
 

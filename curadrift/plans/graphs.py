@@ -114,12 +114,13 @@ def shortest_paths(spark, sf):
 
 
 @query("dijkstra_budget", sql(
-    "SELECT image_id AS id, round(coalesce(f.d, o.d), 6) AS distance, f.id IS NOT NULL AS settled FROM samples LEFT JOIN fs f ON f.id = image_id LEFT JOIN (SELECT dst, min(fs.d + weight) AS d FROM fs JOIN links ON src = fs.id GROUP BY 1) o ON o.dst = image_id",
+    "SELECT image_id AS id, round(coalesce(f.d, o.d), 6) AS distance, CASE WHEN f.id IS NULL OR f.d > 0 THEN o.pred END AS pred, f.id IS NOT NULL AS settled FROM samples LEFT JOIN fs f ON f.id = image_id "
+    "LEFT JOIN (SELECT dst, min(fs.d + weight) AS d, arg_min(src, (fs.d + weight, src)) AS pred FROM fs JOIN links ON src = fs.id GROUP BY 1) o ON o.dst = image_id",
     "samples", **PATHS, fs="SELECT id, d FROM best ORDER BY d, id LIMIT 15"))
 def dijkstra_budget(spark, sf):
     linked = checkpointed(edges(spark, sf))
     out = G.dijkstra_budget(samples(spark, sf), "image_id", linked, first_source(linked), settled=15)
-    return out.select("id", r6(F.col("distance")).alias("distance"), "settled")
+    return out.select("id", r6(F.col("distance")).alias("distance"), "pred", "settled")
 
 
 COMPONENTS = {

@@ -1,5 +1,8 @@
 """Embeddings, graphs, points, selection: fixtures with known answers and brute force."""
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -129,6 +132,44 @@ def test_weighted_triangle(spark):
     assert one == {0: 0.0, 1: 1.0, 2: 4.0, 3: None}
 
 
+@pytest.mark.parametrize("width", [None, 0.05, 100.0])
+def test_a_budget_settles_what_a_heap_settles(spark, width):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (120, 2)).tolist() if p[0] != p[1]}
+    weighted = [(a, b, float(w)) for (a, b), w in zip(sorted(pairs), rng.choice([0.1, 0.2, 0.3, 1.0, 5.0], len(pairs)))]
+    nodes, edges = graph(spark, 60, weighted)
+    around = {}
+    for a, b, w in weighted:
+        around.setdefault(a, []).append((b, w))
+        around.setdefault(b, []).append((a, w))
+    best, order, heap = {weighted[0][0]: 0.0}, [], [(0.0, weighted[0][0])]
+    while heap and len(order) < 20:
+        d, at = heapq.heappop(heap)
+        if at in order:
+            continue
+        order.append(at)
+        for to, w in around.get(at, []):
+            if d + w < best.get(to, math.inf):
+                best[to] = d + w
+                heapq.heappush(heap, (d + w, to))
+    start = nodes.filter(f"id = {weighted[0][0]}")
+    got = {r["id"]: r for r in G.dijkstra_budget(nodes, "id", edges, start, 20, width).collect()}
+    assert {i: r["distance"] for i, r in got.items() if r["distance"] is not None} == best
+    assert {i for i, r in got.items() if r["settled"]} == set(order)
+    links = {(a, b): w for a, b, w in weighted} | {(b, a): w for a, b, w in weighted}
+    for i, r in got.items():
+        if r["pred"] is None:
+            assert i not in best or best[i] == 0
+        else:
+            assert best[r["pred"]] + links[r["pred"], i] == r["distance"] and got[r["pred"]]["settled"]
+
+
+def test_a_budget_opens_no_bucket_beyond_it(spark):
+    nodes, edges = graph(spark, 30, [(i, i + 1, 1.0) for i in range(29)])
+    met, last = G.nearest_first(nodes, "id", edges, nodes.filter("id = 0"), settled=5, width=1.0)
+    assert last == 4 and met.count() == 6
+
+
 def test_graph_problems(spark):
     df = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [1.0, 2.0])], "id int, v array<double>")
     assert {(r["id"], r["problem"]) for r in G.graph_problems(df, "id", "v", 1).collect()} == {(1, "duplicate id"), (2, "wrong dimension")}
