@@ -5,7 +5,9 @@ Inputs are long tables: group columns (for example ``feature``), ``value`` and t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from curadrift.functions import rules as R, vectors as V
 from curadrift.functions.numbers import chi2_sf, kolmogorov_p
@@ -49,6 +51,49 @@ def ecdf_distances(df: DataFrame, groups: list[str]) -> DataFrame:
     return per_group.withColumn("p_value", p)
 
 
+# Samples above this size keep the limit law; the exact tail takes n * m steps.
+EXACT_ROWS = 10_000
+
+
+def exact_ks_tail(n: int, m: int, steps: int) -> float:
+    """P(D >= steps / (n * m)) of the two-sample statistic over all orders of n and m distinct values.
+
+    Orders are lattice paths from (0, 0) to (n, m). All paths advance together by one diagonal; what reaches the distance leaves and is summed,
+    so small tails keep their digits.
+    """
+    if steps <= 0:
+        return 1.0
+    n, m = min(n, m), max(n, m)
+    i, inside, tail = np.arange(n + 1), np.zeros(n + 1), 0.0
+    inside[0] = 1.0
+    for taken in range(n + m):
+        left = n + m - taken
+        ahead = inside * (m - (taken - i)) / left
+        ahead[1:] += inside[:-1] * (n - i[:-1]) / left
+        out = np.abs(i * m - (taken + 1 - i) * n) >= steps
+        tail += ahead[out].sum()
+        inside = np.where(out, 0.0, ahead)
+    return min(1.0, float(tail))
+
+
+def with_exact_p(ecdf: DataFrame, largest: int = EXACT_ROWS) -> DataFrame:
+    """``ecdf_distances`` with the exact ``p_value`` where neither sample has more than ``largest`` rows; ties count as in the statistic.
+
+    Groups with an empty sample keep 1. Each distinct (n, m, distance) of an Arrow batch is counted once.
+    """
+    @F.pandas_udf("double")
+    def tails(n: pd.Series, m: pd.Series, steps: pd.Series) -> pd.Series:
+        asked = list(zip(n, m, steps))
+        known = {key: exact_ks_tail(*map(int, key)) if key[2] >= 0 else float("nan") for key in set(asked)}
+        return pd.Series([known[key] for key in asked], dtype="float64")
+
+    n, m = F.col("n_ref").cast("long"), F.col("n_cur").cast("long")
+    small = (n > 0) & (m > 0) & (n <= largest) & (m <= largest)
+    steps = F.when(small, F.round(F.col("ks") * n * m).cast("long")).otherwise(-1)
+    exact = tails(F.coalesce(n, F.lit(0)), F.coalesce(m, F.lit(0)), F.coalesce(steps, F.lit(-1)))
+    return ecdf.withColumn("exact", exact).withColumn("p_value", F.when(small, F.col("exact")).otherwise(F.col("p_value"))).drop("exact")
+
+
 def histograms(df: DataFrame, groups: list[str], bins: int = BINS) -> DataFrame:
     """Per group ``p_ref`` and ``p_cur``: shares per equal-width bin of the joint range, +1 smoothed."""
     kept = df.filter(is_number("value"))

@@ -27,6 +27,17 @@ def ecdf_steps(source: str) -> dict[str, str]:
     }
 
 
+# Lattice paths of all orders, one diagonal a round; a path that reaches the distance leaves, and ``gone`` is the share that left.
+LATTICE = {
+    "users": "SELECT user_id AS feature, value, ts < TIMESTAMP '2024-01-16' AS is_ref FROM events WHERE value IS NOT NULL",
+    "sizes": "SELECT DISTINCT n_ref AS n, n_cur AS m, CAST(round(ks * n_ref * n_cur) AS BIGINT) AS h FROM ecdf WHERE n_ref > 0 AND n_cur > 0",
+    "paths": "SELECT n, m, h, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(1 AS DOUBLE) AS w FROM sizes UNION ALL "
+             "SELECT n, m, h, a, b, sum(v) FROM (SELECT n, m, h, i + s AS a, j + 1 - s AS b, w * CASE WHEN s = 1 THEN n - i ELSE m - j END / (n + m - i - j) AS v "
+             "FROM paths, (VALUES (0), (1)) d(s) WHERE abs(i * m - j * n) < h AND i + j < n + m) WHERE a <= n AND b <= m GROUP BY 1, 2, 3, 4, 5",
+    "tails": "SELECT n, m, h, CASE WHEN h = 0 THEN 1.0 ELSE coalesce(sum(w) FILTER (WHERE abs(i * m - j * n) >= h), 0) END AS gone FROM paths GROUP BY 1, 2, 3",
+}
+
+
 def hist_steps(source: str, bins: int = 10) -> dict[str, str]:
     return {
         "rg": f"SELECT feature, min(value) AS lo, (max(value) - min(value)) / {bins} AS w FROM {source} GROUP BY 1",
@@ -175,6 +186,15 @@ def overall_feature_drift(spark, sf):
     return out.withColumn("feature_score", r6(F.col("feature_score")))
 
 
+@query("ks_test_exact", sql(
+    "SELECT feature AS user_id, n_ref, n_cur, round(coalesce(ks, 0), 6) + 0.0 AS statistic, round(coalesce(least(gone, 1.0), 1.0), 6) + 0.0 AS p_value FROM ecdf LEFT JOIN tails ON n = n_ref AND m = n_cur AND h = CAST(round(ks * n_ref * n_cur) AS BIGINT)",
+    users=LATTICE["users"], **{k: v for k, v in ecdf_steps("users").items() if k in ("vc", "cum", "ecdf")}, **{k: LATTICE[k] for k in ("sizes", "paths", "tails")}))
+def ks_test_exact(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("feature"), "value", (F.col("ts") < ntz("2024-01-16")).alias("is_ref"))
+    out = D.with_exact_p(D.ecdf_distances(events, ["feature"]))
+    return out.select(F.col("feature").alias("user_id"), "n_ref", "n_cur", r6(F.col("ks")).alias("statistic"), r6(F.col("p_value")).alias("p_value"))
+
+
 DETECT = (
     "SELECT 'ks_test' AS method, ks AS statistic, p AS p_value, p < 0.05 AS drift_detected, CASE WHEN p > 0.1 THEN 'none' WHEN p > 0.05 THEN 'low' WHEN p > 0.01 THEN 'medium' WHEN p > 0.001 THEN 'high' ELSE 'critical' END AS severity, ks AS score, n_cur AS window_size FROM ksp UNION ALL "
     "SELECT 'wasserstein', w, NULL, w > 0.1, CASE WHEN w < 0.05 THEN 'none' WHEN w < 0.1 THEN 'low' WHEN w < 0.2 THEN 'medium' WHEN w < 0.5 THEN 'high' ELSE 'critical' END, least(w / 0.1, 1.0), n_cur FROM ksp UNION ALL "

@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,6 +111,29 @@ def test_p_values(spark):
     assert row["g"] == pytest.approx(2 * np.exp(-2 * 6.25), rel=1e-3)
 
 
+def test_exact_ks_tail_against_every_order():
+    for n in range(1, 9):
+        for m in range(1, 9):
+            first = np.array(list(itertools.combinations(range(n + m), n)))
+            taken = np.zeros((len(first), n + m), int)
+            np.put_along_axis(taken, first, 1, axis=1)
+            i = taken.cumsum(axis=1)
+            far = np.abs(i * m - (np.arange(1, n + m + 1) - i) * n).max(axis=1)
+            for steps in np.unique(far):
+                assert D.exact_ks_tail(n, m, int(steps)) == pytest.approx((far >= steps).mean(), rel=1e-12)
+    assert D.exact_ks_tail(5, 7, 0) == 1
+    assert D.exact_ks_tail(300, 300, 90000) == pytest.approx(2 / math.comb(600, 300), rel=1e-9)
+
+
+def test_exact_p_for_small_samples_only(spark):
+    rows = [("small", float(i), i < 4) for i in range(8)] + [("large", float(i), i % 2 == 0) for i in range(60)] + [("lone", 1.0, True)]
+    ecdf = D.ecdf_distances(spark.createDataFrame(rows, "feature string, value double, is_ref boolean"), ["feature"])
+    limit = {r.feature: r.p_value for r in ecdf.collect()}
+    got = {r.feature: r.p_value for r in D.with_exact_p(ecdf, largest=20).collect()}
+    assert got["small"] == pytest.approx(2 / math.comb(8, 4)) and got["small"] != limit["small"]
+    assert got["large"] == limit["large"] and got["lone"] == 1.0
+
+
 def test_fourier_features_approach_the_exact_value(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0 if i % 2 else 1, 1, 4).tolist(), i % 2 == 0) for i in range(400)]
