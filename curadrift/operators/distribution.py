@@ -362,8 +362,6 @@ def mmd_rbf(df: DataFrame, key: str, dim: int, vector: str = "embedding") -> Dat
 
 def mmd_rbf_features(df: DataFrame, dim: int, n_features: int = 256, seed: int = 7, vector: str = "embedding") -> DataFrame:
     """Approximate ``mmd_rbf`` in linear work: random Fourier features, then the distance of side means."""
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     weights = rng.normal(scale=np.sqrt(2.0 / dim), size=(n_features, dim))
     shift = rng.uniform(0, 2 * np.pi, n_features)

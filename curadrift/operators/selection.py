@@ -15,6 +15,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from curadrift.functions import probabilities as P, vectors as V
@@ -323,6 +324,58 @@ def kmeans_representatives(df: DataFrame, key: str, vector: str, k: int, seed: i
     )
 
 
+def _nearest_centre(frame: pd.DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, number of the nearest centre (the first of equals) and squared distance to it."""
+    x = np.stack(frame["v"].to_numpy())
+    cluster, best = np.zeros(len(x), int), np.full(len(x), np.inf)
+    for i, c in enumerate(centres):
+        d = ((x - c) ** 2).sum(axis=1)
+        nearer = d < best
+        cluster[nearer], best[nearer] = i, d[nearer]
+    return x, cluster, best
+
+
+def kmeans_rounds(df: DataFrame, key: str, vector: str, k: int, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """(cluster, task_id, score): the row nearest to each centre after ``rounds`` rounds of Lloyd's method, which any engine can repeat.
+
+    The first centres are the k rows with the smallest ``drawn`` hash. A centre without rows stays where it is and has no result. Vectors that
+    are null, hold null or NaN, or differ in length from the first centre take no part; the smaller id wins ties. A round is one pass that emits
+    one sum per batch and cluster; the driver holds k centres.
+    """
+    id_type = df.schema[key].dataType.simpleString()
+    clean = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    rows = df.filter(clean).select(F.col(key).alias("task_id"), F.col(vector).cast("array<double>").alias("v"))
+    drawn_rows = rows.orderBy(drawn(F.col("task_id"), F.lit(seed)), "task_id")
+    first = drawn_rows.limit(1).collect()
+    if not first or k < 1:
+        return df.sparkSession.createDataFrame([], f"cluster int, task_id {id_type}, score double")
+    rows = rows.filter(F.size("v") == len(first[0]["v"]))
+    centres = np.array([r["v"] for r in drawn_rows.filter(F.size("v") == len(first[0]["v"])).limit(k).collect()])
+
+    def sums(frames: Iterator[pd.DataFrame], at: np.ndarray) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x, cluster, _ = _nearest_centre(frame, at)
+                met = np.unique(cluster)
+                yield pd.DataFrame({"cluster": met, "n": [int((cluster == c).sum()) for c in met], "total": [x[cluster == c].sum(axis=0) for c in met]})
+
+    def nearest_rows(frames: Iterator[pd.DataFrame], at: np.ndarray) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                _, cluster, best = _nearest_centre(frame, at)
+                near = pd.DataFrame({"cluster": cluster, "task_id": frame["task_id"], "score": np.sqrt(best)})
+                yield near.sort_values(["score", "task_id"]).drop_duplicates("cluster")
+
+    for _ in range(rounds):
+        partial = rows.mapInPandas(lambda frames, at=centres: sums(frames, at), "cluster int, n long, total array<double>")
+        moved = partial.groupBy("cluster").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")).collect()
+        centres = centres.copy()
+        for r in moved:
+            centres[r["cluster"]] = np.array(r["total"]) / r["n"]
+    near = rows.mapInPandas(lambda frames, at=centres: nearest_rows(frames, at), f"cluster int, task_id {id_type}, score double")
+    return near.groupBy("cluster").agg(F.min(F.struct("score", "task_id")).alias("b")).select("cluster", "b.task_id", "b.score")
+
+
 # ---- model-based -------------------------------------------------------------------------
 
 def _bootstrap(df: DataFrame, seed: int) -> DataFrame:
@@ -366,6 +419,7 @@ def ensemble_uncertainty(
         else:
             fitted = MultilayerPerceptronClassifier(layers=[dim, 16, classes], maxIter=50, **common).fit(sample)
             outputs = fitted.transform(outputs).withColumn(name, vector_to_array(prob))
+    train_v.unpersist()  # all models are fitted
     per_model = F.array(*[F.col(n) for n in names])
     mean = P.consensus(per_model)
     square = P.consensus(F.transform(per_model, lambda p: F.transform(p, lambda x: x * x)))
@@ -396,6 +450,7 @@ def calibrated_uncertainty(train: DataFrame, pool: DataFrame, classes: int, fold
             calibrated.append(1 / (1 + F.exp(-line)))
         pooled = pooled.withColumn(f"c{fold}", P.renormalize(F.array(*calibrated))).drop("p")
         votes.append(f"c{fold}")
+    with_f.unpersist()  # all models are fitted
     mean = P.consensus(F.array(*[F.col(v) for v in votes]))
     return pooled.select("task_id", P.least_confidence(mean).alias("score"))
 

@@ -169,6 +169,21 @@ def kmeans_representatives(spark, sf):
     return S.kmeans_representatives(samples(spark, sf), "image_id", "embedding", 10)
 
 
+LLOYD = {"s0": "SELECT * FROM (SELECT row_number() OVER (ORDER BY CAST('0x' || substr(md5(image_id || '|42'), 1, 13) AS BIGINT), image_id) - 1 AS c, embedding AS v FROM samples) WHERE c < 10"}
+for turn in range(5):
+    LLOYD |= {
+        f"a{turn}": f"SELECT image_id, any_value(embedding) AS e, arg_min(c, (list_distance(embedding, v), c)) AS c FROM samples, s{turn} GROUP BY 1",
+        f"m{turn}": f"SELECT c, list(m ORDER BY pos) AS v FROM (SELECT c, pos, avg(x) AS m FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{turn}) GROUP BY 1, 2) GROUP BY 1",
+        f"s{turn + 1}": f"SELECT s.c, coalesce(m.v, s.v) AS v FROM s{turn} s LEFT JOIN m{turn} m ON m.c = s.c",
+    }
+LLOYD["near"] = "SELECT image_id, arg_min(c, (list_distance(embedding, v), c)) AS c, min(list_distance(embedding, v)) AS d FROM samples, s5 GROUP BY 1"
+
+
+@query("kmeans_rounds", sql("SELECT CAST(c AS INTEGER) AS cluster, arg_min(image_id, (d, image_id)) AS task_id, round(min(d), 6) AS score FROM near GROUP BY 1", "samples", **LLOYD))
+def kmeans_rounds(spark, sf):
+    return S.kmeans_rounds(samples(spark, sf), "image_id", "embedding", 10).withColumn("score", r6(F.col("score")))
+
+
 HYBRID = {
     **COMMITTEE, "h_u": f"SELECT task_id, {norm_sql('x')} AS s FROM (SELECT task_id, {e('probs')} / ln(3) AS s FROM predictions)",
     "h_d": f"SELECT image_id AS task_id, {norm_sql('dv')} AS s FROM (" + PAIRS_D.format("1 - list_cosine_similarity(a.embedding, b.embedding)") + ")",

@@ -1,5 +1,6 @@
 """Embeddings, graphs, points, selection: fixtures with known answers and brute force."""
 
+import hashlib
 import heapq
 import math
 
@@ -262,6 +263,28 @@ def test_dbscan_and_kmeans(spark):
     assert len({r["task_id"] for r in reps}) == 3 and any(r["task_id"] == 20 for r in reps)
 
 
+def test_kmeans_rounds_are_those_of_one_reader(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(0, 1, (80, 3)), 3)
+    x[40:45] = x[3]
+    df = frame(spark, x)
+    bad = spark.createDataFrame([(200, "x", None), (201, "x", [1.0, None, 2.0]), (202, "x", [float("nan")] * 3), (203, "x", [1.0])], df.schema)
+    draw = sorted(range(80), key=lambda i: (int(hashlib.md5(f"{i}|7".encode()).hexdigest()[:13], 16), i))
+    centres = x[draw[:6]].copy()
+    for _ in range(4):
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(6)])
+    d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2))
+    own = d.argmin(axis=1)
+    want = {c: min((round(d[i, c], 9), i) for i in range(80) if own[i] == c) for c in set(own.tolist())}
+    short = bad.filter("image_id < 203")
+    for table in (df.unionByName(short), df.unionByName(short).repartition(7)):
+        got = {r["cluster"]: (round(r["score"], 9), r["task_id"]) for r in S.kmeans_rounds(table, "image_id", "embedding", 6, rounds=4, seed=7).collect()}
+        assert got == want
+    assert S.kmeans_rounds(bad.filter("image_id = 200"), "image_id", "embedding", 3).collect() == []
+    assert len(S.kmeans_rounds(bad.filter("image_id = 203"), "image_id", "embedding", 3).collect()) == 1
+
+
 def test_far_row_is_an_anomaly(spark):
     rng = np.random.default_rng(14)
     df = frame(spark, np.vstack([rng.normal(0, 1, (200, 3)), [[30, 30, 30]]]))
