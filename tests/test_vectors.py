@@ -336,3 +336,42 @@ def test_models_rank_the_unsure_rows(spark):
     near = [scores[i] for i in range(150) if abs(x[i, 0]) < 0.1]
     far = [scores[i] for i in range(150) if abs(x[i, 0]) > 1]
     assert np.mean(near) > np.mean(far)
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table():
+    # each side of a pair of blocks is copied once for every block of the other side
+    assert [B.block_count(rows) for rows in (1, 4096, 4097, 60_000, 600_000, 2_000_000)] == [1, 1, 2, 15, 16, 16]
+    assert B.block_count(4_000_000) == 31 and B.block_count(1000, 10) == 100
+
+
+@pytest.mark.parametrize("tile", [7, 64, 1 << 20])
+def test_streamed_neighbours_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(B, "TILE", tile)
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(60, 3)), np.zeros((40, 3)), np.round(rng.normal(size=(40, 3)))]
+    ids = rng.permutation(len(x)) * 3
+    found = B._Nearest(ids, x, 5 + B.SPARE)
+    order = np.argsort(ids)
+    for begin in range(0, len(x), 23):
+        part = order[begin:begin + 23]
+        found.meet(ids[part], x[part], B._sames(pd.Series(ids), pd.Series(ids[part])))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        want = sorted(zip(d[i], ids))[:5]
+        got = sorted(zip(found.exact[i], found.other[i]))[:5]
+        assert [o for _, o in got] == [o for _, o in want] and np.allclose([g for g, _ in got], [w for w, _ in want])
+
+
+def test_one_side_of_a_pair_streams(spark, monkeypatch):
+    rows = spark.range(500).select("id", F.array(F.col("id").cast("double")).alias("v"), F.lit(0).alias("bi"))
+
+    def kernel(x, others):
+        yield pd.DataFrame({"held": [len(x)], "batches": [sum(1 for _ in others)]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = B.streamed_pairs(rows.limit(120), rows, ["bi"], 2, kernel, "held long, batches long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.held for r in got] == [120] and got[0].batches >= 10
