@@ -46,7 +46,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64, copy=False) if len(column) else np.zeros((0, 1))
 
 
-def _tiles(a: np.ndarray, b: np.ndarray, tile: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def tiles(a: np.ndarray, b: np.ndarray, tile: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, squared Euclidean distances of some rows of ``a`` to all of ``b``), about ``tile`` distances at a time."""
     left, right, back = (a * a).sum(1), (b * b).sum(1), np.ascontiguousarray((-2.0 * b).T)
     # below this a distance may be what cancellation leaves of equal rows
@@ -65,7 +65,7 @@ def _tiles(a: np.ndarray, b: np.ndarray, tile: int | None = None) -> Iterator[tu
 
 def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances of all row pairs of two blocks."""
-    for _, out in _tiles(a, b, max(1, len(a) * len(b))):
+    for _, out in tiles(a, b, max(1, len(a) * len(b))):
         return out
     return np.zeros((0, len(b)))
 
@@ -156,7 +156,7 @@ def pair_sums(
     def kernel(x: pd.DataFrame, others: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, total = _matrix(x["v"]), 0.0
         for y in others:
-            for _, d2 in _tiles(a, _matrix(y["v"])):
+            for _, d2 in tiles(a, _matrix(y["v"])):
                 total += float((np.exp(-d2 / scale) if function == "rbf" else np.sqrt(d2)).sum())
         yield pd.DataFrame({"s": [total]})
 
@@ -180,7 +180,7 @@ def distance_sums(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
         a, totals = _matrix(x["v"]), np.zeros(len(x))
         for y in others:
             i, j = _sames(x["id"], y["id"])
-            for begin, d2 in _tiles(a, _matrix(y["v"])):
+            for begin, d2 in tiles(a, _matrix(y["v"])):
                 here = slice(*np.searchsorted(i, [begin, begin + len(d2)]))
                 d2[i[here] - begin, j[here]] = 0.0
                 totals[begin:begin + len(d2)] += np.sqrt(d2).sum(1)
@@ -205,7 +205,7 @@ class _Nearest:
         self.other = np.zeros((len(a), keep), dtype=ids.dtype)
 
     def meet(self, ids: np.ndarray, b: np.ndarray, sames: tuple[np.ndarray, np.ndarray]) -> None:
-        for begin, d2 in _tiles(self.a, b):
+        for begin, d2 in tiles(self.a, b):
             rows = slice(begin, begin + len(d2))
             here = slice(*np.searchsorted(sames[0], [begin, begin + len(d2)]))
             d2[sames[0][here] - begin, sames[1][here]] = np.inf

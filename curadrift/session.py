@@ -62,3 +62,15 @@ def small_side(df: DataFrame, byte_limit: int = BROADCAST_BYTES) -> DataFrame:
     kept = checkpointed(df)
     size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     return F.broadcast(kept) if size <= byte_limit else kept
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Parquet in the shared folder, read again: cuts the lineage like a checkpoint, but packed and read by column. A table that is stored
+    already is taken as it is."""
+    if getattr(df, "_stored", False):
+        return df
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._stored = True
+    return kept

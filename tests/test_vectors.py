@@ -375,3 +375,22 @@ def test_one_side_of_a_pair_streams(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [r.held for r in got] == [120] and got[0].batches >= 10
+
+
+@pytest.mark.parametrize("bucket", [0.05, 2.0])
+def test_lsh_gives_the_pairs_of_the_library_join(spark, bucket):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    df = frame(spark, np.random.default_rng(8).normal(size=(150, 4)))
+    rows = df.select(F.col("image_id").alias("id"), array_to_vector("embedding").alias("f"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=3, seed=3).fit(rows)
+    found = model.approxSimilarityJoin(rows, rows, 1.0, "weight").filter("datasetA.id < datasetB.id").select("datasetA.id", "datasetB.id").collect()
+    got = [(r.src, r.dst) for r in G.radius_join_lsh(df, "image_id", "embedding", 1.0, bucket, tables=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in found} and got
+
+
+def test_lsh_meets_wide_buckets_once(spark):
+    """Wide buckets hold all rows in every table; the plan must not join them table by table."""
+    df = frame(spark, np.random.default_rng(8).normal(size=(300, 4)))
+    plan = G.radius_join_lsh(df, "image_id", "embedding", 1.0, 50.0)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan.lower() and "datasetA" not in plan
