@@ -6,7 +6,7 @@ from curadrift.functions.numbers import r6
 from curadrift.operators import anomaly as N, graph as G, spatial as X
 from curadrift.plans.ctes import sql
 from curadrift.plans.registry import query
-from curadrift.session import checkpointed
+from curadrift.session import stored
 from curadrift.sources.tables import points, samples, table
 
 RADIUS = 1.15
@@ -88,13 +88,13 @@ def first_source(linked):
 
 @query("bfs_levels", sql("SELECT image_id AS id, min(hop) AS hop FROM samples LEFT JOIN walk ON walk.id = image_id GROUP BY 1", "samples", **LEVELS))
 def bfs_levels(spark, sf):
-    linked = checkpointed(edges(spark, sf))
+    linked = stored(edges(spark, sf), "src", "dst")
     return G.bfs_levels(samples(spark, sf), "image_id", linked, first_source(linked))
 
 
 @query("bfs_levels_limited", sql("SELECT image_id AS id, min(hop) AS hop FROM samples LEFT JOIN walk ON walk.id = image_id AND hop <= 2 GROUP BY 1", "samples", **LEVELS))
 def bfs_levels_limited(spark, sf):
-    linked = checkpointed(edges(spark, sf))
+    linked = stored(edges(spark, sf), "src", "dst")
     return G.bfs_levels(samples(spark, sf), "image_id", linked, first_source(linked), max_depth=2)
 
 
@@ -108,7 +108,7 @@ PATHS = {
 
 @query("shortest_paths", sql("SELECT image_id AS id, round(d, 6) AS distance FROM samples LEFT JOIN best ON best.id = image_id", "samples", **PATHS))
 def shortest_paths(spark, sf):
-    linked = checkpointed(edges(spark, sf))
+    linked = stored(edges(spark, sf))
     out = G.shortest_paths(samples(spark, sf), "image_id", linked, first_source(linked))
     return out.select("id", r6(F.col("distance")).alias("distance"))
 
@@ -118,7 +118,7 @@ def shortest_paths(spark, sf):
     "LEFT JOIN (SELECT dst, min(fs.d + weight) AS d, arg_min(src, (fs.d + weight, src)) AS pred FROM fs JOIN links ON src = fs.id GROUP BY 1) o ON o.dst = image_id",
     "samples", **PATHS, fs="SELECT id, d FROM best ORDER BY d, id LIMIT 15"))
 def dijkstra_budget(spark, sf):
-    linked = checkpointed(edges(spark, sf))
+    linked = stored(edges(spark, sf))
     out = G.dijkstra_budget(samples(spark, sf), "image_id", linked, first_source(linked), settled=15)
     return out.select("id", r6(F.col("distance")).alias("distance"), "pred", "settled")
 

@@ -64,11 +64,12 @@ def small_side(df: DataFrame, byte_limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if size <= byte_limit else kept
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Parquet in the shared folder, read again: cuts the lineage like a checkpoint, but packed and read by column. A table that is stored
-    already is taken as it is."""
+def stored(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns (all, if none is named) as Parquet in the shared folder, read again: cuts the lineage like a checkpoint, but packed and read
+    by column. A table that is stored already is taken as it is."""
     if getattr(df, "_stored", False):
         return df
+    df = df.select(*columns) if columns else df
     path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curadrift.operators import anomaly as N, blocks as B, graph as G, outliers as O, projections as P, selection as S, spatial as X
+from curadrift.session import stored
 
 
 def frame(spark, vectors, key="image_id", label="x"):
@@ -394,3 +395,33 @@ def test_lsh_meets_wide_buckets_once(spark):
     df = frame(spark, np.random.default_rng(8).normal(size=(300, 4)))
     plan = G.radius_join_lsh(df, "image_id", "embedding", 1.0, 50.0)._jdf.queryExecution().toString()
     assert "posexplode" not in plan.lower() and "datasetA" not in plan
+
+
+def test_edges_are_stored_once(spark, monkeypatch):
+    """A traversal keeps every edge once and in one direction, and takes a stored table as it is."""
+    df = frame(spark, [[0.0], [1.0], [2.0], [5.0]])
+    edges = G.radius_join(df, "image_id", "embedding", 1.5)
+    written = []
+    monkeypatch.setattr(G, "stored", lambda d, *c: written.append(stored(d, *c)) or written[-1])
+    kept = stored(edges)
+    seeds = df.filter("image_id = 0")
+    assert {r.id: r.hop for r in G.bfs_levels(df, "image_id", kept, seeds).collect()} == {0: 0, 1: 1, 2: 2, 3: None}
+    assert {r.id: r.distance for r in G.shortest_paths(df, "image_id", kept, seeds).collect()} == {0: 0, 1: 1, 2: 2, 3: None}
+    assert written and all(w is kept for w in written)
+    G.bfs_levels(df, "image_id", edges, seeds)
+    assert written[-1].columns == ["src", "dst"] and written[-1].count() == 2
+
+
+def test_tasks_thin_their_edges(monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, (2, 5000))
+    a, b = a + 300 * rng.integers(0, 3, 5000), b
+    b = b + a // 300 * 300
+    frames = [pd.DataFrame({"a": np.maximum(a, b)[i:i + 100], "b": np.minimum(a, b)[i:i + 100]}) for i in range(0, 5000, 100)]
+    for held in (1 << 20, 2500, 50):
+        monkeypatch.setattr(G, "HELD_LINKS", held)
+        out = pd.concat(G._thinned(iter(frames)))
+        assert held < 1000 or len(out) < 900
+        full, thin = G._stars(a, b), G._stars(out["a"].to_numpy(), out["b"].to_numpy())
+        assert [f.tolist() for f in full] == [t.tolist() for t in thin]
+    assert len(G._stars(np.array([5, 5]), np.array([5, 5]))[0]) == 0
