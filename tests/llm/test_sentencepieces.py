@@ -59,6 +59,79 @@ def test_occurrences_against_a_scan():
     assert got == sorted((i, text[i:j]) for i in range(len(text)) for j in range(i + 1, min(len(text), i + 16) + 1) if text[i:j] in pieces.rule.number)
 
 
+@pytest.fixture()
+def fresh():
+    """The vocabulary with no words or pairs held."""
+    S.pieces_of.cache_clear()
+    yield S.pieces_of(PATH)
+    S.pieces_of.cache_clear()
+
+
+def test_common_words_are_indexed_once(library, fresh, monkeypatch):
+    indexed = []
+    encode_units = S.encode_units
+    monkeypatch.setattr(S, "encode_units", lambda units, pieces: indexed.extend(units) or encode_units(units, pieces))
+    monkeypatch.setattr(S, "HELD_WORDS", 8)
+    for turn in range(20):
+        texts = ["the nation  of the nation", " ".join(f"rare{turn}x{n}" for n in range(10))]
+        assert [i.tolist() for i in S.encode(texts, PATH)] == library.encode(texts)
+    assert indexed.count("▁the") == indexed.count("▁nation") == 1
+    assert indexed.count("▁rare3x3") == 1
+
+
+def test_pairs_are_replayed_once(fresh, monkeypatch):
+    asked = []
+    fit = fresh.rule.fit
+    monkeypatch.setattr(fresh.rule, "fit", lambda a, b: asked.append(len(a)) or fit(a, b))
+    units = [f"▁internationalization{n}" for n in range(200)]
+    first = S.encode_units(units, fresh)
+    before = sum(asked)
+    again = S.encode_units(units, fresh)
+    assert 0 <= sum(asked) - before < before / 10
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+def test_pairs_that_share_a_place(library, fresh, monkeypatch):
+    monkeypatch.setattr(S, "HELD_PAIRS", 2)
+    fresh.pairs = fresh.pairs[:2].copy()
+    assert [i.tolist() for i in S.encode(TEXTS, PATH)] == library.encode(TEXTS)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.text(st.sampled_from("then  ion日𝄞"), max_size=30), max_size=4), min_size=1, max_size=8), st.integers(0, 6), st.integers(0, 40))
+def test_held_words_are_bounded_and_right(library, texts, words, chars):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(S, "HELD_WORDS", words)
+        patch.setattr(S, "HELD_CHARS", chars)
+        held = S.Held()
+        patch.setattr(S.pieces_of(PATH), "held", held)
+        for batch in texts:
+            assert [i.tolist() for i in S.encode(batch, PATH)] == library.encode(batch)
+            held.trim()
+            assert len(held.number) == len(held.sizes) <= words and held.chars == sum(map(len, held.number)) <= chars
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=6), st.integers(1, 20), st.sampled_from([1, 5000, 1 << 20]))
+def test_suffixes_of_words_against_a_sort(words, depth, spread):
+    end = 3 * spread + 1
+    symbols = [x * spread for w in words for x in [*w, end / spread]]
+    room = [len(w) - n for w in words for n in range(len(w) + 1)]
+    got = S.suffixes(np.array(symbols, dtype=np.int64), depth, np.array(room))
+    seen = [symbols[i:i + min(depth, room[i] + 1)] for i in got.tolist()]
+    assert sorted(got.tolist()) == list(range(len(symbols))) and seen == sorted(seen)
+    whole = [symbols[i:i + depth] for i in S.suffixes(np.array(symbols, dtype=np.int64), depth).tolist()]
+    assert whole == sorted(whole)
+
+
+def test_ordering_of_small_and_large_keys():
+    for top in (5, 1 << 62):
+        keys = np.array([top, 0, 3, top, 3, 0], dtype=np.int64)
+        order, values = S.ordering(keys)
+        assert order.tolist() == [1, 5, 2, 4, 0, 3] and (values == keys[order]).all()
+    assert [len(x) for x in S.ordering(np.zeros(0, dtype=np.int64))] == [0, 0]
+
+
 def test_whole_table_and_round_trip(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
