@@ -219,12 +219,18 @@ def isolation_forest(spark, sf):
 
 
 def consensus(spark, sf):
+    """The votes of both detectors. Only the third is meant to fail: votes without those of a detector that should have given some are no result.
+    A row without a vector has no neighbours, so the local outlier factor has no vote on it."""
     df = samples(spark, sf).withColumn("first", F.col("embedding")[0]).withColumn("second", F.col("embedding")[1])
-    return N.anomaly_consensus(df, {
+    per_id, failures = N.anomaly_consensus(df, {
         "statistical": lambda d: N.statistical_detector(d, "image_id", ["first", "second"], 2.0),
-        "lof": lambda d: N.lof_detector(d, "image_id", "embedding", 10, 1.03),
+        "lof": lambda d: N.lof_detector(d.filter("embedding IS NOT NULL"), "image_id", "embedding", 10, 1.03),
         "broken": lambda d: d.select("no_such_column"),
-    })[0]
+    })
+    failures.pop("broken", None)
+    if failures:
+        raise RuntimeError("; ".join(f"detector {name} failed: {failure}" for name, failure in failures.items()))
+    return per_id
 
 
 CONSENSUS = {

@@ -2,9 +2,12 @@
 
 import math
 
+import check
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from curadrift.functions import numbers as N, probabilities as PR, vectors as V
 from curadrift.operators import anomaly as A, distribution as D, graph as G, preferences as P, quality as Q, selection as S, trajectories as J, versions as Z
 from curadrift.session import fresh_path
@@ -88,6 +91,35 @@ def test_failures_leave_the_others_alone(spark):
     assert votes.collect() == [] and A.consensus_summary(votes).first().total == 0
 
 
+RING = [(i, 0, [math.cos(i * math.pi / 20), math.sin(i * math.pi / 20)]) for i in range(40)] + [(40, 0, [0.0, 0.0])]
+
+
+def embeddings(spark, folder, rows):
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_a_row_without_a_vector_leaves_the_votes_of_all_detectors(spark, tmp_path):
+    # only the local outlier factor finds the row in the middle
+    sf = embeddings(spark, tmp_path, [*RING, (41, 0, None)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'")
+    problem, _ = check.compare(queries()["anomaly_summary"](spark, sf), con, oracle_sql()["anomaly_summary"])
+    assert problem is None, problem
+    got = {r.id: (r.votes, r.detectors) for r in queries()["anomaly_consensus"](spark, sf).collect()}
+    assert got == {**{i: (0, 2) for i in range(40)}, 40: (1, 2), 41: (0, 1)}
+
+
+@pytest.mark.parametrize("name", ["anomaly_summary", "anomaly_consensus"])
+def test_no_summary_without_the_votes_of_a_detector_that_failed(spark, tmp_path, monkeypatch, name):
+    sf = embeddings(spark, tmp_path, [*RING, (41, 0, [0.0, 0.0, 1.0])])
+    with pytest.raises(RuntimeError, match="detector lof failed"):
+        queries()[name](spark, sf)
+    monkeypatch.setattr(A, "checkpointed", lambda df: 1 / 0)
+    with pytest.raises(RuntimeError, match="(?s)detector statistical failed: division by zero.*detector lof failed"):
+        queries()[name](spark, sf)
+
+
 def test_an_assessment_in_which_all_fail(spark, monkeypatch):
     def fails(tasks, annotations):
         raise KeyError("no such column")
